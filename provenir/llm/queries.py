@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, toxicity, urlfilter, warc
+from . import bpe, decontaminate, langid, ngramjoin, toxicity, urlfilter, warc
 from .common import table
 
 #: Contract of op5: (host, path, verdict).
@@ -39,6 +39,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.link_components(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = langid.remainder(F.col("doc_id"), 4) == 2
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_warc": op4_warc,
     "op5_url_filter": op5_url_filter,
+    "op6_ngram_join": op6_ngram_join,
     "op7_language_id": op7_language_id,
     "op9_toxicity": op9_toxicity,
 }
