@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, ngramjoin, substrings, toxicity, urlfilter, warc
+from . import bpe, decontaminate, embeddup, htmltext, langid, ngramjoin, substrings, toxicity, urlfilter, warc
 from .common import table
 
 #: Contract of op5: (host, path, verdict).
@@ -19,6 +19,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def vocabulary_path() -> str:
     """The vocabulary file of the installed public tokenizers."""
     import public_tokenizers
@@ -62,8 +66,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_bpe": op3_bpe,
     "op4_warc": op4_warc,
     "op5_url_filter": op5_url_filter,
@@ -71,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_id": op7_language_id,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_toxicity": op9_toxicity,
+    "op10_html_text": op10_html_text,
 }
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"

@@ -119,9 +119,11 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def hits(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, group: np.ndarray, w: int, lo: int, hi: int) -> np.ndarray:
+def hits(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, group: np.ndarray, w: int, lo: int, hi: int, owner: np.ndarray | None = None) -> np.ndarray:
     """Which windows of each row, by offset from lo to hi, another row of its group has too (rows, hi - lo + 1).
 
+    With owner, only what rows of two owners have counts.
+
     left[:, k] is the byte k + 1 before the anchor, right the bytes from the anchor on; n_left and n_right say how many
     of them the document has.
     """
@@ -156,7 +158,12 @@ def hits(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.nd
         if not len(row):
             break
         long = lcp >= w - j
-        found[row[long | np.concatenate((long[1:], [False]))], j - lo] = True
+        if owner is not None and long.any():
+            first = np.flatnonzero(~long)
+            least, most = np.minimum.reduceat(owner[row], first), np.maximum.reduceat(owner[row], first)
+            found[row[np.repeat(least != most, np.diff(np.append(first, len(row))))], j - lo] = True
+        else:
+            found[row[long | np.concatenate((long[1:], [False]))], j - lo] = True
     return found
 
 
@@ -190,23 +197,35 @@ def spans_of(found: np.ndarray, anchor: np.ndarray, w: int, lo: int) -> tuple[np
     return row, anchor[row] - (after - 1 + lo), anchor[row] - (first + lo) + w
 
 
-def repeated(docs: DataFrame, w: int = MIN_LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, text_hash, start, end: spans of bytes that repeated strings cover; together they are all such bytes."""
-    source = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+def repeated(docs: DataFrame, w: int = MIN_LENGTH, doc_id: str = "doc_id", text: str = "text", scope: str | None = None) -> DataFrame:
+    """id, text_hash, start, end: spans of bytes that repeated strings cover; together they are all such bytes.
+
+    With a scope column, strings count as repeated only where two documents (not one alone) of a scope have them; of
+    equal surroundings within one document one is then looked at.
+    """
+    source = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"), (F.xxhash64(scope) if scope else F.lit(0).cast("long")).alias("scope"))
     kind = source.schema["id"].dataType.simpleString()
 
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
             texts = [_bytes(t) for t in x["text"]]
             found = anchors(texts, w)
+            if scope:
+                found = [(p, c ^ s, h ^ s) for (p, c, h), s in zip(found, x["scope"].tolist(), strict=True)]
             yield pd.DataFrame({"id": x["id"], "text_hash": x["text_hash"], "size": [len(t) for t in texts], "places": [f[0] for f in found], "cores": [f[1] for f in found], "hulls": [f[2] for f in found]})
 
     made = light(source.where(F.octet_length("text") >= w)).mapInPandas(find, f"id {kind}, text_hash long, size long, places array<long>, cores array<long>, hulls array<long>")
     made = written(made, "anchors")
-    shared = made.select(F.explode("cores").alias("core")).groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+    who = F.struct("id", "text_hash")
+    if scope:
+        shared = made.select("id", "text_hash", F.explode("cores").alias("core")).groupBy("core").agg(F.min(F.xxhash64("id", "text_hash")).alias("a"), F.max(F.xxhash64("id", "text_hash")).alias("b")).where("a <> b").select("core")
+    else:
+        shared = made.select(F.explode("cores").alias("core")).groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+    shared = written(shared, "cores")
+    shared = F.broadcast(shared) if shared.count() <= MAX_BROADCAST else shared
     rows = made.select("id", "text_hash", "size", F.explode(F.arrays_zip("places", "cores", "hulls")).alias("x")).select("id", "text_hash", "size", F.col("x.places").alias("place"), F.col("x.cores").alias("core"), F.col("x.hulls").alias("hull"))
     rows = written(rows.join(shared, "core"), "shared")
-    distinct = written(rows.groupBy("core", "hull").agg(F.count("*").alias("n"), F.min(F.struct("id", "text_hash", "place", "size")).alias("one")), "hulls")
+    distinct = written(rows.groupBy("core", "hull").agg((F.when(F.min(who) != F.max(who), 2).otherwise(1) if scope else F.count("*")).alias("n"), F.min(F.struct("id", "text_hash", "place", "size")).alias("one")), "hulls")
     whole = rows.join(distinct.where("n > 1").select("core", "hull"), ["core", "hull"])
     anchor, side = F.shiftright("place", 1), F.col("place").bitwiseAND(F.lit(1))
     before = F.when(side == 0, reach(w, 0)[2]).otherwise(reach(w, 1)[2])
@@ -248,7 +267,8 @@ def repeated(docs: DataFrame, w: int = MIN_LENGTH, doc_id: str = "doc_id", text:
             n_right = np.array([len(r) for r in regions_]) - n_left
             left = np.frombuffer(b"".join(bytes(r[:k][::-1]).ljust(before, b"\0") for r, k in zip(regions_, n_left.tolist(), strict=True)), dtype=np.uint8).reshape(len(own), before)
             right = np.frombuffer(b"".join(bytes(r[k:]).ljust(after, b"\0") for r, k in zip(regions_, n_left.tolist(), strict=True)), dtype=np.uint8).reshape(len(own), after)
-            found = hits(left, right, n_left, n_right, group[own], w, lo, hi)
+            owner = x["text_hash"].to_numpy()[own] ^ pd.util.hash_array(x["id"].to_numpy()[own]).view(np.int64) if scope else None
+            found = hits(left, right, n_left, n_right, group[own], w, lo, hi, owner)
             found[x["n"].to_numpy()[own] < 0] = False  # known to be covered
             row, start, end = spans_of(found, x["anchor"].to_numpy()[own], w, lo)
             parts.append(pd.DataFrame({"id": x["id"].to_numpy()[own][row], "text_hash": x["text_hash"].to_numpy()[own][row], "start": start, "end": end}))
@@ -272,6 +292,7 @@ def repeated(docs: DataFrame, w: int = MIN_LENGTH, doc_id: str = "doc_id", text:
     first = F.greatest(F.lit(0), F.col("n_left") - F.when(F.col("side") == 0, reach(w, 0)[1]).otherwise(reach(w, 1)[1]))
     window = hot.select("core", "id", "text_hash", (F.col("anchor") - F.col("n_left") + first).alias("from"), "n", F.posexplode("h").alias("k", "h"))
     place = F.struct("id", "text_hash", F.col("from") + F.col("k"))  # a window can hold two hot anchors
+    place = F.struct("id", "text_hash") if scope else place
     counted = window.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("h")
     of_hot = window.where("n > 0").join(counted, "h").select("id", "text_hash", (F.col("from") + F.col("k")).cast("long").alias("start"), (F.col("from") + F.col("k") + w).cast("long").alias("end"))
     return covered.unionByName(usual).unionByName(of_hot)
