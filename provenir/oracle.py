@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import rules
 from .functions.rx import WS, re2
+from .operators import likelihood
 from .queries import MARKERS, RARE
 
 
@@ -225,3 +226,63 @@ SQL: dict[str, str] = {
     "html_prose": f"SELECT page_id, md5(regexp_replace({_HTML}, '^{W}+|{W}+$', '', 'g')) AS prose_md5 FROM pages",
     "report_summary": f"SELECT doc_id, regexp_replace(regexp_replace(left(text, 140), '{W}+', ' ', 'g'), '^{W}+|{W}+$', '', 'g') AS excerpt FROM documents",
 }
+
+
+def logits(scale: float, name: str) -> str:
+    """CTEs words and `name`: the token distributions that the queries make."""
+    return f"""{name} AS (SELECT doc_id, pos, n, pos + length(ws[pos + 1]) % least(4, n - pos) AS actual, list_transform(range(least(4, n - pos)), lambda j: -(0.7::DOUBLE * j + 0.03::DOUBLE * (length(ws[pos + j + 1]) % 5) * j) * {scale}::DOUBLE) AS l
+        FROM (SELECT *, unnest(range(n)) AS pos FROM (SELECT doc_id, ws, len(ws) AS n FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {WORD})[1:60] AS ws FROM documents))))"""
+
+
+def positions(name: str) -> str:
+    z = "(l[1] + ln(3.5::DOUBLE))"
+    m = f"list_sum(list_transform(l, lambda x: exp(x - {z})))"
+    s1 = f"list_sum(list_transform(l, lambda x: exp(x - {z}) * (x - {z})))"
+    s2 = f"list_sum(list_transform(l, lambda x: exp(x - {z}) * (x - {z}) * (x - {z})))"
+    tail = f"(1 - {m})"
+    lp = f"ln({tail} / (1000 - len(l)))"
+    return f"""{name}_s AS (SELECT doc_id, pos, n, l[actual - pos + 1] - {z} AS log_prob, {s1} + CASE WHEN {tail} > 1e-9 THEN {tail} * {lp} ELSE 0 END AS mean, {s2} + CASE WHEN {tail} > 1e-9 THEN {tail} * {lp} * {lp} ELSE 0 END AS q FROM {name}),
+        {name}_p AS (SELECT doc_id, pos, n, log_prob, mean, greatest(0, q - mean * mean) AS variance FROM {name}_s)"""
+
+
+SAMPLES = """samples AS (SELECT doc_id AS sample_id, quality = 1 AS ai, 1 + doc_id % 3 AS weight, 20 + n_chars % 230 AS tokens, -2.0::DOUBLE - (n_chars % 101) / 100.0::DOUBLE AS mean_log_prob, 2.0::DOUBLE + (n_chars % 37) / 37.0::DOUBLE AS mean_entropy,
+        ((n_chars % 53) - 26) / 10.0::DOUBLE AS criterion, CASE WHEN doc_id % 5 <> 0 THEN 0.9::DOUBLE + (n_chars % 71) / 200.0::DOUBLE END AS binoculars, lang, source FROM documents JOIN labels USING (doc_id))"""
+_FEATURE = {"criterion_per_token": "criterion / sqrt(tokens::DOUBLE)", "log_tokens": "ln(least(tokens, 240)::DOUBLE)"}
+
+
+def raw(f: dict) -> str:
+    return f"({f['bias']}::DOUBLE" + "".join(f" + ({w})::DOUBLE * ({_FEATURE.get(k, k)} - ({m})::DOUBLE) / ({sd})::DOUBLE" for k, (m, sd, w) in f["features"].items()) + ")"
+
+
+def offset(t: tuple) -> str:
+    parts = [f"WHEN tokens <= {t[0][0]} THEN {t[0][1]}::DOUBLE"] + [f"WHEN tokens <= {b} THEN {x}::DOUBLE + (ln(tokens::DOUBLE) - ln({a}::DOUBLE)) / (ln({b}::DOUBLE) - ln({a}::DOUBLE)) * ({y}::DOUBLE - {x}::DOUBLE)" for (a, x), (b, y) in zip(t, t[1:], strict=False)]
+    return "CASE " + " ".join(parts) + f" ELSE {t[-1][1]}::DOUBLE END"
+
+
+T, B = likelihood.THREE_MEASURES, likelihood.BINOCULARS
+SCORED = f"""{SAMPLES}, logit AS (SELECT *, greatest(-3.5::DOUBLE, least(3.5::DOUBLE, CASE WHEN binoculars IS NOT NULL AND tokens >= 50 THEN {raw(B)} - {offset(B['thresholds'])} ELSE {raw(T)} - {offset(T['thresholds'])} END)) AS logit FROM samples),
+    scored AS (SELECT *, 1 / (1 + exp(-logit)) AS p, greatest(0, least(1, (tokens - 20) / 40.0::DOUBLE)) AS r, {rounded('logit', 6)} AS score, {rounded('logit', 6)} > 0 AS flag, CASE WHEN tokens * 2 <= 80 THEN 30 WHEN tokens * 2 <= 130 THEN 50 WHEN tokens * 2 <= 200 THEN 80 WHEN tokens * 2 <= 320 THEN 120 ELSE 200 END AS bucket FROM logit)"""
+RATES = f"""rates AS (SELECT bucket, {rounded('sum(weight) FILTER (ai AND flag)::DOUBLE / sum(weight) FILTER (ai)', 2).replace('sum(weight) FILTER (ai AND flag)', 'coalesce(sum(weight) FILTER (ai AND flag), 0)')} AS detected,
+        {rounded('coalesce(sum(weight) FILTER (NOT ai AND flag), 0)::DOUBLE / sum(weight) FILTER (NOT ai)', 2)} AS false_positives FROM scored GROUP BY bucket HAVING detected IS NOT NULL AND false_positives IS NOT NULL)"""
+
+SQL |= {
+    "token_stats": f"WITH {logits(1.0, 'o')}, {positions('o')} SELECT doc_id, count(*) AS positions, {rounded('avg(log_prob)', 6)} AS log_prob, {rounded('avg(mean)', 6)} AS mean, {rounded('avg(variance)', 6)} AS variance FROM o_p GROUP BY doc_id",
+    "prefix_measures": f"""WITH {logits(1.0, 'o')}, {logits(0.8, 'f')}, {positions('f')},
+        x AS (SELECT f.doc_id, f.pos, list_sum(list_transform(range(1, len(o.l) + 1), lambda i: -exp(o.l[i] - o.l[1]) / list_sum(list_transform(o.l, lambda y: exp(y - o.l[1]))) * (f.l[i] - (f.l[1] + ln(3.5::DOUBLE))))) AS x_ppl FROM o JOIN f USING (doc_id, pos)),
+        m AS (SELECT p.*, x_ppl, unnest(list_distinct([least(30, n + 1), least(50, n + 1), least(200, n + 1)])) AS size FROM f_p p LEFT JOIN x USING (doc_id, pos)),
+        g AS (SELECT doc_id, size, count(*) AS k, sum(log_prob) AS lp, sum(mean) AS m, sum(variance) AS v, avg(-log_prob) FILTER (x_ppl IS NOT NULL) AS a, avg(x_ppl) AS b FROM m WHERE pos < size - 1 GROUP BY doc_id, size)
+        SELECT doc_id, CAST(size AS BIGINT) AS size, k + 1 AS tokens, {rounded('lp / k', 6)} AS mean_log_prob, {rounded('-m / k', 6)} AS mean_entropy, {rounded('(lp - m) / sqrt(v)', 6)} AS criterion, {rounded('a / nullif(b, 0)', 6)} AS binoculars FROM g WHERE v > 0""",
+    "calibration_score": f"""WITH {SCORED}, s AS (SELECT *, CAST(greatest(-5, floor(11 * r * logit + 0.5)) AS INTEGER) AS pts FROM scored)
+        SELECT sample_id, {rounded('logit', 6)} AS logit, {rounded('p', 6)} AS probability, r AS reliability, CASE WHEN r = 0 THEN 0 ELSE pts END AS points,
+            CASE WHEN r = 0 THEN 'info' WHEN p > 0.9 AND r = 1 THEN 'fort' WHEN abs(pts) >= 8 THEN 'moyen' ELSE 'faible' END AS strength, CASE WHEN r = 0 OR abs(pts) < 3 THEN 'neutre' WHEN p >= 0.5 THEN 'ia' ELSE 'humain' END AS direction FROM s""",
+    "weighted_threshold": f"WITH {SCORED}, c AS (SELECT bucket, score, sum(weight) OVER (PARTITION BY bucket ORDER BY score, sample_id ROWS UNBOUNDED PRECEDING) AS c, sum(weight) OVER (PARTITION BY bucket) AS a FROM scored WHERE NOT ai) SELECT bucket, min(score) AS offset FROM c WHERE c >= 0.95::DOUBLE * a GROUP BY bucket",
+    "bucket_rates": f"WITH {SCORED}, {RATES} SELECT * FROM rates",
+    "rates_by_group": f"WITH {SCORED} SELECT lang, source, count(*) AS n, count(*) FILTER (flag) AS flagged FROM scored WHERE tokens >= 80 GROUP BY GROUPING SETS ((lang), (source), ())",
+    "rate_at": f"WITH {SCORED}, {RATES}, first AS (SELECT detected FROM rates ORDER BY bucket LIMIT 1) SELECT sample_id, coalesce(rates.detected, (SELECT detected FROM first)) AS detected FROM samples ASOF LEFT JOIN rates ON tokens >= bucket",
+    "measure_band_join": f"WITH {SAMPLES}, b AS (SELECT sample_id, k AS ord, tokens + k * 2 - 5 AS b_tokens FROM samples, range(4) r(k)), j AS (SELECT a.sample_id, a.tokens, b_tokens, row_number() OVER (PARTITION BY a.sample_id ORDER BY ord) AS place FROM samples a LEFT JOIN b ON a.sample_id = b.sample_id AND abs(b_tokens - tokens) <= 2) SELECT sample_id, tokens, b_tokens FROM j WHERE place = 1",
+    "resume_anti_join": "SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)",
+    "samples_union": f"WITH {SAMPLES}, u AS (SELECT sample_id AS g, ai, weight FROM samples UNION ALL SELECT (SELECT max(sample_id) FROM samples) + sample_id + 1, ai, 5 FROM samples WHERE sample_id % 7 = 0) SELECT ai, count(*) AS n, CAST(sum(weight) AS BIGINT) AS weight, count(DISTINCT g) AS texts FROM u GROUP BY ai",
+    "history_top200": "SELECT doc_id, 1700000000 + (doc_id * 7919) % 100003 AS created FROM documents ORDER BY created DESC, doc_id DESC LIMIT 200",
+    "answers_upsert": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'ai' WHEN toxic = 1 THEN 'ai' ELSE 'human' END AS label FROM labels WHERE doc_id % 6 <> 0",
+    "event_windows": "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
+}

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from . import rules
 from .functions import clean, text
-from .operators import detect, verdict
+from .operators import calibrate, detect, likelihood, verdict
 from .plans.analyze import analyzed, summary
+from .sources import store
+from .streaming import stream
 
 #: What is appended to each text by doc_id % 10, so that the rules have something to find in invented prose.
 MARKERS = {
@@ -163,3 +165,122 @@ def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (text_stats, mattr, language_confusion, conversation_profile, artefact_rule_counts, unicode_rule_counts, style_counts, signals_long, signals_by_category, top_signals, vendor_attribution, origin_shares, quote_mode, verdict_score, verdict_distribution, docs_signals_labels, scan_markdown, scan_offsets, highlights_disjoint, verse_flag, prose_sample, clean_text, clean_utm, html_prose, report_summary)}
+
+
+def token_logits(spark: SparkSession, sf_dir: str, scale: float = 1.0) -> DataFrame:
+    """A token distribution for each of a text's first 60 words, made from word lengths: candidates are the next four."""
+    ws = F.slice(text.words(F.coalesce("text", F.lit(""))), 1, 60)
+    d = read(spark, sf_dir, "documents").select("doc_id", ws.alias("ws")).select("doc_id", "ws", F.posexplode("ws").alias("pos", "w"))
+    n = F.size("ws")
+    logits = F.transform(F.sequence(F.lit(0), F.least(F.lit(3), n - 1 - F.col("pos"))), lambda j: F.struct((F.col("pos") + j).cast("long").alias("token"), (-(0.7 * j + 0.03 * F.pmod(F.length(F.get("ws", F.col("pos") + j)), F.lit(5)) * j) * scale).cast("double").alias("logit")))
+    return d.select("doc_id", "pos", (F.col("pos") + F.pmod(F.length("w"), F.size(logits))).cast("long").alias("actual"), F.lit(3.5).cast("double").alias("total_weight"), logits.alias("logits"))
+
+
+def _measured(spark: SparkSession, sf_dir: str, lengths: tuple[int, ...] = (30, 50, 200)) -> DataFrame:
+    observer, performer = token_logits(spark, sf_dir), token_logits(spark, sf_dir, 0.8)
+    p = likelihood.position_stats(performer, 1000).select("doc_id", "pos", "log_prob", "mean", "variance")
+    return likelihood.prefix_measures(p.join(likelihood.cross_entropy(observer, performer, "doc_id"), ["doc_id", "pos"], "left"), "doc_id", lengths)
+
+
+def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = likelihood.position_stats(token_logits(spark, sf_dir), 1000)
+    return p.groupBy("doc_id").agg(F.count("*").alias("positions"), *[text.rounded(F.avg(c), 6).alias(c) for c in ("log_prob", "mean", "variance")])
+
+
+def prefix_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _measured(spark, sf_dir).select("doc_id", F.col("size").cast("long").alias("size"), "tokens", *[text.rounded(F.col(c), 6).alias(c) for c in ("mean_log_prob", "mean_entropy", "criterion", "binoculars")])
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled samples with measures made from lengths: stand-ins for those of a language model."""
+    c, i = F.col("n_chars"), F.col("doc_id")
+    d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id")
+    return d.select(i.alias("sample_id"), i.alias("sample_group"), (F.col("quality") == 1).alias("ai"), (1 + i % 3).alias("weight"), (20 + c % 230).alias("tokens"), (-2.0 - (c % 101) / 100.0).alias("mean_log_prob"), (2.0 + (c % 37) / 37.0).alias("mean_entropy"), (((c % 53) - 26) / 10.0).alias("criterion"), F.when(i % 5 != 0, 0.9 + (c % 71) / 200.0).alias("binoculars"))
+
+
+def calibration_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = likelihood.scored(samples(spark, sf_dir))
+    signal = likelihood.model_signal(F.lit("prose"))
+    return s.select("sample_id", text.rounded(F.col("logit"), 6).alias("logit"), text.rounded(F.col("probability"), 6).alias("probability"), "reliability", signal.points.alias("points"), signal.strength.alias("strength"), signal.direction.alias("direction"))
+
+
+def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return likelihood.scored(samples(spark, sf_dir)).withColumn("score", text.rounded(F.col("logit"), 6)).withColumn("flag", F.col("score") > 0)
+
+
+def weighted_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return likelihood.thresholds_of(_flags(spark, sf_dir))
+
+
+def bucket_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return likelihood.rates_of(_flags(spark, sf_dir))
+
+
+def rates_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), "lang", "source")
+    x = _flags(spark, sf_dir).where("tokens >= 80").join(d, "sample_id")
+    return x.groupingSets([[F.col("lang")], [F.col("source")], []], "lang", "source").agg(F.count("*").alias("n"), F.sum(F.col("flag").cast("long")).alias("flagged"))
+
+
+def rate_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As-of: the rate of the longest measured length that a text reaches, else of the shortest."""
+    rates = bucket_rates(spark, sf_dir).agg(F.sort_array(F.collect_list(F.struct("bucket", "detected"))).alias("r"))
+    s = samples(spark, sf_dir).select("sample_id", "tokens").join(F.broadcast(rates))  # one row of at most five rates
+    reached = F.filter("r", lambda x: x.bucket <= F.col("tokens"))
+    return s.select("sample_id", F.when(F.size(reached) > 0, F.element_at(reached, -1).detected).otherwise(F.try_element_at("r", F.lit(1)).detected).alias("detected"))
+
+
+def measure_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures with the first Binoculars measure of the same text whose length differs by two tokens at most."""
+    a = samples(spark, sf_dir).select("sample_id", "tokens")
+    b = a.select("sample_id", F.explode(F.array(*[F.struct(F.lit(k).alias("ord"), (F.col("tokens") + k * 2 - 5).alias("b_tokens")) for k in range(4)])).alias("b")).select("sample_id", "b.*")
+    near = b.join(a, "sample_id").where(F.abs(F.col("b_tokens") - F.col("tokens")) <= 2).groupBy("sample_id").agg(F.min_by("b_tokens", "ord").alias("b_tokens"))
+    return a.join(near, "sample_id", "left")
+
+
+def resume_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that were not measured yet."""
+    return read(spark, sf_dir, "documents").select("doc_id").join(read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+def samples_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base samples and answers (here: every seventh sample answered anew), by class."""
+    s = samples(spark, sf_dir)
+    answers = s.where("sample_id % 7 = 0").select(F.col("sample_id").alias("answer_id"), F.when(F.col("ai"), "ai").otherwise("human").alias("label"), F.lit("prose").alias("domain"), "tokens", "mean_log_prob", "mean_entropy", "criterion", "binoculars")
+    return calibrate.with_answers(s, answers).groupBy("ai").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"), F.countDistinct("sample_group").alias("texts"))
+
+
+def fit_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = calibrate.fitted(samples(spark, sf_dir))
+    return w.select("formula", "part", text.rounded(F.col("bias"), 6).alias("bias"), F.posexplode("weight").alias("feature", "weight")).withColumn("weight", text.rounded(F.col("weight"), 6))
+
+
+def cv_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = samples(spark, sf_dir)
+    return calibrate.out_of_fold(s, calibrate.fitted(s)).select("formula", "sample_id", text.rounded(F.col("score"), 6).alias("score"))
+
+
+def history_top200(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest 200 reports; a feature of the history."""
+    r = read(spark, sf_dir, "documents").select("doc_id", "n_chars", F.timestamp_seconds(F.lit(1_700_000_000) + (F.col("doc_id") * 7919) % 100_003).alias("created"))
+    return store.history(r, "created", "doc_id").select("doc_id", F.unix_timestamp("created").alias("created"))
+
+
+def answers_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers by report, a later one in place of an earlier one; a null label takes the answer back."""
+    old = read(spark, sf_dir, "labels").select("doc_id", F.lit(1).alias("version"), F.when(F.col("toxic") == 1, "ai").otherwise("human").alias("label"))
+    new = old.where("doc_id % 3 = 0").select("doc_id", F.lit(2).alias("version"), F.when(F.col("doc_id") % 6 != 0, "ai").alias("label"))
+    return store.upserted(old, new, ["doc_id"], "version").where("label is not null").select("doc_id", "label")
+
+
+def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts that a stream over the documents gives."""
+    return stream.analyzed_stream(spark, f"{sf_dir}/documents.parquet", read(spark, sf_dir, "documents").schema).select("doc_id", "score", "verdict")
+
+
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extension: events by type in windows of an hour, as the streaming job counts them."""
+    return stream.windowed(read(spark, sf_dir, "events")).select(F.unix_timestamp("window.start").alias("start"), "event_type", "n")
+
+
+QUERIES |= {f.__name__: f for f in (token_stats, prefix_measures, calibration_score, weighted_threshold, bucket_rates, rates_by_group, rate_at, measure_band_join, resume_anti_join, samples_union, fit_weights, cv_folds, history_top200, answers_upsert, stream_equals_batch, event_windows)}
