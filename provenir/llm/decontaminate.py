@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from .common import lower_ascii, written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same before lower-casing, and what lies between words.
+CASED = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
 #: Windows of the test items that are broadcast at most, of about 100 bytes each.
 MAX_BROADCAST = 1_000_000
 
@@ -93,8 +96,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, mode: str = "d
         return docs.join(bad, on, "left_anti")
     if mode != "spans":
         raise ValueError(f"mode {mode!r} is neither documents nor spans")
-    piece = F.regexp_extract_all(F.col(text), F.lit(WORD + WORD.replace("[^", "[").replace("+", "*")), 0)
-    head = F.regexp_extract(F.col(text), "^" + WORD.replace("[^", "[").replace("+", "*"), 0)
+    piece = F.regexp_extract_all(F.col(text), F.lit(CASED + BETWEEN), 0)
+    head = F.regexp_extract(F.col(text), "^" + BETWEEN, 0)
     keep = F.filter(F.transform(piece, lambda p, i: F.struct(p.alias("p"), (i + 1).alias("i"))), lambda x: ~F.exists("_spans", lambda s: (x.i >= s.pos) & (x.i < s.pos + s.k)))
     cut = F.when(F.col("_spans").isNull(), F.col(text)).otherwise(F.concat(head, F.array_join(F.transform(keep, lambda x: x.p), "")))
     return docs.join(bad, on, "left").withColumn("_cut", cut).select(*[F.col("_cut").alias(c) if c == text else F.col(c) for c in docs.columns])

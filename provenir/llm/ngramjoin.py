@@ -2,9 +2,12 @@
 
 1. Every text becomes its set of shingle hashes (63 bits of a randomised polynomial hash); texts with equal sets
    collapse to the one with the least id.
-2. Shingles have one global order: those whose hash is below SHARE of the range by document frequency, then the
+2. Shingles have one global order: those whose hash lies in a share of the range by document frequency, then the
    others by hash. Two sets of Jaccard similarity t or more share a shingle within the first n - ceil(t n) + 1 of
-   each. A shingle that no other set has in its part can be skipped, so only repeated ones are looked at further.
+   each. A shingle that no other set has in its part can be skipped, so only repeated ones are looked at further,
+   and a document whose prefix holds none has no partner. What is left is counted anew among itself, over another
+   and larger share of the range (as many shingles as the first time, or all), which leaves hardly any but true
+   partners; of these, pairs must also fit in size and in the place of their first common shingle.
 3. Documents with identical prefixes and size are one group; groups that share a prefix shingle and whose sizes
    fit are candidates. Links are wanted for components, so a few rounds first verify each shingle's documents
    against one pivot and join what is linked; then all candidate pairs of groups that are still in different
@@ -38,12 +41,14 @@ _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
 _PLACE = _random.integers(0, 2**63, 64, dtype=np.uint64) * U(2) + U(1)
 CHUNK = 1 << 20
+#: Part of the range of hashes that is counted in the first pass over all documents, and passes at most.
 SHARE = 0.18
-CUT = int(SHARE * 2**63)
+PASSES = 3
+RANGE = 2**63
 #: Partners of one document that are verified in one group.
 STAR = 256
 #: Candidate pairs that are broadcast at most, of 24 bytes each; more are joined by shuffle.
-MAX_BROADCAST = 1_000_000
+MAX_BROADCAST = 200_000
 PIVOT_ROUNDS = 3
 _powers: dict[int, np.ndarray] = {}
 
@@ -105,15 +110,21 @@ def needed(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def sketches(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """id, n, s1, s2 (a signature of the set), n_low and the shingles of the low part, more if the prefix needs them."""
+def sketches(docs: DataFrame, n: int, percent: int, doc_id: str, text: str, start: float = 0.0, share: float = SHARE) -> DataFrame:
+    """id, n, s1, s2 (a signature of the set), n_low and the shingles of the low part, more if the prefix needs them.
+
+    The hashes are turned so that the range begins at `start` of it; the low part is `share` of it.
+    """
+    turn, top = int(start * RANGE), min(int(share * RANGE), RANGE - 1)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
             rows = []
             for s in chunked_sets(x["text"].tolist(), n):
                 m = mixed(s.astype(np.uint64)).view(np.int64)
-                low = int(np.searchsorted(s, CUT))
+                if turn:
+                    s = np.sort((s - turn) & (RANGE - 1))
+                low = int(np.searchsorted(s, top))
                 rows.append((len(s), int(m.sum()), int(np.bitwise_xor.reduce(m)), low, s[: max(low, needed(len(s), percent) if len(s) else 0)]))
             out = pd.DataFrame(rows, columns=["n", "s1", "s2", "n_low", "toks"])
             out.insert(0, "id", x["id"].to_numpy())
@@ -123,17 +134,31 @@ def sketches(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> D
     return light(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))).mapInPandas(run, f"id {kind}, n long, s1 long, s2 long, n_low long, toks array<long>")
 
 
-def prefixes(reps: DataFrame, percent: int) -> DataFrame:
-    """id, n, prefix: for the sets that have one, the repeated shingles of the prefix; alone: the prefix has others too."""
+def prefixes(reps: DataFrame, percent: int, share: float) -> DataFrame:
+    """id, n, prefix: for the sets that have one, the repeated shingles of the prefix (tok, pos: place in the order, or
+    less); alone: the prefix has others too."""
+    top = min(int(share * RANGE), RANGE - 1)
     rows = reps.select(F.explode("toks").alias("tok"), "id", F.shiftleft("n", 31).bitwiseOR(F.col("n_low")).alias("sizes"))
     shared = rows.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
-    low = F.col("tok") < CUT
-    per = rows.join(shared, "tok").groupBy("id", "sizes").agg(F.sort_array(F.collect_list(F.struct(F.when(low, F.col("df")).otherwise(F.lit(2**62)).alias("df"), "tok"))).alias("found"))
+    last = F.lit(2**62)
+    per = rows.join(shared, "tok").groupBy("id", "sizes").agg(F.count(F.when(F.col("tok") < top, 1)).cast("int").alias("k"), F.sort_array(F.collect_list(F.struct(F.when(F.col("tok") < top, F.col("df")).otherwise(last).alias("df"), "tok"))).alias("found"))
     n, n_low = F.shiftright("sizes", 31), F.col("sizes").bitwiseAND(F.lit(2**31 - 1))
     p = n - F.floor((n * percent + 99) / 100).cast("long") + 1
-    left = p - (n_low - F.size("found"))
-    cut = F.when(n_low < p, F.col("found")).otherwise(F.slice("found", F.lit(1), F.greatest(left, F.lit(0)).cast("int")))
-    return per.select("id", n.alias("n"), F.transform(cut, lambda x: x.tok).alias("prefix"), ((n_low >= p) & (n_low > F.size("found")) | (n_low < p) & (F.size("found") < p)).alias("alone")).where(F.size("prefix") > 0)
+    per = per.select("id", n.alias("n"), n_low.alias("n_low"), p.alias("p"), "found", "k")  # k: an expression here would run once for each shingle
+    placed = F.transform("found", lambda x, i: F.struct(x.tok.alias("tok"), (F.col("n_low") - F.col("k") + i).cast("long").alias("pos")))
+    cut = F.when(F.col("n_low") < F.col("p"), placed).otherwise(F.slice(placed, F.lit(1), F.greatest(F.col("p") - (F.col("n_low") - F.col("k")), F.lit(0)).cast("int")))
+    alone = (F.col("n_low") >= F.col("p")) & (F.col("n_low") > F.col("k")) | (F.col("n_low") < F.col("p")) & (F.size("found") < F.col("p"))
+    return per.select("id", "n", cut.alias("prefix"), alone.alias("alone")).where(F.size("prefix") > 0)
+
+
+def entries_of(reps: DataFrame, percent: int, share: float) -> DataFrame:
+    """tok, pos, id, n, g (the group of documents with this prefix and size), comp: the prefix shingles that two have."""
+    found = written(prefixes(reps, percent, share), "prefixes")
+    found = found.withColumn("k", F.when(F.col("alone"), F.col("id")).otherwise(F.xxhash64(F.sort_array(F.transform("prefix", lambda x: x.tok)))))
+    key = F.struct(F.when(F.col("alone"), 0).otherwise(F.col("n")).cast("long").alias("n"), F.col("k"))
+    entries = found.select(F.explode("prefix").alias("x"), "id", "n", key.alias("g"), F.col("id").alias("comp")).select("x.tok", "x.pos", "id", "n", "g", "comp")
+    shared = entries.groupBy("tok").agg(F.count("*").alias("m")).where("m > 1").select("tok")
+    return written(entries.join(shared, "tok"), "entries")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -176,29 +201,33 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str
     light_rows = made.select(F.col("id").cast("long").alias("id"), "n", "s1", "s2")
     classes = written(light_rows.where("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")), "classes")
     reps = made.where("n > 0").withColumn("id", F.col("id").cast("long")).join(classes.select("n", "s1", "s2", F.col("rep").alias("id")), ["id", "n", "s1", "s2"], "left_semi").dropDuplicates(["id", "n", "s1", "s2"])
-    found = written(prefixes(reps, percent), "prefixes")
-    key = F.when(F.col("alone"), F.struct(F.lit(0).cast("long").alias("n"), F.col("id").alias("k"))).otherwise(F.struct(F.col("n").alias("n"), F.xxhash64(F.sort_array("prefix")).alias("k")))
-    entries = found.select(F.explode("prefix").alias("tok"), "id", "n", key.alias("g"), F.col("id").alias("comp"))
-    shared = entries.groupBy("tok").agg(F.count("*").alias("m")).where("m > 1").select("tok")
-    entries = written(entries.join(shared, "tok"), "entries")
-    ids = written(entries.select("id").distinct(), "ids")
-    few = ids.count() <= 2 * MAX_BROADCAST
     source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
-    texts = written(source.join(F.broadcast(ids) if few else ids, "id"), "texts")
+    volume = classes.agg(F.sum("n")).first()[0] or 0
+    start, share, texts = 0.0, SHARE, source
+    for k in range(PASSES):
+        entries = entries_of(reps, percent, share)
+        ids = written(entries.select("id").distinct(), "ids")
+        few = ids.count() <= 5 * MAX_BROADCAST  # of 8 bytes each
+        texts = written(texts.join(F.broadcast(ids) if few else ids, "id"), "texts")
+        if share >= 1 or k == PASSES - 1:
+            break
+        left = entries.select("id", "n").distinct().agg(F.sum("n")).first()[0] or 0
+        start, share = start + share, min(1.0, SHARE * volume / max(left, 1))
+        reps = written(sketches(texts, n, percent, "id", "text", start % 1, share), "sketches").dropDuplicates(["id", "n", "s1", "s2"])
     links = []
     for k in range(PIVOT_ROUNDS + 1):
-        open_toks = entries.groupBy("tok").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.min_by(F.struct("id", "n", "comp"), F.xxhash64("id", F.lit(k)) if k else F.col("id")).alias("pivot")).where("c < d").select("tok", "pivot")
-        fits = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
+        open_toks = entries.groupBy("tok").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.min_by(F.struct("id", "n", "comp", "pos"), F.xxhash64("id", F.lit(k)) if k else F.col("id")).alias("pivot")).where("c < d").select("tok", "pivot")
+        fits = lambda x, y, i, j: (F.least(x, y) * 100 >= F.greatest(x, y) * percent) & (F.least(x - i, y - j) * (100 + percent) >= (x + y) * percent)
         if k < PIVOT_ROUNDS:
-            pairs = entries.join(open_toks, "tok").where((F.col("comp") != F.col("pivot.comp")) & fits(F.col("n"), F.col("pivot.n"))).select(F.col("pivot.id").alias("a"), F.col("id").alias("b"))
+            pairs = entries.join(open_toks, "tok").where((F.col("comp") != F.col("pivot.comp")) & fits(F.col("n"), F.col("pivot.n"), F.col("pos"), F.col("pivot.pos"))).select(F.col("pivot.id").alias("a"), F.col("id").alias("b"))
         else:
-            still = entries.join(open_toks.select("tok"), "tok").select("tok", "comp", "id", "n", "g")
+            still = entries.join(open_toks.select("tok"), "tok").select("tok", "comp", "id", "n", "g", "pos")
             comps = still.select("tok", "comp").distinct()
             crossing = comps.select("tok", F.col("comp").alias("ca")).join(comps.select("tok", F.col("comp").alias("cb")), "tok").where("ca < cb")
-            groups = still.select("tok", "comp", "g", "n").distinct()
-            left = groups.select("tok", F.col("comp").alias("ca"), F.col("g").alias("ga"), F.col("n").alias("na"))
-            right = groups.select("tok", F.col("comp").alias("cb"), F.col("g").alias("gb"), F.col("n").alias("nb"))
-            of_groups = crossing.join(left, ["tok", "ca"]).join(right, ["tok", "cb"]).where(fits(F.col("na"), F.col("nb"))).select("ca", "ga", "cb", "gb").distinct()
+            groups = still.groupBy("tok", "comp", "g", "n").agg(F.min("pos").alias("pos"))
+            left = groups.select("tok", F.col("comp").alias("ca"), F.col("g").alias("ga"), F.col("n").alias("na"), F.col("pos").alias("ia"))
+            right = groups.select("tok", F.col("comp").alias("cb"), F.col("g").alias("gb"), F.col("n").alias("nb"), F.col("pos").alias("ib"))
+            of_groups = crossing.join(left, ["tok", "ca"]).join(right, ["tok", "cb"]).where(fits(F.col("na"), F.col("nb"), F.col("ia"), F.col("ib"))).select("ca", "ga", "cb", "gb").distinct()
             of_group = still.select("comp", "g", "id").distinct()
             pairs = of_groups.join(of_group.select(F.col("comp").alias("ca"), F.col("g").alias("ga"), F.col("id").alias("a")), ["ca", "ga"]).join(of_group.select(F.col("comp").alias("cb"), F.col("g").alias("gb"), F.col("id").alias("b")), ["cb", "gb"]).select("a", "b")
         pairs = written(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct() if k == PIVOT_ROUNDS else pairs.where("a <> b").distinct(), "pairs")
