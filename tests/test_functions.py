@@ -29,7 +29,7 @@ def test_boundaries(spark):
 def test_profile(spark):
     t = "First sentence goes here. Second one is a bit longer than that!\n\nNew paragraph — with a dash. No.\n- bullet line here now"
     r = text.profiled(frame(spark, t, None, "")).orderBy("doc_id").collect()
-    assert (r[0].words, r[0].sentences, r[0].paragraphs) == (22, 4, 2) and r[0].bullet_line_ratio == 0.25 and r[0].language == "autre"
+    assert (r[0].words, r[0].sentences, r[0].paragraphs) == (22, 4, 2) and r[0].bullet_line_ratio == 0.33 and r[0].language == "en"
     assert r[1].words == 0 == r[2].words and r[1].language == "autre" and r[2].sentence_length_cv == 0
     assert text.profiled(frame(spark, "the cat is on the mat and it was there")).first().language == "en"
 
