@@ -128,3 +128,36 @@ def project(paths: Column, commits: Column) -> Column:
         F.when(F.size(logs) > 0, signal(PROJECT, "project-assistant-transcript", "project", "fort", "ia", 40, F.size(logs), _hints(logs))), F.when(F.size(configs) > 0, signal(PROJECT + 1, "project-assistant-files", "project", "fort", "ia", 30, F.size(configs), _hints(configs))),
         F.when(commits.isNull(), signal(PROJECT + 2, "project-git-missing", "project", "info", "neutre", 0)).when(F.size(signed) == 0, signal(PROJECT + 2, "project-git-clean", "project", "info", "neutre", 0)).otherwise(signal(PROJECT + 2, "project-git-assistant", "project", "fort", "ia", 40, F.size(signed), _hints(signed))),
     )
+
+
+# fixed values: what assistants leave in code (id, pattern, flags, least in a file, strength, points)
+CODE_RULES = (
+    ("code-chat", r"here(?:'s| is) the (?:updated|complete|full|corrected|fixed|revised) (?:code|version|script)|voici (?:le|la) (?:code|version|script) (?:complet|complète|corrigée?|mise? à jour)", "i", 1, "fort", 30),
+    ("code-placeholders", r"your[_-]?api[_-]?key|YOUR_[A-Z_]+_HERE|your_[a-z_]+_here|<your[-_ ][a-z ]+>|path\/to\/your|replace with your|remplace[rz]? (?:par|avec) (?:ton|ta|tes|votre|vos)|(?:#|\/\/)\s*(?:example usage|exemple d['’]utilisation|usage example)", "i", 1, "moyen", 14),
+    ("code-steps", r"^\s*(?:#|\/\/|--)\s*(?:step|étape)\s*\d+", "im", 2, "faible", 8),
+    ("code-narration", r"^\s*(?:#|\/\/)\s*(?:let['’]s|now (?:we|let['’]s)|this (?:function|will|is|code)|here we|ici,? on|maintenant,? on|on va|cette fonction)", "im", 3, "faible", 6),
+    ("code-emoji-logs", r"""(?:print|console\.(?:log|error|warn|info)|echo|logger\.\w+|log\.\w+)\s*\(?\s*f?["'`][^"'`\n]*(?:[\u{1F300}-\u{1FAFF}]|✅|❌|⚠️|✔|✓)""", "", 2, "faible", 8),
+)
+HASH_COMMENTS = ("py", "sh", "bash", "zsh", "rb", "yml", "yaml", "toml", "r", "pl", "ps1", "conf")
+TYPOGRAPHY = "[—–→←⇒≠≈≤≥…«»“”’]"
+BANNER = r"^\s*(?:\/\*\*?|\/\/|#)?\s*\*?\s*(?!TODO|FIXME|NOTE|HACK|XXX|WARNING|IMPORTANT)[A-ZÀ-Ý][A-ZÀ-Ý0-9'\/]{2,}(?: [A-ZÀ-Ý0-9'\/]+)*\s*[—–]\s+\S[^\n]*"
+
+
+def comments(t: Column, extension: Column) -> Column:
+    """The comments of a source file: after # in some languages, else after // or between /* and */."""
+    hashes = F.regexp_extract_all(t, F.lit(java(r"(?:^|\s)#(?![!{])[^\n]*", "m")), 0)
+    slashes = F.regexp_extract_all(t, F.lit(java(r"\/\/[^\n]*|\/\*[\s\S]*?\*\/")), 0)
+    return F.when(F.coalesce(extension.isin(*HASH_COMMENTS), F.lit(False)), hashes).otherwise(slashes)
+
+
+def code(t: Column, extension: Column) -> Column:
+    """Signals of one source file; a project's files are rows of their own, whose signals are summed up by project."""
+    marks = F.filter(F.split(F.array_join(comments(t, extension), " "), ""), lambda c: c.rlike(f"^{TYPOGRAPHY}$"))
+    n, kinds = F.size(marks), F.size(F.array_distinct(marks))
+    strong = (n >= 6) | (kinds >= 3)
+    both = (("chatgpt", 1), ("claude", 1))
+    rules_ = [F.when(F.regexp_count(t, F.lit(java(p, flags))) >= least, signal(CODE + i, id_, "code", strength, "ia", points, F.regexp_count(t, F.lit(java(p, flags))))) for i, (id_, p, flags, least, strength, points) in enumerate(CODE_RULES)]
+    return _all(
+        *rules_, F.when((n >= 3) | (kinds >= 2), signal(CODE + 10, "code-typography", "code", F.when(strong, "moyen").otherwise("faible"), "ia", F.when(strong, 22).otherwise(12), n, both)),
+        F.when(F.left(t, F.lit(800)).rlike(java(BANNER, "m")), signal(CODE + 11, "code-banner", "code", "moyen", "ia", 22, None, both)),
+    )

@@ -118,3 +118,9 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_answers_of_batch(spark):
     t = "===== p01\n**" + "word " * 25 + "**\n===== p02\ntoo short\n"
     assert [(r.prompt_id, len(r.answer.split())) for r in readers.answers_of_batch(spark.createDataFrame([(t,)], "text string")).collect()] == [("p01", 25)]
+
+
+def test_code_rules(spark):
+    rows = [("# Here's the updated code\nx = 1", "py"), ("key = 'YOUR_API_KEY'", "py"), ("# Step 1\na\n# Step 2\nb", "py"), ("// this function a\n// let's b\n// now we c", "js"), ("print('✅ ok')\nprint('❌ no')", "py"), ("# a → b … c\nx", "py"), ("/* DOMAIN SERVICE — does things */\nx", "js"), ("x = '→ … —'", "py"), ("", "py")]
+    got = [[s.id for s in r.c] for r in spark.createDataFrame(rows, "t string, e string").select(files.code(F.col("t"), F.col("e")).alias("c")).collect()]
+    assert got == [["code-chat"], ["code-placeholders"], ["code-steps"], ["code-narration"], ["code-emoji-logs"], ["code-typography"], ["code-banner"], [], []]
