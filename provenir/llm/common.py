@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -50,6 +51,17 @@ def drop_written(df: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete written tables that are done with, and let Spark remove the shuffle files that nothing refers to any more.
+
+    Spark removes these when the driver's JVM collects garbage, which a long job with a small driver may not do.
+    """
+    for df in tables:
+        drop_written(df)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def lower_ascii(col: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(col, UPPER, LOWER)

@@ -6,7 +6,7 @@
    others by hash. Two sets of Jaccard similarity t or more share a shingle within the first n - ceil(t n) + 1 of
    each. A shingle that no other set has in its part can be skipped, so only repeated ones are looked at further,
    and a document whose prefix holds none has no partner. What is left is counted anew among itself, over another
-   and larger share of the range (as many shingles as the first time, or all), which leaves hardly any but true
+   and larger share of the range (half as many shingles as the first time, or all), which leaves hardly any but true
    partners; of these, pairs must also fit in size and in the place of their first common shingle.
 3. Documents with identical prefixes and size are one group; groups that share a prefix shingle and whose sizes
    fit are candidates. Links are wanted for components, so a few rounds first verify each shingle's documents
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import light
-from .common import by_group, components, written
+from .common import by_group, components, release, written
 
 U = np.uint64
 _random = np.random.default_rng(20240601)
@@ -41,9 +41,12 @@ _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
 _PLACE = _random.integers(0, 2**63, 64, dtype=np.uint64) * U(2) + U(1)
 CHUNK = 1 << 20
-#: Part of the range of hashes that is counted in the first pass over all documents, and passes at most.
-SHARE = 0.18
-PASSES = 3
+#: Part of the range of hashes that is counted in the first pass over all documents, as a multiple of the part that
+#: the prefixes need; and passes at most.
+SPARE = 1.2
+PASSES = 2
+#: Shingles of the second pass, as a part of those of the first.
+SECOND = 0.5
 RANGE = 2**63
 #: Partners of one document that are verified in one group.
 STAR = 256
@@ -110,7 +113,7 @@ def needed(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def sketches(docs: DataFrame, n: int, percent: int, doc_id: str, text: str, start: float = 0.0, share: float = SHARE) -> DataFrame:
+def sketches(docs: DataFrame, n: int, percent: int, doc_id: str, text: str, start: float = 0.0, share: float = 1.0) -> DataFrame:
     """id, n, s1, s2 (a signature of the set), n_low and the shingles of the low part, more if the prefix needs them.
 
     The hashes are turned so that the range begins at `start` of it; the low part is `share` of it.
@@ -153,12 +156,14 @@ def prefixes(reps: DataFrame, percent: int, share: float) -> DataFrame:
 
 def entries_of(reps: DataFrame, percent: int, share: float) -> DataFrame:
     """tok, pos, id, n, g (the group of documents with this prefix and size), comp: the prefix shingles that two have."""
-    found = written(prefixes(reps, percent, share), "prefixes")
+    made = found = written(prefixes(reps, percent, share), "prefixes")
     found = found.withColumn("k", F.when(F.col("alone"), F.col("id")).otherwise(F.xxhash64(F.sort_array(F.transform("prefix", lambda x: x.tok)))))
     key = F.struct(F.when(F.col("alone"), 0).otherwise(F.col("n")).cast("long").alias("n"), F.col("k"))
     entries = found.select(F.explode("prefix").alias("x"), "id", "n", key.alias("g"), F.col("id").alias("comp")).select("x.tok", "x.pos", "id", "n", "g", "comp")
     shared = entries.groupBy("tok").agg(F.count("*").alias("m")).where("m > 1").select("tok")
-    return written(entries.join(shared, "tok"), "entries")
+    out = written(entries.join(shared, "tok"), "entries")
+    release(reps.sparkSession, made)
+    return out
 
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -197,13 +202,15 @@ def relabel(entries: DataFrame, members: DataFrame) -> DataFrame:
 
 def link_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs; ids are integers."""
-    made = written(sketches(docs, n, percent, doc_id, text), "sketches")
-    light_rows = made.select(F.col("id").cast("long").alias("id"), "n", "s1", "s2")
+    first = min(1.0, SPARE * (100 - percent) / 100)
+    made = written(sketches(docs, n, percent, doc_id, text, 0.0, first), "sketches")
+    spark = docs.sparkSession
+    light_rows = written(made.select(F.col("id").cast("long").alias("id"), "n", "s1", "s2"), "rows")
     classes = written(light_rows.where("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")), "classes")
     reps = made.where("n > 0").withColumn("id", F.col("id").cast("long")).join(classes.select("n", "s1", "s2", F.col("rep").alias("id")), ["id", "n", "s1", "s2"], "left_semi").dropDuplicates(["id", "n", "s1", "s2"])
     source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
     volume = classes.agg(F.sum("n")).first()[0] or 0
-    start, share, texts = 0.0, SHARE, source
+    start, share, texts = 0.0, first, source
     for k in range(PASSES):
         entries = entries_of(reps, percent, share)
         ids = written(entries.select("id").distinct(), "ids")
@@ -212,8 +219,11 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str
         if share >= 1 or k == PASSES - 1:
             break
         left = entries.select("id", "n").distinct().agg(F.sum("n")).first()[0] or 0
-        start, share = start + share, min(1.0, SHARE * volume / max(left, 1))
-        reps = written(sketches(texts, n, percent, "id", "text", start % 1, share), "sketches").dropDuplicates(["id", "n", "s1", "s2"])
+        start, share = start + share, min(1.0, SECOND * first * volume / max(left, 1))
+        release(spark, made, entries)
+        made = written(sketches(texts, n, percent, "id", "text", start % 1, share), "sketches")
+        reps = made.dropDuplicates(["id", "n", "s1", "s2"])
+    release(spark, made)
     links = []
     for k in range(PIVOT_ROUNDS + 1):
         open_toks = entries.groupBy("tok").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.min_by(F.struct("id", "n", "comp", "pos"), F.xxhash64("id", F.lit(k)) if k else F.col("id")).alias("pivot")).where("c < d").select("tok", "pivot")
