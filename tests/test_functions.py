@@ -106,3 +106,11 @@ def test_registered_queries_have_names():
     from provenir import oracle
 
     assert oracle.SQL.keys() <= queries.QUERIES.keys() and len(queries.QUERIES) > 35
+
+
+def test_sql_functions(spark):
+    from provenir.functions.sql import register
+
+    assert "text_words" in register(spark)
+    r = spark.sql("SELECT text_words('it''s two-fold été') AS w, text_word_count('a b') AS n, text_paragraph_count('a\n \nb\n\n') AS p, text_trim(' x ') AS t, text_matches('Ab ab b', 'a?b') AS m").first()
+    assert (r.w, r.n, r.p, r.t, r.m) == (["it's", "two-fold", "été"], 2, 2, "x", ["ab", "b"])
