@@ -10,7 +10,8 @@
    partners; of these, pairs must also fit in size and in the place of their first common shingle.
 3. Documents with identical prefixes and size are one group; groups that share a prefix shingle and whose sizes
    fit are candidates. Links are wanted for components, so a few rounds first verify each shingle's documents
-   against one pivot and join what is linked; then all candidate pairs of groups that are still in different
+   against one pivot (first the one that shares most, which in a family of copies is their source) and join what is
+   linked; then all candidate pairs of groups that are still in different
    components are expanded to their members and verified. No link between components is left out.
 4. Verification recomputes both sets from the whole texts; a document with many partners is split by salt.
 
@@ -139,7 +140,7 @@ def sketches(docs: DataFrame, n: int, percent: int, doc_id: str, text: str, star
 
 def prefixes(reps: DataFrame, percent: int, share: float) -> DataFrame:
     """id, n, prefix: for the sets that have one, the repeated shingles of the prefix (tok, pos: place in the order, or
-    less); alone: the prefix has others too."""
+    less); alone: the prefix has others too; w: how many documents share its shingles, on average."""
     top = min(int(share * RANGE), RANGE - 1)
     rows = reps.select(F.explode("toks").alias("tok"), "id", F.shiftleft("n", 31).bitwiseOR(F.col("n_low")).alias("sizes"))
     shared = rows.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
@@ -151,7 +152,8 @@ def prefixes(reps: DataFrame, percent: int, share: float) -> DataFrame:
     placed = F.transform("found", lambda x, i: F.struct(x.tok.alias("tok"), (F.col("n_low") - F.col("k") + i).cast("long").alias("pos")))
     cut = F.when(F.col("n_low") < F.col("p"), placed).otherwise(F.slice(placed, F.lit(1), F.greatest(F.col("p") - (F.col("n_low") - F.col("k")), F.lit(0)).cast("int")))
     alone = (F.col("n_low") >= F.col("p")) & (F.col("n_low") > F.col("k")) | (F.col("n_low") < F.col("p")) & (F.size("found") < F.col("p"))
-    return per.select("id", "n", cut.alias("prefix"), alone.alias("alone")).where(F.size("prefix") > 0)
+    common = F.aggregate("found", F.lit(0).cast("long"), lambda a, x: a + F.when(x.df < last, x.df).otherwise(0)) / F.greatest(F.col("n_low"), F.lit(1))
+    return per.select("id", "n", cut.alias("prefix"), alone.alias("alone"), common.alias("w")).where(F.size("prefix") > 0)
 
 
 def entries_of(reps: DataFrame, percent: int, share: float) -> DataFrame:
@@ -159,7 +161,7 @@ def entries_of(reps: DataFrame, percent: int, share: float) -> DataFrame:
     made = found = written(prefixes(reps, percent, share), "prefixes")
     found = found.withColumn("k", F.when(F.col("alone"), F.col("id")).otherwise(F.xxhash64(F.sort_array(F.transform("prefix", lambda x: x.tok)))))
     key = F.struct(F.when(F.col("alone"), 0).otherwise(F.col("n")).cast("long").alias("n"), F.col("k"))
-    entries = found.select(F.explode("prefix").alias("x"), "id", "n", key.alias("g"), F.col("id").alias("comp")).select("x.tok", "x.pos", "id", "n", "g", "comp")
+    entries = found.select(F.explode("prefix").alias("x"), "id", "n", key.alias("g"), F.col("id").alias("comp"), "w").select("x.tok", "x.pos", "id", "n", "g", "comp", "w")
     shared = entries.groupBy("tok").agg(F.count("*").alias("m")).where("m > 1").select("tok")
     out = written(entries.join(shared, "tok"), "entries")
     release(reps.sparkSession, made)
@@ -226,7 +228,7 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str
     release(spark, made)
     links = []
     for k in range(PIVOT_ROUNDS + 1):
-        open_toks = entries.groupBy("tok").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.min_by(F.struct("id", "n", "comp", "pos"), F.xxhash64("id", F.lit(k)) if k else F.col("id")).alias("pivot")).where("c < d").select("tok", "pivot")
+        open_toks = entries.groupBy("tok").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.max_by(F.struct("id", "n", "comp", "pos"), F.struct(F.xxhash64("id", F.lit(k)) if k else F.col("w"), "id")).alias("pivot")).where("c < d").select("tok", "pivot")
         fits = lambda x, y, i, j: (F.least(x, y) * 100 >= F.greatest(x, y) * percent) & (F.least(x - i, y - j) * (100 + percent) >= (x + y) * percent)
         if k < PIVOT_ROUNDS:
             pairs = entries.join(open_toks, "tok").where((F.col("comp") != F.col("pivot.comp")) & fits(F.col("n"), F.col("pivot.n"), F.col("pos"), F.col("pivot.pos"))).select(F.col("pivot.id").alias("a"), F.col("id").alias("b"))
