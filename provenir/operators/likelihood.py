@@ -37,27 +37,36 @@ def position_stats(logits: DataFrame, vocabulary: int) -> DataFrame:
     return x.withColumn("mean", s1).withColumn("variance", F.greatest(F.lit(0.0), s2 - s1 * s1)).withColumn("log_prob", F.col("_own") - F.col("_z")).drop("_z", "_own", "_a")
 
 
+def crossed(x: DataFrame) -> DataFrame:
+    """x with x_ppl, for rows that have the logits of both: logits and total_weight the performer's, observed the observer's."""
+    top = F.col("observed")[0].logit
+    x = x.withColumn("_z", F.col("logits")[0].logit + F.log("total_weight")).withColumn("_p", F.map_from_entries(F.transform("logits", lambda e: F.struct(e.token, e.logit))))
+    x = x.withColumn("_mass", F.aggregate("observed", F.lit(0.0), lambda a, e: a + F.exp(e.logit - top)))
+    cross = F.aggregate("observed", F.lit(0.0), lambda a, e: a - F.exp(e.logit - top) / F.col("_mass") * (F.try_element_at("_p", e.token) - F.col("_z")))
+    return x.withColumn("x_ppl", cross).drop("_z", "_p", "_mass")
+
+
 def cross_entropy(observer: DataFrame, performer: DataFrame, key: str) -> DataFrame:
     """(key, pos, x_ppl): expectation of the performer's -log p under the observer; null if it lacks a token."""
-    p = performer.select(key, "pos", (F.col("logits")[0].logit + F.log("total_weight")).alias("_z"), F.map_from_entries(F.transform("logits", lambda e: F.struct(e.token, e.logit))).alias("_p"))
-    x = observer.join(p, [key, "pos"])
-    top = F.transform("logits", lambda e: F.exp(e.logit - F.col("logits")[0].logit))
-    mass = F.aggregate(top, F.lit(0.0), lambda a, v: a + v)
-    x = x.withColumn("_mass", mass)
-    cross = F.aggregate("logits", F.lit(0.0), lambda a, e: a - F.exp(e.logit - F.col("logits")[0].logit) / F.col("_mass") * (F.try_element_at("_p", e.token) - F.col("_z")))
-    return x.select(key, "pos", cross.alias("x_ppl"))
+    x = observer.select(key, "pos", F.col("logits").alias("observed")).join(performer.select(key, "pos", "logits", "total_weight"), [key, "pos"])
+    return crossed(x).select(key, "pos", "x_ppl")
 
 
 def prefix_measures(positions: DataFrame, key: str, lengths: tuple[int, ...]) -> DataFrame:
     """Measures of each text's first tokens, for each length (the whole text where it is shorter, once).
 
-    positions: (key, pos, log_prob, mean, variance, x_ppl or null). One grouping serves all lengths.
+    positions: (key, pos, log_prob, mean, variance, x_ppl or null). One grouping serves all lengths; it adds up where the
+    positions are made, so that one row a text travels. Every position counts for a text's length.
     """
-    n = F.max("pos").over(Window.partitionBy(key)) + 2
-    x = positions.withColumn("_n", n).withColumn("size", F.explode(F.array_distinct(F.transform(F.array(*map(F.lit, lengths)), lambda k: F.least(k, F.col("_n"))))))
-    x = x.where(F.col("pos") < F.col("size") - 1)
-    both = F.col("x_ppl").isNotNull()
-    g = x.groupBy(key, "size").agg(F.count("*").alias("k"), F.sum("log_prob").alias("lp"), F.sum("mean").alias("m"), F.sum("variance").alias("v"), F.avg(F.when(both, -F.col("log_prob"))).alias("a"), F.avg("x_ppl").alias("b"))
+    lengths = tuple(sorted(set(lengths)))
+
+    def part(k: int) -> Column:
+        own = lambda c: F.when(F.col("pos") < k - 1, c)
+        both = own(F.when(F.col("x_ppl").isNotNull(), -F.col("log_prob")))
+        return F.struct(F.least(F.lit(k), F.max("pos") + 2).alias("size"), F.count(own(F.lit(1))).alias("k"), F.sum(own(F.col("log_prob"))).alias("lp"), F.sum(own(F.col("mean"))).alias("m"), F.sum(own(F.col("variance"))).alias("v"), F.avg(both).alias("a"), F.avg(own(F.col("x_ppl"))).alias("b"))
+
+    g = positions.groupBy(key).agg(F.array(*map(part, lengths)).alias("_parts"))
+    g = g.select(key, F.explode(F.filter("_parts", lambda x, i: (i == 0) | (x.size != F.get("_parts", i - 1).size))).alias("_part")).select(key, "_part.*")
     return g.where("v > 0").select(key, "size", (F.col("k") + 1).alias("tokens"), (F.col("lp") / F.col("k")).alias("mean_log_prob"), (-F.col("m") / F.col("k")).alias("mean_entropy"), ((F.col("lp") - F.col("m")) / F.sqrt("v")).alias("criterion"), F.try_divide("a", "b").alias("binoculars"))
 
 

@@ -167,19 +167,27 @@ def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (text_stats, mattr, language_confusion, conversation_profile, artefact_rule_counts, unicode_rule_counts, style_counts, signals_long, signals_by_category, top_signals, vendor_attribution, origin_shares, quote_mode, verdict_score, verdict_distribution, docs_signals_labels, scan_markdown, scan_offsets, highlights_disjoint, verse_flag, prose_sample, clean_text, clean_utm, html_prose, report_summary)}
 
 
-def token_logits(spark: SparkSession, sf_dir: str, scale: float = 1.0) -> DataFrame:
-    """A token distribution for each of a text's first 60 words, made from word lengths: candidates are the next four."""
-    ws = F.slice(text.words(F.coalesce("text", F.lit(""))), 1, 60)
-    d = read(spark, sf_dir, "documents").select("doc_id", ws.alias("ws")).select("doc_id", "ws", F.posexplode("ws").alias("pos", "w"))
-    n = F.size("ws")
-    logits = F.transform(F.sequence(F.lit(0), F.least(F.lit(3), n - 1 - F.col("pos"))), lambda j: F.struct((F.col("pos") + j).cast("long").alias("token"), (-(0.7 * j + 0.03 * F.pmod(F.length(F.get("ws", F.col("pos") + j)), F.lit(5)) * j) * scale).cast("double").alias("logit")))
-    return d.select("doc_id", "pos", (F.col("pos") + F.pmod(F.length("w"), F.size(logits))).cast("long").alias("actual"), F.lit(3.5).cast("double").alias("total_weight"), logits.alias("logits"))
+def token_logits(spark: SparkSession, sf_dir: str, scale: float = 1.0, observer: float | None = None) -> DataFrame:
+    """A token distribution for each word of a text, made from word lengths: candidates are the next four.
+
+    With a scale for the observer, its distribution at the same position is there too.
+    """
+    d = read(spark, sf_dir, "documents").select("doc_id", F.transform(text.words(F.coalesce("text", F.lit(""))), F.length).alias("n"))
+    ahead = F.arrays_zip(*[(F.slice("n", j + 1, F.size("n")) if j else F.col("n")).alias(f"n{j}") for j in range(4)])  # a position carries four lengths, not its text
+    d = d.select("doc_id", F.posexplode(ahead).alias("pos", "a")).select("doc_id", "pos", "a.*")
+
+    def logits(by: float) -> Column:
+        made = [F.when(F.col(f"n{j}").isNotNull(), F.struct((F.col("pos") + j).cast("long").alias("token"), (-(0.7 * j + 0.03 * F.pmod(F.col(f"n{j}"), F.lit(5)) * j) * by).cast("double").alias("logit"))) for j in range(4)]
+        return F.filter(F.array(*made), lambda x: x.isNotNull())
+
+    d = d.select("doc_id", "pos", "n0", logits(scale).alias("logits"), *([] if observer is None else [logits(observer).alias("observed")]))
+    return d.withColumn("actual", (F.col("pos") + F.pmod("n0", F.size("logits"))).cast("long")).withColumn("total_weight", F.lit(3.5).cast("double")).drop("n0")
 
 
 def _measured(spark: SparkSession, sf_dir: str, lengths: tuple[int, ...] = (30, 50, 200)) -> DataFrame:
-    observer, performer = token_logits(spark, sf_dir), token_logits(spark, sf_dir, 0.8)
-    p = likelihood.position_stats(performer, 1000).select("doc_id", "pos", "log_prob", "mean", "variance")
-    return likelihood.prefix_measures(p.join(likelihood.cross_entropy(observer, performer, "doc_id"), ["doc_id", "pos"], "left"), "doc_id", lengths)
+    read_on = token_logits(spark, sf_dir, 0.8, 1.0).where(F.col("pos") < max(lengths) - 1)  # what the longest prefix reaches
+    p = likelihood.crossed(likelihood.position_stats(read_on, 1000))
+    return likelihood.prefix_measures(p.select("doc_id", "pos", "log_prob", "mean", "variance", "x_ppl"), "doc_id", lengths)
 
 
 def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
