@@ -242,7 +242,7 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str
             pairs = of_groups.join(of_group.select(F.col("comp").alias("ca"), F.col("g").alias("ga"), F.col("id").alias("a")), ["ca", "ga"]).join(of_group.select(F.col("comp").alias("cb"), F.col("g").alias("gb"), F.col("id").alias("b")), ["cb", "gb"]).select("a", "b")
         pairs = written(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct() if k == PIVOT_ROUNDS else pairs.where("a <> b").distinct(), "pairs")
         if pairs.isEmpty():
-            break
+            continue  # pivots without partners say nothing of the other pairs: only the last round is exhaustive
         new = written(verified(pairs, texts, n, percent), "links")
         links.append(new)
         if k < PIVOT_ROUNDS:
