@@ -5,6 +5,9 @@ longer host, then allow). A url without a rule takes the decision of its equival
 redirects (meta refresh) and canonical links of the pages. In a class an explicitly allowed url has precedence over
 blocked ones; a class without rules is allowed.
 
+A target is resolved against the page's <base>, else its url: absolute ones stay as they are, those with another
+scheme than one of hosts (mailto:) are no edges, all others take the scheme, host, path or folder they lack.
+
 Defined results: a null url and one without "://" have empty host and path and no rule, and are allowed; links to
 nothing, to the page itself and from null urls are no edges; repeated rows give repeated rows.
 """
@@ -21,6 +24,9 @@ CANONICAL = r"(?is)\brel\s*=\s*[\"']?[^\"'>]*\bcanonical\b"
 REFRESH = r"(?is)\bhttp-equiv\s*=\s*[\"']?\s*refresh\b"
 HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 REFRESH_TO = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)"
+#: The content of a refresh: seconds, then the target, with or without url=.
+REFRESH_CONTENT = r"(?is)\bcontent\s*=\s*[\"']?\s*[0-9.]+(?:\s*[;,]\s*|\s+)(?:url\s*=\s*)?+[\"']?([^\"'\s>;]+)"
+BASE = r"(?is)<base\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 
 
 def host_of(url: Column) -> Column:
@@ -31,14 +37,28 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, "://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def resolved(base: Column, to: Column) -> Column:
+    """The address that a reference names on a page of address base; null if it has none."""
+    root = F.regexp_extract(base, "^[^:/?#]*://[^/?#]*", 0)
+    folder = F.regexp_extract(base, "^[^:/?#]*://[^/?#]*(/(?:[^?#]*/)?)", 1)
+    path = F.regexp_extract(to, "^[^?#]*", 0)
+    path = F.when(path.startswith("/"), path).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), path))
+    step = lambda a, s: F.when(s == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).when(s == ".", a).otherwise(F.array_append(a, s))
+    parts = F.aggregate(F.split(F.regexp_replace(F.substr(path, F.lit(2)), r"(^|/)(\.\.?)$", "$1$2/"), "/"), F.array().cast("array<string>"), step)
+    plain = F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(parts, "/"))).otherwise(path)
+    below = F.concat(root, plain, F.regexp_extract(to, "(?s)[?#].*", 0))
+    out = F.when(to.rlike("(?i)^[a-z][a-z0-9+.-]*://"), to).when(to.rlike("(?i)^[a-z][a-z0-9+.-]*:") | (to == "") | to.startswith("#"), None)
+    out = out.when(to.startswith("//"), F.concat(F.regexp_extract(base, "^[^:/?#]*:", 0), to)).when(to.startswith("/"), below)
+    return out.when(root == "", None).when(to.startswith("?"), F.concat(F.regexp_extract(base, "^[^?#]*", 0), to)).otherwise(below)
+
+
 def edges_of(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(a, b): a page's url and the url it names as its redirect target or canonical address."""
     tags = F.filter(F.regexp_extract_all(F.col(html), F.lit(TAG), 0), lambda t: t.rlike(CANONICAL) | t.rlike(REFRESH))
-    to = F.regexp_replace(F.when(F.col("tag").rlike(CANONICAL), F.regexp_extract("tag", HREF, 1)).otherwise(F.regexp_extract("tag", REFRESH_TO, 1)), "&amp;", "&")
-    marked = pages.where(F.col(html).rlike("(?i)canonical|http-equiv")).select(F.col(url).alias("a"), F.explode(tags).alias("tag"))
-    root = F.regexp_extract("a", "^[^:/?#]*://[^/?#]*", 0)
-    absolute = F.when(to.contains("://"), to).when(to.startswith("//"), F.concat(F.regexp_extract("a", "^[^:/?#]*:", 0), to)).when(to.startswith("/"), F.concat(root, to))
-    return marked.select("a", absolute.alias("b")).where("a is not null and b is not null and b <> '' and a <> b")
+    to = F.regexp_replace(F.when(F.col("tag").rlike(CANONICAL), F.regexp_extract("tag", HREF, 1)).otherwise(F.coalesce(F.nullif(F.regexp_extract("tag", REFRESH_CONTENT, 1), F.lit("")), F.regexp_extract("tag", REFRESH_TO, 1))), "&amp;", "&")
+    marked = pages.where(F.col(html).rlike("(?i)canonical|http-equiv")).select(F.col(url).alias("a"), F.regexp_replace(F.regexp_extract(html, BASE, 1), "&amp;", "&").alias("base"), F.explode(tags).alias("tag"))
+    named = marked.select("a", F.coalesce(resolved(F.col("a"), F.col("base")), F.col("a")).alias("base"), to.alias("to"))
+    return named.select("a", resolved(F.col("base"), F.col("to")).alias("b")).where("a is not null and b is not null and b <> '' and a <> b")
 
 
 def judged(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
