@@ -14,13 +14,14 @@ from ..operators.verdict import scored
 MAX_ANALYSED, MAX_SHOWN = 400_000, 60_000
 
 
-def analyzed(docs: DataFrame, text: str = "text", kind: Column | None = None, urls: Column | None = None, measures: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+def analyzed(docs: DataFrame, text: str = "text", kind: Column | None = None, urls: Column | None = None, measures: DataFrame | None = None, key: str = "doc_id", limit: int | None = None) -> DataFrame:
     """docs with profile, ordered signals, scores and verdict. Without measures there is no shuffle.
 
     measures: (key, model_probability, model_reliability, model_domain, model_signal) of measured texts, joined by key.
-    Texts are analysed up to MAX_ANALYSED characters, the limit of a report.
+    limit: characters of a text that are analysed (MAX_ANALYSED in an interactive report); without it whole texts are.
     """
-    x = docs.withColumn(text, F.left(F.coalesce(F.col(text), F.lit("")), F.lit(MAX_ANALYSED))).withColumn("text_truncated", F.coalesce(F.length(F.col(text)) > MAX_SHOWN, F.lit(False)))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    x = docs.withColumn(text, whole if limit is None else F.left(whole, F.lit(limit))).withColumn("text_truncated", F.coalesce(F.length(F.col(text)) > MAX_SHOWN, F.lit(False)))
     x = detected(profiled(x, text), text, kind, urls)
     if measures is not None:
         x = x.join(measures, key, "left").withColumn("signals", F.when(F.col("model_signal").isNull(), F.col("signals")).otherwise(F.array_append("signals", F.col("model_signal")))).drop("model_signal")
