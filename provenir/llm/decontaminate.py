@@ -1,7 +1,7 @@
 """Benchmark decontamination with DataFrame functions only.
 
 The test items' windows of `n` words are hashed once and broadcast while they are few (MAX_BROADCAST windows,
-counted before); beyond that the same join is left to the planner. Each document is scanned once: its word
+counted before); beyond that the same join is left to the planner, and a position takes its own words along, no text. Each document is scanned once: its word
 positions are generated, the window at each is hashed, looked up, and a hit is verified word by word.
 
 Defined results: a null or wordless text has no words and no hits; an item of fewer words than `n` is one window
@@ -60,6 +60,12 @@ def hits(docs: DataFrame, items: DataFrame, n: int = 10, doc_id: str = "doc_id",
         own = grams.where(F.col("k") == k).select(F.col("hash").alias("h"), "gram", "items")
         exact = F.array_join(F.slice(F.regexp_extract_all(lower_ascii(F.col("t")), F.lit(WORD), 0), F.greatest("pos", F.lit(1)), k), " ")
         on = (F.xxhash64(_window("ws", F.col("pos"), k)) == F.col("h")) & (F.col("pos") > 0)
+        if not small:
+            both = words.withColumn("xs", F.coalesce(F.regexp_extract_all(lower_ascii(F.col("t")), F.lit(WORD), 0), F.array().cast("array<string>")))
+            last = F.least(F.size("ws"), F.size("xs")) - k + 1
+            place = lambda p: F.struct(p.alias("pos"), F.xxhash64(_window("ws", p, k)).alias("wh"), F.when(p > 0, F.array_join(_window("xs", p, k), " ")).alias("own"))  # noqa: B023, E731
+            at = both.select("id", "text_hash", F.size("ws").alias("n"), F.explode(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), place)).alias("x")).select("id", "text_hash", "n", "x.*")
+            size, exact, on = F.col("n"), F.col("own"), (F.col("wh") == F.col("h")) & (F.col("pos") > 0)
         found = at.join(F.broadcast(own) if small else own, on, "left").where((F.col("pos") == 0) | F.col("gram").isNotNull())
         found = found.where((F.col("pos") == 0) | (exact == F.col("gram")))
         here = F.col("pos") > 0
