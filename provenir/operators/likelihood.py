@@ -126,7 +126,8 @@ def thresholds_of(scores: DataFrame) -> DataFrame:
     """(bucket, offset): the score that all but FALSE_ALARMS of the human weight does not exceed."""
     human = scores.where(~F.col("ai")).withColumn("bucket", bucket(F.col("tokens")))
     w = Window.partitionBy("bucket")
-    x = human.withColumn("_sum", F.sum("weight").over(w.orderBy("score", "sample_id").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("weight").over(w))
+    per_score = human.groupBy("bucket", "score").agg(F.sum("weight").alias("weight"))
+    x = per_score.withColumn("_sum", F.sum("weight").over(w.orderBy("score").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("weight").over(w))
     return x.where(F.col("_sum") >= (1 - FALSE_ALARMS) * F.col("_all")).groupBy("bucket").agg(F.min("score").alias("offset"))
 
 
