@@ -2,16 +2,14 @@
 
 1. Every text becomes its set of shingle hashes (63 bits of a randomised polynomial hash); texts with equal sets
    collapse to the one with the least id.
-2. Shingles have one global order: those whose hash lies in a share of the range by document frequency, then the
-   others by hash. Two sets of Jaccard similarity t or more share a shingle within the first n - ceil(t n) + 1 of
-   each. A shingle that no other set has in its part can be skipped, so only repeated ones are looked at further,
-   and a document whose prefix holds none has no partner. What is left is counted anew among itself, over another
-   and larger share of the range (half as many shingles as the first time, or all), which leaves hardly any but true
-   partners; of these, pairs must also fit in size and in the place of their first common shingle.
-3. Documents with identical prefixes and size are one group; groups that share a prefix shingle and whose sizes
-   fit are candidates. Links are wanted for components, so a few rounds first verify each shingle's documents
-   against one pivot and join what is linked; then all candidate pairs of groups that are still in different
-   components are expanded to their members and verified. No link between components is left out.
+2. Shingles have one global order: the COMMON most frequent ones last, by frequency, the others by hash. Two sets of
+   Jaccard similarity t or more share a shingle within the first n - ceil(t n) + 1 of each, whatever the order;
+   prefix shingles that only one set has are dropped.
+3. Documents with identical prefixes and size are one group; groups that share a prefix shingle, whose sizes and places
+   in the order fit and whose bitmaps (the parity of the set in 1024 buckets, which bounds the difference of two sets
+   from below) do not rule it out are candidates. Only components are asked for, so a few rounds first verify each
+   document against one pivot of a shingle of its own and join what is linked; then all candidate pairs of groups that
+   are still in different components are expanded to their members and verified. No link between components is left out.
 4. Verification recomputes both sets from the whole texts; a document with many partners is split by salt.
 
 Defined results: a null or wordless text has an empty set and is linked with nothing; fewer words than `n` are one
@@ -21,15 +19,16 @@ rows give repeated rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import light
-from .common import by_group, components, release, written
+from .common import by_group, components, release, unused, written
 
 U = np.uint64
 _random = np.random.default_rng(20240601)
@@ -41,17 +40,17 @@ _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
 _PLACE = _random.integers(0, 2**63, 64, dtype=np.uint64) * U(2) + U(1)
 CHUNK = 1 << 20
-#: Part of the range of hashes that is counted in the first pass over all documents, as a multiple of the part that
-#: the prefixes need; and passes at most.
-SPARE = 1.2
-PASSES = 2
-#: Shingles of the second pass, as a part of those of the first.
-SECOND = 0.5
-RANGE = 2**63
-#: Partners of one document that are verified in one group.
-STAR = 256
-#: Candidate pairs that are broadcast at most, of 24 bytes each; more are joined by shuffle.
-MAX_BROADCAST = 200_000
+#: Shingles that are put last in the order at most, of 12 bytes each where they are broadcast, and the shingles that
+#: are counted at once.
+COMMON = 500_000
+BLOCK = 1 << 21
+#: A document's bitmap: 2 ** BITS buckets.
+BITS = 10
+WORDS = (1 << BITS) // 64
+#: Shingles of a document's partners that are verified in one group, but one partner at least.
+STAR = 500_000
+#: Ids that are broadcast at most, of about 24 bytes each; more are joined by shuffle.
+MAX_BROADCAST = 400_000
 PIVOT_ROUNDS = 3
 _powers: dict[int, np.ndarray] = {}
 
@@ -113,67 +112,119 @@ def needed(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def sketches(docs: DataFrame, n: int, percent: int, doc_id: str, text: str, start: float = 0.0, share: float = 1.0) -> DataFrame:
-    """id, n, s1, s2 (a signature of the set), n_low and the shingles of the low part, more if the prefix needs them.
+def common_shingles(docs: DataFrame, n: int) -> np.ndarray:
+    """Shingles that go last in the order, the most frequent last: COMMON at most, counted over all texts.
 
-    The hashes are turned so that the range begins at `start` of it; the low part is `share` of it.
+    Blocks of BLOCK shingles report what they hold twice, so the counts are somewhat low; they only shape the order,
+    and the join is right under any order.
     """
-    turn, top = int(start * RANGE), min(int(share * RANGE), RANGE - 1)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[np.ndarray] = []
+
+        def report() -> pd.DataFrame:
+            s = np.sort(np.concatenate(held))
+            held.clear()
+            at = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+            count = np.diff(np.append(at, len(s)))
+            return pd.DataFrame({"tok": s[at[count > 1]], "k": count[count > 1]})
+
+        size = 0
+        for x in frames:
+            for s in chunked_sets(x["text"].tolist(), n):
+                held.append(s)
+                size += len(s)
+                if size >= BLOCK:
+                    yield report()
+                    size = 0
+        if held:
+            yield report()
+
+    counted = written(light(docs.select("text"), 500).mapInPandas(run, "tok long, k long").groupBy("tok").agg(F.sum("k").alias("k")), "counts")
+    step = F.floor(F.log2("k") * 8).cast("int")
+    per_step = sorted(((r.step, r.m) for r in counted.groupBy(step.alias("step")).agg(F.count("*").alias("m")).collect()), reverse=True)  # 512 rows at most
+    cut, total = None, 0
+    for s, m in per_step:
+        total += m
+        if total > COMMON:
+            break
+        cut = s
+    found = np.zeros(0, dtype=np.int64)
+    if cut is not None:
+        rows = counted.where(step >= cut).toPandas()  # COMMON rows at most
+        found = rows["tok"].to_numpy()[np.lexsort((rows["tok"], rows["k"]))]
+    release(docs.sparkSession, counted)
+    return found
+
+
+def sketches(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """id, n, s1, s2 (a signature of the set), prefix (shingles in the common order) and bits (WORDS longs: the parity
+    of the set in each of 64 * WORDS buckets)."""
+    common = common_shingles(docs, n)
+    order = np.argsort(common)
+    held = docs.sparkSession.sparkContext.broadcast((common[order], order.astype(np.int32)))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, rank = held.value
         for x in frames:
             rows = []
             for s in chunked_sets(x["text"].tolist(), n):
-                m = mixed(s.astype(np.uint64)).view(np.int64)
-                if turn:
-                    s = np.sort((s - turn) & (RANGE - 1))
-                low = int(np.searchsorted(s, top))
-                rows.append((len(s), int(m.sum()), int(np.bitwise_xor.reduce(m)), low, s[: max(low, needed(len(s), percent) if len(s) else 0)]))
-            out = pd.DataFrame(rows, columns=["n", "s1", "s2", "n_low", "toks"])
+                m = mixed(s.astype(np.uint64))
+                prefix = s
+                if len(known) and len(s):
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    last = known[at] == s
+                    prefix = np.concatenate((s[~last], s[last][np.argsort(rank[at[last]])]))
+                parity = np.bincount((m >> U(64 - BITS)).astype(np.int64), minlength=1 << BITS).astype(np.uint8) & 1
+                m = m.view(np.int64)
+                rows.append((len(s), int(m.sum()), int(np.bitwise_xor.reduce(m)), prefix[: needed(len(s), percent) if len(s) else 0], np.packbits(parity).view(np.int64)))
+            out = pd.DataFrame(rows, columns=["n", "s1", "s2", "prefix", "bits"])
             out.insert(0, "id", x["id"].to_numpy())
-            yield out
-
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return light(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))).mapInPandas(run, f"id {kind}, n long, s1 long, s2 long, n_low long, toks array<long>")
-
-
-def prefixes(reps: DataFrame, percent: int, share: float) -> DataFrame:
-    """id, n, prefix: for the sets that have one, the repeated shingles of the prefix (tok, pos: place in the order, or
-    less); alone: the prefix has others too."""
-    top = min(int(share * RANGE), RANGE - 1)
-    rows = reps.select(F.explode("toks").alias("tok"), "id", F.shiftleft("n", 31).bitwiseOR(F.col("n_low")).alias("sizes"))
-    shared = rows.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
-    last = F.lit(2**62)
-    per = rows.join(shared, "tok").groupBy("id", "sizes").agg(F.count(F.when(F.col("tok") < top, 1)).cast("int").alias("k"), F.sort_array(F.collect_list(F.struct(F.when(F.col("tok") < top, F.col("df")).otherwise(last).alias("df"), "tok"))).alias("found"))
-    n, n_low = F.shiftright("sizes", 31), F.col("sizes").bitwiseAND(F.lit(2**31 - 1))
-    p = n - F.floor((n * percent + 99) / 100).cast("long") + 1
-    per = per.select("id", n.alias("n"), n_low.alias("n_low"), p.alias("p"), "found", "k")  # k: an expression here would run once for each shingle
-    placed = F.transform("found", lambda x, i: F.struct(x.tok.alias("tok"), (F.col("n_low") - F.col("k") + i).cast("long").alias("pos")))
-    cut = F.when(F.col("n_low") < F.col("p"), placed).otherwise(F.slice(placed, F.lit(1), F.greatest(F.col("p") - (F.col("n_low") - F.col("k")), F.lit(0)).cast("int")))
-    alone = (F.col("n_low") >= F.col("p")) & (F.col("n_low") > F.col("k")) | (F.col("n_low") < F.col("p")) & (F.size("found") < F.col("p"))
-    return per.select("id", "n", cut.alias("prefix"), alone.alias("alone")).where(F.size("prefix") > 0)
-
-
-def entries_of(reps: DataFrame, percent: int, share: float) -> DataFrame:
-    """tok, pos, id, n, g (the group of documents with this prefix and size), comp: the prefix shingles that two have."""
-    made = found = written(prefixes(reps, percent, share), "prefixes")
-    found = found.withColumn("k", F.when(F.col("alone"), F.col("id")).otherwise(F.xxhash64(F.sort_array(F.transform("prefix", lambda x: x.tok)))))
-    key = F.struct(F.when(F.col("alone"), 0).otherwise(F.col("n")).cast("long").alias("n"), F.col("k"))
-    entries = found.select(F.explode("prefix").alias("x"), "id", "n", key.alias("g"), F.col("id").alias("comp")).select("x.tok", "x.pos", "id", "n", "g", "comp")
-    shared = entries.groupBy("tok").agg(F.count("*").alias("m")).where("m > 1").select("tok")
-    out = written(entries.join(shared, "tok"), "entries")
-    release(reps.sparkSession, made)
+            yield out.astype({"id": "Int64"})
+
+    return light(docs, 500).mapInPandas(run, "id long, n long, s1 long, s2 long, prefix array<long>, bits array<long>")
+
+
+def entries_of(made: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """tok, pos, id, n, g (the group of documents with this prefix and size): prefix shingles of two sets or more.
+
+    Sets so small that no other set can be similar have none.
+    """
+    near = made.where((F.col("n") > 0) & F.col("id").isNotNull() & (F.col("n") * 100 >= (F.col("n") + 1) * percent))
+    rows = near.select("id", F.posexplode("prefix").alias("pos", "tok"))
+    twice = rows.groupBy("tok").agg(F.count("*").alias("m")).where("m > 1").select("tok")
+    few = written(rows.join(twice, "tok"), "repeated")
+    rep = classes.select(F.col("rep").alias("id"), "n", "g")
+    own = few.join(rep, "id")  # equal sets have one document here
+    shared = own.groupBy("tok").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("tok")
+    out = written(own.join(shared, "tok").select("tok", F.col("pos").cast("long").alias("pos"), "id", "n", "g").distinct(), "entries")
+    release(made.sparkSession, few)
     return out
 
 
+def far(a: str, b: str, size: Column, percent: int, masks: bool = False) -> Column:
+    """Whether the parities in the columns a and b show that the sets are not similar; a lower bound of the difference.
+
+    With masks, the buckets named in a_mask or b_mask are left out.
+    """
+    differ = reduce(
+        lambda x, y: x + y,
+        (F.bit_count((F.col(a)[i].bitwiseXOR(F.col(b)[i])) if not masks else (F.col(a)[i].bitwiseXOR(F.col(b)[i])).bitwiseAND(F.bitwise_not(F.col(a + "_mask")[i].bitwiseOR(F.col(b + "_mask")[i])))) for i in range(WORDS)),
+    )
+    return differ.cast("long") * (100 + percent) > size * (100 - percent)
+
+
 def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose texts are similar. texts: id, text."""
-    degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"))
-    own = degree.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("id"), F.lit(0).alias("side"))
-    other = pairs.join(degree, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("id"), F.lit(1).alias("side"))
+    """The pairs (a, b) whose texts are similar. pairs: a, b, n (size of b's set); texts: id, text.
+
+    The partners of one a are dealt out in parts of about STAR shingles.
+    """
+    degree = pairs.groupBy("a").agg(F.ceil(F.sum("n") / STAR).cast("int").alias("parts"))
+    own = degree.select("a", F.explode(F.sequence(F.lit(0), F.greatest("parts", F.lit(1)) - 1)).alias("part"), F.col("a").alias("id"), F.lit(0).alias("side"))
+    other = pairs.join(degree, "a").select("a", F.pmod(F.xxhash64("b"), F.greatest("parts", F.lit(1))).cast("int").alias("part"), F.col("b").alias("id"), F.lit(1).alias("side"))
     wanted = written(own.unionByName(other), "wanted")
-    near = F.broadcast(wanted) if wanted.count() <= 2 * MAX_BROADCAST else wanted
-    rows = texts.join(near, "id").select("a", "part", "side", "id", "text")
+    near = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST else wanted
+    rows = light(texts.join(near, "id").select("a", "part", "side", "id", "text"), 200)
 
     def run(x: pd.DataFrame, at: np.ndarray) -> pd.DataFrame:
         out_a, out_b = [], []
@@ -192,78 +243,80 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
                         break
         return pd.DataFrame({"a": np.array(out_a, dtype=np.int64), "b": np.array(out_b, dtype=np.int64)})
 
-    return by_group(rows, ["a", "part"], run, "a long, b long", rows=2000)
-
-
-def relabel(entries: DataFrame, members: DataFrame) -> DataFrame:
-    """entries with comp brought up to date by a (node, component) table of the comps."""
-    return entries.join(members.select(F.col("node").alias("comp"), "component"), "comp", "left").withColumn("comp", F.coalesce("component", "comp")).drop("component")
+    out = written(by_group(rows, ["a", "part"], run, "a long, b long", rows=200), "links")
+    release(pairs.sparkSession, wanted)
+    return out
 
 
 def link_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs; ids are integers."""
-    first = min(1.0, SPARE * (100 - percent) / 100)
-    made = written(sketches(docs, n, percent, doc_id, text, 0.0, first), "sketches")
     spark = docs.sparkSession
-    light_rows = written(made.select(F.col("id").cast("long").alias("id"), "n", "s1", "s2"), "rows")
-    classes = written(light_rows.where("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")), "classes")
-    reps = made.where("n > 0").withColumn("id", F.col("id").cast("long")).join(classes.select("n", "s1", "s2", F.col("rep").alias("id")), ["id", "n", "s1", "s2"], "left_semi").dropDuplicates(["id", "n", "s1", "s2"])
-    source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
-    volume = classes.agg(F.sum("n")).first()[0] or 0
-    start, share, texts = 0.0, first, source
-    for k in range(PASSES):
-        entries = entries_of(reps, percent, share)
-        ids = written(entries.select("id").distinct(), "ids")
-        few = ids.count() <= 5 * MAX_BROADCAST  # of 8 bytes each
-        texts = written(texts.join(F.broadcast(ids) if few else ids, "id"), "texts")
-        if share >= 1 or k == PASSES - 1:
-            break
-        left = entries.select("id", "n").distinct().agg(F.sum("n")).first()[0] or 0
-        start, share = start + share, min(1.0, SECOND * first * volume / max(left, 1))
-        release(spark, made, entries)
-        made = written(sketches(texts, n, percent, "id", "text", start % 1, share), "sketches")
-        reps = made.dropDuplicates(["id", "n", "s1", "s2"])
-    release(spark, made)
-    links = []
+    source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    made = written(sketches(source, n, percent), "sketches")
+    classes = written(made.where("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.min(F.xxhash64("prefix")).alias("g")), "classes")
+    entries = entries_of(made, classes, percent)
+    # bits of each document with an entry; comp: its component so far
+    of_entries = entries.select("id", "n").distinct()
+    state = written(made.where("n > 0").join(of_entries, ["id", "n"]).dropDuplicates(["id"]).select("id", "n", "bits", F.col("id").alias("comp")), "state")
+    few = state.count() <= MAX_BROADCAST
+    texts = written(source.where("id is not null").join(F.broadcast(state.select("id")) if few else state.select("id"), "id").distinct(), "texts")
+    fits = lambda x, y, i, j: (F.least(x, y) * 100 >= F.greatest(x, y) * percent) & (F.least(x - i, y - j) * (100 + percent) >= (x + y) * percent)
+    every: DataFrame | None = None
+    members: DataFrame | None = None
     for k in range(PIVOT_ROUNDS + 1):
-        open_toks = entries.groupBy("tok").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.min_by(F.struct("id", "n", "comp", "pos"), F.xxhash64("id", F.lit(k)) if k else F.col("id")).alias("pivot")).where("c < d").select("tok", "pivot")
-        fits = lambda x, y, i, j: (F.least(x, y) * 100 >= F.greatest(x, y) * percent) & (F.least(x - i, y - j) * (100 + percent) >= (x + y) * percent)
+        now = entries.join(state.select("id", "comp"), "id")
+        open_toks = now.groupBy("tok").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.min_by(F.struct("id", "n", "comp", "pos"), F.xxhash64("id", F.lit(k)) if k else F.col("id")).alias("pivot"), F.mode("comp").alias("most")).where("c < d").select("tok", "pivot", "most")
         if k < PIVOT_ROUNDS:
-            pairs = entries.join(open_toks, "tok").where((F.col("comp") != F.col("pivot.comp")) & fits(F.col("n"), F.col("pivot.n"), F.col("pos"), F.col("pivot.pos"))).select(F.col("pivot.id").alias("a"), F.col("id").alias("b"))
+            met = now.join(open_toks, "tok").where((F.col("comp") != F.col("pivot.comp")) & fits(F.col("n"), F.col("pivot.n"), F.col("pos"), F.col("pivot.pos"))).select(F.col("pivot.id").alias("a"), F.col("id").alias("b")).distinct()
+            both = met.join(state.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a")), "a").join(state.select(F.col("id").alias("b"), "n", F.col("bits").alias("bits_b")), "b")
+            near = both.where(~far("bits_a", "bits_b", F.col("na") + F.col("n"), percent))
+            pairs = near.groupBy("b", "n").agg(F.min_by("a", F.struct(F.abs(F.col("na") - F.col("n")), "a")).alias("a"))  # one pivot for each document and round
         else:
-            still = entries.join(open_toks.select("tok"), "tok").select("tok", "comp", "id", "n", "g", "pos")
-            comps = still.select("tok", "comp").distinct()
-            crossing = comps.select("tok", F.col("comp").alias("ca")).join(comps.select("tok", F.col("comp").alias("cb")), "tok").where("ca < cb")
-            groups = still.groupBy("tok", "comp", "g", "n").agg(F.min("pos").alias("pos"))
-            left = groups.select("tok", F.col("comp").alias("ca"), F.col("g").alias("ga"), F.col("n").alias("na"), F.col("pos").alias("ia"))
-            right = groups.select("tok", F.col("comp").alias("cb"), F.col("g").alias("gb"), F.col("n").alias("nb"), F.col("pos").alias("ib"))
-            of_groups = crossing.join(left, ["tok", "ca"]).join(right, ["tok", "cb"]).where(fits(F.col("na"), F.col("nb"), F.col("ia"), F.col("ib"))).select("ca", "ga", "cb", "gb").distinct()
-            of_group = still.select("comp", "g", "id").distinct()
-            pairs = of_groups.join(of_group.select(F.col("comp").alias("ca"), F.col("g").alias("ga"), F.col("id").alias("a")), ["ca", "ga"]).join(of_group.select(F.col("comp").alias("cb"), F.col("g").alias("gb"), F.col("id").alias("b")), ["cb", "gb"]).select("a", "b")
-        pairs = written(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct() if k == PIVOT_ROUNDS else pairs.where("a <> b").distinct(), "pairs")
+            pairs = crossing(now.join(open_toks.select("tok", "most"), "tok"), state, fits, percent)
+        pairs = written(pairs.select("a", "b", "n"), "pairs")
         if pairs.isEmpty():
+            release(spark, pairs)
             continue  # pivots without partners say nothing of the other pairs: only the last round is exhaustive
-        new = written(verified(pairs, texts, n, percent), "links")
-        links.append(new)
+        new = verified(pairs, texts, n, percent)
+        every = new if every is None else every.unionByName(new)
+        was, members = members, written(components(every, "a", "b"), "members")
         if k < PIVOT_ROUNDS:
-            every = links[0]
-            for x in links[1:]:
-                every = every.unionByName(x)
-            members = components(every, "a", "b")
-            entries = written(relabel(entries.withColumn("comp", F.col("id")), members), "entries")
-    if links:
-        every = links[0]
-        for x in links[1:]:
-            every = every.unionByName(x)
-        members = components(every, "a", "b")
-    else:
-        members = light_rows.sparkSession.createDataFrame([], "node long, component long")
+            old, state = state, written(state.drop("comp").join(members.select(F.col("node").alias("id"), F.col("component").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id")), "state")
+            release(spark, old)
+        release(spark, pairs, *([was] if was is not None else []))
+    release(spark, entries, texts, state)
+    if members is None:
+        members = spark.createDataFrame([], "node long, component long")
     rep_of = classes.join(members, F.col("rep") == F.col("node"), "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("c"))
-    per_row = light_rows.join(rep_of, ["n", "s1", "s2"], "left").select("id", "n", F.coalesce("c", "id").alias("component_id"))
-    return per_row.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+    per_row = made.select("id", "n", "s1", "s2").join(rep_of, ["n", "s1", "s2"], "left")
+    return per_row.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("c", "id")).alias("component_id"))
+
+
+def crossing(now: DataFrame, state: DataFrame, fits: Callable[..., Column], percent: int) -> DataFrame:
+    """(a, b, n): all pairs of documents of different components that may be similar.
+
+    now: entries with comp, and most: the component with most entries of the shingle. Groups of documents with the
+    same prefix, size and component meet over a shingle, each that is not of the most frequent component with all
+    others; of a group, buckets in which its members differ are left out of the comparison. Group pairs that are left
+    are expanded to their members.
+    """
+    of_group = now.select("comp", "g", "n", "id").distinct().join(state.select("id", "bits"), "id")
+    both = lambda f: F.array(*[f(F.col("bits")[i]) for i in range(WORDS)])
+    masks = of_group.groupBy("comp", "g", "n").agg(both(F.bit_and).alias("all"), both(F.bit_or).alias("some"))
+    masks = masks.select("comp", "g", "n", F.col("all").alias("bits"), F.zip_with("all", "some", lambda x, y: x.bitwiseXOR(y)).alias("mask"))
+    groups = now.groupBy("tok", "most", "comp", "g", "n").agg(F.min("pos").alias("pos")).join(masks, ["comp", "g", "n"])
+    side = lambda s: groups.select("tok", "most", *[F.col(c).alias(f"{c}_{s}") for c in ("comp", "g", "n", "pos")], F.col("bits").alias(f"bits_{s}"), F.col("mask").alias(f"bits_{s}_mask"))
+    left, right = side("a").where("comp_a <> most").drop("most"), side("b")
+    meet = (F.col("comp_a") != F.col("comp_b")) & ((F.col("comp_b") == F.col("most")) | (F.col("comp_a") < F.col("comp_b")))
+    on = (left["tok"] == right["tok"]) & meet & fits(F.col("n_a"), F.col("n_b"), F.col("pos_a"), F.col("pos_b")) & ~far("bits_a", "bits_b", F.col("n_a") + F.col("n_b"), percent, masks=True)
+    pairs = left.join(right, on).select("comp_a", "g_a", "n_a", "comp_b", "g_b", "n_b").distinct()
+    member = lambda s, i: of_group.select(*[F.col(c).alias(f"{c}_{s}") for c in ("comp", "g", "n")], F.col("id").alias(i), F.col("bits").alias(f"bits_{s}"))
+    found = pairs.join(member("a", "x"), ["comp_a", "g_a", "n_a"]).join(member("b", "y"), ["comp_b", "g_b", "n_b"]).where(~far("bits_a", "bits_b", F.col("n_a") + F.col("n_b"), percent))
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(F.col("x") < F.col("y"), F.col("n_b")).otherwise(F.col("n_a")).alias("n")).distinct()
 
 
 def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each component: the one with the least id. Rows with a null id stay."""
-    gone = link_components(docs, n, percent, doc_id, text).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    (gone,) = unused(docs, "gone")
+    out = link_components(docs, n, percent, doc_id, text).where("component_id <> doc_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(out, F.col(doc_id) == F.col(gone), "left_anti")
