@@ -35,7 +35,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write df to the shared folder and read it again, which cuts its lineage; the table outlives lost executors."""
     path = shared_path(df.sparkSession, name)
-    writer = df.write.mode("overwrite")
+    writer = df.write.mode("overwrite").option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     again = df.sparkSession.read.schema(df.schema).parquet(path)
     again._written_to = path

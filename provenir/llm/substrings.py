@@ -3,9 +3,10 @@
 A suffix array of the whole collection has no place on one machine, so the suffixes are first brought together
 where they can be equal at all:
 
-1. Anchors. Of the grams (GRAM bytes) in each window of MIN_LENGTH bytes the one with the least hash is its anchor;
-   equal windows have equal anchors at equal offsets. An anchor's windows fall into two halves by offset, and all
-   windows of a half share a core of at least GRAM + HALF bytes; cores are counted, and only repeated ones go on.
+1. Anchors. Of the grams in each window of MIN_LENGTH bytes the one with the least hash is its anchor; equal windows
+   have equal anchors at equal offsets. Anchors whose gram occurs once are done with. The windows of the others fall
+   into two halves by the anchor's offset; all windows of a half share a core around the anchor, which is more than
+   half a window, and only repeated cores go on.
 2. Occurrences whose whole surroundings (everything that the half's windows can touch) are equal are collapsed:
    all their windows are repeated. What remains is one occurrence of each distinct surrounding.
 3. For each core the remaining occurrences are sorted by what follows the anchor, which is their part of the suffix
@@ -14,8 +15,11 @@ where they can be equal at all:
    byte, the common prefix of the neighbours in each new interval is the least of those between, and the window at
    that offset is repeated if it reaches MIN_LENGTH together with what is to the left. Prefixes are followed up to
    MIN_LENGTH only, and rows alone in their interval drop out.
-4. Cores with more than HOT distinct surroundings are never gathered: their windows are counted by hash, with
-   partial sums before the shuffle.
+4. A core with more than HOT distinct surroundings is too large an interval for one task: its range of offsets is cut
+   into FAN parts, whose cores are longer and so split the rows by further bytes, and steps 2 and 3 are applied to each
+   part; at a single offset core and surroundings are the window itself, so the cutting ends.
+
+Cores and surroundings are compared by two hashes of 64 bits together.
 
 Defined results: a null text is empty; texts shorter than MIN_LENGTH bytes stay whole; repeated rows repeat each
 other's text, as do rows that share an id; a null id is kept; extra columns are kept by `deduplicated`.
@@ -23,7 +27,7 @@ other's text, as do rows that share an id; a null id is kept; extra columns are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,24 +35,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import light
-from .common import by_group, written
+from .common import by_group, release, unused, written
 from .ngramjoin import _BACK, _BASE, mixed, powers
 
 U = np.uint64
 MIN_LENGTH = 400
-GRAM = 64
 CHUNK = 1 << 20
+#: Distinct surroundings of a core that one task gets at most, and parts that the range of offsets of others is cut into.
 HOT = 4096
+FAN = 8
 #: Rows with places in documents that are broadcast at most, of about 40 bytes each.
-MAX_BROADCAST = 1_000_000
+MAX_BROADCAST = 100_000
 _CODE = np.random.default_rng(20240602).integers(0, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 
 
-def reach(w: int, side: int) -> tuple[int, int, int, int]:
-    """Of a half: least and largest offset of the anchor in a window, bytes before and after the anchor's start."""
-    offsets = w - GRAM + 1
-    half = offsets // 2
-    return (0, half - 1, half - 1, w) if side == 0 else (half, offsets - 1, offsets - 1, w - half)
+def gram(w: int) -> int:
+    """Bytes of a gram."""
+    return max(min(8, w), w // 8)
+
+
+def halves(w: int) -> tuple[tuple[int, int], tuple[int, int]]:
+    """Least and largest offset of the anchor in the windows of each half."""
+    offsets = w - gram(w) + 1
+    half = max(1, offsets // 2)
+    return (0, half - 1), (min(half, offsets - 1), offsets - 1)
+
+
+def parts_of(lo: int, hi: int) -> list[tuple[int, int]]:
+    """A range of offsets cut into FAN parts."""
+    step = -(-(hi - lo + 1) // FAN)
+    return [(x, min(hi, x + step - 1)) for x in range(lo, hi + 1, step)]
 
 
 def _chunks(texts: list[bytes]) -> Iterator[list[int]]:
@@ -63,10 +79,34 @@ def _chunks(texts: list[bytes]) -> Iterator[list[int]]:
         yield held
 
 
-def anchors(texts: list[bytes], w: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each text the places (2 * anchor + half), core hashes and hashes of the surroundings."""
-    none = (np.zeros(0, dtype=np.int64),) * 3
+class Sums:
+    """Hashes of any stretch of the bytes."""
+
+    def __init__(self, data: np.ndarray) -> None:
+        self.sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_CODE[data] * powers(_BASE, len(data)))))
+        self.back = powers(_BACK, len(data) + 1)
+
+    def piece(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        return mixed((self.sums[e] - self.sums[s]) * self.back[s] + (e - s).astype(np.uint64))
+
+    def keys(self, a: np.ndarray, first: np.ndarray, last: np.ndarray, w: int, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of anchors at a in texts from first to last: whether a window has one at an offset from lo to hi, and the
+        hashes of its core and surroundings."""
+        ok = (a - first >= lo) & (a - np.minimum(hi, a - first) + w <= last)
+        core, hull = np.zeros(len(a), dtype=np.uint64), np.zeros(len(a), dtype=np.uint64)
+        a, first, last = a[ok], first[ok], last[ok]
+        core[ok] = self.piece(a - lo, a + w - hi) + U(lo)
+        s, e = np.maximum(first, a - hi), np.minimum(last, a + w - lo)
+        hull[ok] = self.piece(s, e) ^ mixed((a - s).astype(np.uint64) * U(2) + U(1))
+        return ok, core.view(np.int64), hull.view(np.int64)
+
+
+def anchors(texts: list[bytes], w: int) -> list[tuple[np.ndarray, ...]]:
+    """For each text the places of its anchors, the hashes of their grams, and for each half those of the core and of
+    the surroundings (both 0 where no window of the half holds the anchor)."""
+    none = (np.zeros(0, dtype=np.int64),) * 6
     out = [none] * len(texts)
+    g = gram(w)
     for held in _chunks([t if len(t) >= w else b"" for t in texts]):
         own = [i for i in held if len(texts[i]) >= w]
         if not own:
@@ -75,10 +115,9 @@ def anchors(texts: list[bytes], w: int) -> list[tuple[np.ndarray, np.ndarray, np
         size = np.array([len(texts[i]) for i in own])
         start = np.cumsum(size) - size
         n = len(data)
-        sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_CODE[data] * powers(_BASE, n))))
-        back = powers(_BACK, n + 1)
-        span = w - GRAM + 1
-        grams = mixed((sums[GRAM:] - sums[: n - GRAM + 1]) * back[: n - GRAM + 1])
+        sums = Sums(data)
+        span = w - g + 1
+        grams = mixed((sums.sums[g:] - sums.sums[: n - g + 1]) * sums.back[: n - g + 1])
         key = (grams & ~U(0xFFFFFFFF)) | np.arange(len(grams), dtype=np.uint64)
         rows = -(-len(key) // span)
         block = np.full(rows * span, np.iinfo(np.uint64).max, dtype=np.uint64)
@@ -94,24 +133,11 @@ def anchors(texts: list[bytes], w: int) -> list[tuple[np.ndarray, np.ndarray, np
         at = (least[np.concatenate(([True], least[1:] != least[:-1]))] & U(0xFFFFFFFF)).astype(np.int64)
         at = np.unique(at)
         d = doc[at]
-        first, last = start[d], start[d] + size[d]
-        place, core, hull = [], [], []
-        for side in (0, 1):
-            lo, hi, before, after = reach(w, side)
-            ok = (at - first >= lo) & (at - np.minimum(hi, at - first) + w <= last)
-            a, f, l = at[ok], first[ok], last[ok]
-            piece = lambda s, e: mixed((sums[e] - sums[s]) * back[s] + (e - s).astype(np.uint64))
-            place.append(2 * a + side)
-            core.append(piece(a - lo, a + w - hi) + U(side))
-            s, e = np.maximum(f, a - before), np.minimum(l, a + after)
-            hull.append(piece(s, e) ^ mixed((a - s).astype(np.uint64) * U(2) + U(1)))
-        place, core, hull = map(np.concatenate, (place, core, hull))
-        order = np.argsort(place, kind="stable")
-        place, core, hull = place[order], core[order].view(np.int64), hull[order].view(np.int64)
-        cut = np.searchsorted(place, 2 * np.append(start, n))
+        keys = [x for lo, hi in halves(w) for x in sums.keys(at, start[d], start[d] + size[d], w, lo, hi)[1:]]
+        cut = np.searchsorted(at, np.append(start, n))
         for k, i in enumerate(own):
             x = slice(cut[k], cut[k + 1])
-            out[i] = (place[x] - 2 * start[k], core[x], hull[x])
+            out[i] = (at[x] - start[k], grams[at[x]].view(np.int64), *(y[x] for y in keys))
     return out
 
 
@@ -197,114 +223,164 @@ def spans_of(found: np.ndarray, anchor: np.ndarray, w: int, lo: int) -> tuple[np
     return row, anchor[row] - (after - 1 + lo), anchor[row] - (first + lo) + w
 
 
+KEYS = ["places", "grams", "core0", "hull0", "core1", "hull1"]
+
+
 def repeated(docs: DataFrame, w: int = MIN_LENGTH, doc_id: str = "doc_id", text: str = "text", scope: str | None = None) -> DataFrame:
-    """id, text_hash, start, end: spans of bytes that repeated strings cover; together they are all such bytes.
+    """id_hash, text_hash, start, end: spans of bytes that repeated strings cover; together they are all such bytes.
 
-    With a scope column, strings count as repeated only where two documents (not one alone) of a scope have them; of
-    equal surroundings within one document one is then looked at.
+    With a scope column, strings count as repeated only where two different texts of a scope have them; of equal
+    surroundings within one text one is then looked at.
     """
-    source = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"), (F.xxhash64(scope) if scope else F.lit(0).cast("long")).alias("scope"))
-    kind = source.schema["id"].dataType.simpleString()
+    spark = docs.sparkSession
+    source = docs.where(F.octet_length(text) >= w).select(*hashes(doc_id, text), F.col(text).alias("text"), (F.xxhash64(scope) if scope else F.lit(0).cast("long")).alias("scope"))
 
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
             texts = [_bytes(t) for t in x["text"]]
             found = anchors(texts, w)
             if scope:
-                found = [(p, c ^ s, h ^ s) for (p, c, h), s in zip(found, x["scope"].tolist(), strict=True)]
-            yield pd.DataFrame({"id": x["id"], "text_hash": x["text_hash"], "size": [len(t) for t in texts], "places": [f[0] for f in found], "cores": [f[1] for f in found], "hulls": [f[2] for f in found]})
-
-    made = light(source.where(F.octet_length("text") >= w)).mapInPandas(find, f"id {kind}, text_hash long, size long, places array<long>, cores array<long>, hulls array<long>")
-    made = written(made, "anchors")
-    who = F.struct("id", "text_hash")
-    if scope:
-        shared = made.select("id", "text_hash", F.explode("cores").alias("core")).groupBy("core").agg(F.min(F.xxhash64("id", "text_hash")).alias("a"), F.max(F.xxhash64("id", "text_hash")).alias("b")).where("a <> b").select("core")
-    else:
-        shared = made.select(F.explode("cores").alias("core")).groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
-    shared = written(shared, "cores")
-    shared = F.broadcast(shared) if shared.count() <= MAX_BROADCAST else shared
-    rows = made.select("id", "text_hash", "size", F.explode(F.arrays_zip("places", "cores", "hulls")).alias("x")).select("id", "text_hash", "size", F.col("x.places").alias("place"), F.col("x.cores").alias("core"), F.col("x.hulls").alias("hull"))
-    rows = written(rows.join(shared, "core"), "shared")
-    distinct = written(rows.groupBy("core", "hull").agg((F.when(F.min(who) != F.max(who), 2).otherwise(1) if scope else F.count("*")).alias("n"), F.min(F.struct("id", "text_hash", "place", "size")).alias("one")), "hulls")
-    whole = rows.join(distinct.where("n > 1").select("core", "hull"), ["core", "hull"])
-    anchor, side = F.shiftright("place", 1), F.col("place").bitwiseAND(F.lit(1))
-    before = F.when(side == 0, reach(w, 0)[2]).otherwise(reach(w, 1)[2])
-    after = F.when(side == 0, reach(w, 0)[3]).otherwise(reach(w, 1)[3])
-    covered = whole.select("id", "text_hash", F.greatest(F.lit(0), anchor - before).cast("long").alias("start"), F.least("size", anchor + after).cast("long").alias("end"))
-    several = distinct.groupBy("core").agg(F.count("*").alias("m")).where("m > 1")
-    fine = distinct.join(several, "core").select("core", (F.col("m") > HOT).alias("hot"), F.when(F.col("n") > 1, -1).otherwise(1).alias("n"), F.col("one.id").alias("id"), F.col("one.text_hash").alias("text_hash"), F.col("one.place").alias("place"))
-    per_doc = written(fine.groupBy("id", "text_hash").agg(F.collect_list(F.struct("place", "core", "hot", "n")).alias("at"), F.count("*").alias("k")), "fine")
+                found = [(f[0], *(np.where(v == 0, 0, v ^ s) for v in f[1:])) for f, s in zip(found, x["scope"].tolist(), strict=True)]
+            yield pd.DataFrame({"id_hash": x["id_hash"], "text_hash": x["text_hash"], "size": [len(t) for t in texts]} | {k: [f[i] for f in found] for i, k in enumerate(KEYS)})
+
+    made = light(source, 500).mapInPandas(find, "id_hash long, text_hash long, size long, places array<int>, " + ", ".join(f"{k} array<long>" for k in KEYS[1:]))
+    made = written(made.withColumn("d", F.monotonically_increasing_id()), "anchors")
+    who = "text_hash" if scope else None
+    several = lambda key, rows: (rows.groupBy(*key).agg(F.min(who).alias("a"), F.max(who).alias("b")).where("a <> b") if scope else rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")).select(*key)
+    twice = several(["gram"], made.select(*([who] if scope else []), F.explode("grams").alias("gram")))
+    rows = made.select("d", F.explode(F.arrays_zip(*KEYS)).alias("x")).select("d", F.col("x.grams").alias("gram"), F.col("x.places").alias("anchor"), *[F.col(f"x.{k}").alias(k) for k in KEYS[2:]])
+    near = written(rows.join(twice, "gram").drop("gram"), "near")
+    texts_of = written(made.select("d", "id_hash", "text_hash", "size"), "ids")
+    release(spark, made)
+    # one row for each half that a window has an anchor in
+    sides = F.explode(F.array(*[F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.col(f"core{k}").alias("core"), F.col(f"hull{k}").alias("hull")) for k, (lo, hi) in enumerate(halves(w))]))
+    places = near.join(texts_of.select("d", "text_hash"), "d") if scope else near
+    places = places.select("d", "anchor", *([who] if scope else []), sides.alias("x")).select("d", "anchor", *([who] if scope else []), "x.*").where("core <> 0 or hull <> 0")
+    places = written(places.join(several(["core"], places), "core"), "places")
+    release(spark, near)
+    spans, level, done = None, 0, [places, texts_of]
+    while True:
+        covered, fine = collapsed(places, w, scope)
+        fine = written(fine, "fine")
+        wanted = fine.select("d", "anchor", "lo", "hi", "core", "n", "hot").join(texts_of, "d")
+        cut = written(regions(wanted, source, w), "regions")
+        usual = by_group(light(cut.where("not hot"), 1000), ["core"], expander(w, bool(scope)), "d long, start long, end long", rows=4000)
+        found = written(covered.join(texts_of.select("d", "size"), "d").select("d", F.greatest(F.lit(0), F.col("anchor") - F.col("hi")).cast("long").alias("start"), F.least("size", F.col("anchor") + w - F.col("lo")).cast("long").alias("end")).unionByName(usual), "spans")
+        spans = found if spans is None else spans.unionByName(found)
+        done.append(found)
+        hot = cut.where("hot")
+        if hot.isEmpty():
+            release(spark, fine, cut)
+            break
+        level += 1
+        narrow = written(light(hot, 1000).mapInPandas(narrowed(w), "d long, anchor int, text_hash long, n int, lo int, hi int, core long, hull long"), "narrow")
+        keep = narrow if scope else narrow.drop("text_hash")
+        # an occurrence that stands for several equal ones has been covered and still counts as one that others equal
+        again = several(["core"], keep)
+        places = written(keep.join(again, "core"), "places")
+        done.append(places)
+        release(spark, fine, cut, narrow)
+    out = written(spans.join(texts_of.select("d", "id_hash", "text_hash"), "d").select("id_hash", "text_hash", "start", "end"), "spans")
+    release(spark, *done)
+    return out
+
+
+def hashes(doc_id: str, text: str) -> tuple:
+    """id_hash, text_hash: what a document is known by."""
+    return F.xxhash64(F.col(doc_id).cast("string"), F.col(doc_id).isNull()).alias("id_hash"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash")
+
+
+def collapsed(places: DataFrame, w: int, scope: str | None) -> tuple[DataFrame, DataFrame]:
+    """Places whose surroundings are repeated, and one place of each surroundings where a core has several.
+
+    n: 1, or -1 where the surroundings are known to be covered; hot: too many for one task.
+    """
+    known = F.col("n") if "n" in places.columns else F.lit(1)
+    rows = places.withColumn("n", known)
+    count = F.when(F.min("text_hash") != F.max("text_hash"), 2).otherwise(1) if scope else F.count("*")
+    distinct = rows.groupBy("core", "hull").agg(count.alias("k"), F.min("n").alias("n"), F.min(F.struct("d", "anchor", "lo", "hi")).alias("one"))
+    covered = rows.join(distinct.where("k > 1").select("core", "hull"), ["core", "hull"]).select("d", "anchor", "lo", "hi")
+    m = distinct.groupBy("core").agg(F.count("*").alias("m")).where("m > 1")
+    fine = distinct.join(m, "core").select("core", (F.col("m") > HOT).alias("hot"), F.when(F.col("k") > 1, -1).otherwise(F.col("n")).cast("int").alias("n"), "one.*")
+    return covered, fine
+
+
+def regions(wanted: DataFrame, source: DataFrame, w: int) -> DataFrame:
+    """wanted with n_left and region: the bytes around each anchor that windows with it can touch, once a document."""
+    per_doc = written(wanted.groupBy("id_hash", "text_hash").agg(F.collect_list(F.struct("d", "anchor", "lo", "hi", "core", "n", "hot")).alias("at"), F.count("*").alias("k")), "wanted")
     total = per_doc.agg(F.sum("k")).first()[0] or 0
-    near = F.broadcast(per_doc) if total <= MAX_BROADCAST else per_doc
-    with_text = source.where(F.octet_length("text") >= w).join(near.withColumnRenamed("id", "_id").withColumnRenamed("text_hash", "_hash"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("id", "text_hash", "text", "at")
+    near = per_doc.drop("k")
+    texts = source.select("id_hash", "text_hash", "text").join(F.broadcast(near) if total <= MAX_BROADCAST else near, ["id_hash", "text_hash"])
 
-    def regions(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
             out = []
-            for i, h, t, places in zip(x["id"], x["text_hash"], x["text"], x["at"], strict=True):
+            for h, t, places in zip(x["text_hash"], x["text"], x["at"], strict=True):
                 b = _bytes(t)
                 for p in places:
-                    a, side = p["place"] >> 1, p["place"] & 1
-                    _, _, before, after = reach(w, side)
-                    s = max(0, a - before)
-                    out.append((p["core"], p["hot"], side, p["n"], i, h, a, a - s, b[s : a + after]))
+                    a = p["anchor"]
+                    s = max(0, a - p["hi"])
+                    out.append((p["core"], p["hot"], p["lo"], p["hi"], p["n"], p["d"], h, a, a - s, b[s : a + w - p["lo"]]))
             if out:
-                yield pd.DataFrame(out, columns=["core", "hot", "side", "n", "id", "text_hash", "anchor", "n_left", "region"])
+                yield pd.DataFrame(out, columns=["core", "hot", "lo", "hi", "n", "d", "text_hash", "anchor", "n_left", "region"])
+
+    cut = light(texts.dropDuplicates(["id_hash", "text_hash"]) if total > MAX_BROADCAST else texts, 200).mapInPandas(run, "core long, hot boolean, lo int, hi int, n int, d long, text_hash long, anchor int, n_left int, region binary")
+    return cut if total > MAX_BROADCAST else cut.dropDuplicates(["d", "anchor", "lo"])
 
-    cut = light(with_text, 200).mapInPandas(regions, f"core long, hot boolean, side int, n int, id {kind}, text_hash long, anchor long, n_left int, region binary")
-    cut = written(cut.dropDuplicates(["core", "id", "text_hash", "anchor"]), "regions")  # rows that are repeated have the text twice
+
+def expander(w: int, scoped: bool) -> Callable[[pd.DataFrame, np.ndarray], pd.DataFrame]:
+    """Step 3 for whole groups of regions with a core."""
 
     def expand(x: pd.DataFrame, at: np.ndarray) -> pd.DataFrame:
         group = np.repeat(np.arange(len(at) - 1), np.diff(at))
         parts = []
-        for side in (0, 1):
-            lo, hi, before, after = reach(w, side)
-            own = np.flatnonzero(x["side"].to_numpy() == side)
-            if not len(own):
-                continue
+        lo_of, hi_of = x["lo"].to_numpy(), x["hi"].to_numpy()
+        for lo, hi in sorted({*zip(lo_of.tolist(), hi_of.tolist(), strict=True)}):
+            own = np.flatnonzero((lo_of == lo) & (hi_of == hi))
+            before, after = hi, w - lo
             n_left = x["n_left"].to_numpy()[own].astype(np.int64)
-            regions_ = [x["region"].iat[k] for k in own]
-            n_right = np.array([len(r) for r in regions_]) - n_left
-            left = np.frombuffer(b"".join(bytes(r[:k][::-1]).ljust(before, b"\0") for r, k in zip(regions_, n_left.tolist(), strict=True)), dtype=np.uint8).reshape(len(own), before)
-            right = np.frombuffer(b"".join(bytes(r[k:]).ljust(after, b"\0") for r, k in zip(regions_, n_left.tolist(), strict=True)), dtype=np.uint8).reshape(len(own), after)
-            owner = x["text_hash"].to_numpy()[own] ^ pd.util.hash_array(x["id"].to_numpy()[own]).view(np.int64) if scope else None
-            found = hits(left, right, n_left, n_right, group[own], w, lo, hi, owner)
+            cut = [x["region"].iat[k] for k in own]
+            n_right = np.array([len(r) for r in cut]) - n_left
+            left = np.frombuffer(b"".join(bytes(r[:k][::-1]).ljust(before, b"\0") for r, k in zip(cut, n_left.tolist(), strict=True)), dtype=np.uint8).reshape(len(own), before)
+            right = np.frombuffer(b"".join(bytes(r[k:]).ljust(after, b"\0") for r, k in zip(cut, n_left.tolist(), strict=True)), dtype=np.uint8).reshape(len(own), after)
+            found = hits(left, right, n_left, n_right, group[own], w, lo, hi, x["text_hash"].to_numpy()[own] if scoped else None)
             found[x["n"].to_numpy()[own] < 0] = False  # known to be covered
             row, start, end = spans_of(found, x["anchor"].to_numpy()[own], w, lo)
-            parts.append(pd.DataFrame({"id": x["id"].to_numpy()[own][row], "text_hash": x["text_hash"].to_numpy()[own][row], "start": start, "end": end}))
+            parts.append(pd.DataFrame({"d": x["d"].to_numpy()[own][row], "start": start, "end": end}))
         return pd.concat(parts, ignore_index=True)
 
-    span_type = f"id {kind}, text_hash long, start long, end long"
-    usual = by_group(cut.where("not hot"), ["core"], expand, span_type, rows=4000)
+    return expand
+
+
+def narrowed(w: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Step 4: each region once for each part of its range of offsets, with the hashes of the part."""
 
-    def window_hashes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
-            out = []
-            for region, n_left, side in zip(x["region"], x["n_left"], x["side"], strict=True):
-                data = np.frombuffer(region, dtype=np.uint8)
-                lo, hi, _, _ = reach(w, side)
-                sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_CODE[data] * powers(_BASE, len(data)))))
-                s = np.arange(max(0, n_left - hi), min(n_left - lo, len(data) - w) + 1)
-                out.append(mixed((sums[s + w] - sums[s]) * powers(_BACK, len(data) + 1)[s]).view(np.int64))
-            yield x[["core", "id", "text_hash", "anchor", "n", "n_left", "side"]].assign(h=out)
-
-    hot = light(cut.where("hot"), 1000).mapInPandas(window_hashes, f"core long, id {kind}, text_hash long, anchor long, n int, n_left int, side int, h array<long>")
-    first = F.greatest(F.lit(0), F.col("n_left") - F.when(F.col("side") == 0, reach(w, 0)[1]).otherwise(reach(w, 1)[1]))
-    window = hot.select("core", "id", "text_hash", (F.col("anchor") - F.col("n_left") + first).alias("from"), "n", F.posexplode("h").alias("k", "h"))
-    place = F.struct("id", "text_hash", F.col("from") + F.col("k"))  # a window can hold two hot anchors
-    place = F.struct("id", "text_hash") if scope else place
-    counted = window.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("h")
-    of_hot = window.where("n > 0").join(counted, "h").select("id", "text_hash", (F.col("from") + F.col("k")).cast("long").alias("start"), (F.col("from") + F.col("k") + w).cast("long").alias("end"))
-    return covered.unionByName(usual).unionByName(of_hot)
-
-
-def cut(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with _kept (binary, the bytes outside the spans, null where nothing is cut) and _runs (maximal runs cut)."""
-    per = written(spans.groupBy("id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("_spans")), "spans")
-    n = per.agg(F.sum(F.size("_spans"))).first()[0] or 0
-    per = per.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "_spans")
-
-    @F.pandas_udf("kept binary, runs long")
+            size = x["region"].map(len).to_numpy()
+            last = np.cumsum(size)
+            first = last - size
+            sums = Sums(np.frombuffer(b"".join(x["region"]), dtype=np.uint8))
+            a = first + x["n_left"].to_numpy()
+            for lo, hi in sorted({*zip(x["lo"].tolist(), x["hi"].tolist(), strict=True)}):
+                at = np.flatnonzero((x["lo"].to_numpy() == lo) & (x["hi"].to_numpy() == hi))
+                for p, q in parts_of(lo, hi):
+                    ok, core, hull = sums.keys(a[at], first[at], last[at], w, p, q)
+                    outer = x["core"].to_numpy()[at][ok].view(np.uint64)
+                    out = x[["d", "anchor", "text_hash", "n"]].iloc[at[ok]]
+                    yield out.assign(lo=np.int32(p), hi=np.int32(q), core=mixed(core[ok].view(np.uint64) ^ outer).view(np.int64), hull=hull[ok])
+
+    return run
+
+
+def cut(docs: DataFrame, spans: DataFrame, kept: str, runs: str, doc_id: str = "doc_id", text: str = "text", as_text: bool = False) -> DataFrame:
+    """docs with two more columns: kept (the bytes outside the spans, null where nothing is cut) and runs (maximal runs
+    that are cut). As text, bytes of a letter that is cut in two are left out."""
+    ours = unused(docs, "id_hash", "text_hash", "spans", "cut")
+    per = written(spans.groupBy(F.col("id_hash").alias(ours[0]), F.col("text_hash").alias(ours[1])).agg(F.collect_set(F.struct("start", "end")).alias(ours[2])), "per_document")
+    n = per.agg(F.sum(F.size(ours[2]))).first()[0] or 0
+
+    @F.pandas_udf(f"kept {'string' if as_text else 'binary'}, runs long")
     def keep(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
         kept, runs = [], []
         for t, s in zip(texts, spans, strict=True):
@@ -321,30 +397,29 @@ def cut(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: str = "
                     n += 1
                 at = max(at, end)
             out.append(b[at:])
-            kept.append(b"".join(out))
+            left = b"".join(out)
+            kept.append(left.decode("utf-8", "ignore") if as_text else left)
             runs.append(n)
         return pd.DataFrame({"kept": kept, "runs": runs})
 
-    joined = docs.join(F.broadcast(per) if n <= MAX_BROADCAST else per, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left")
-    done = light(joined).withColumn("_cut", keep(F.when(F.col("_spans").isNotNull(), F.col(text)), F.col("_spans")))
-    return done.withColumn("_kept", F.col("_cut.kept")).withColumn("_runs", F.col("_cut.runs")).drop("_cut", "_spans", "_id", "_hash")
+    id_hash, text_hash = hashes(doc_id, text)
+    keyed = docs.withColumn(ours[0], id_hash).withColumn(ours[1], text_hash)
+    joined = keyed.join(F.broadcast(per) if n <= MAX_BROADCAST else per, ours[:2], "left")
+    done = light(joined, 500).withColumn(ours[3], keep(F.when(F.col(ours[2]).isNotNull(), F.col(text)), F.col(ours[2])))
+    return done.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(ours[3]).kept.alias(kept), F.col(ours[3]).runs.alias(runs))
 
 
 def report(docs: DataFrame, w: int = MIN_LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs."""
-    light_docs = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    done = cut(light_docs, repeated(light_docs, w))
-    kept = F.coalesce("_kept", F.encode("text", "UTF-8"))
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    done = cut(source, repeated(source, w), "kept", "runs")
+    kept = F.coalesce("kept", F.encode("text", "UTF-8"))
     size = F.octet_length("text").cast("long")
-    return done.select("doc_id", size.alias("n_bytes"), (size - F.octet_length(kept)).alias("n_removed"), F.coalesce("_runs", F.lit(0)).cast("long").alias("n_spans"), F.sha2(kept, 256).alias("kept_sha256"))
+    return done.select("doc_id", size.alias("n_bytes"), (size - F.octet_length(kept)).alias("n_removed"), F.coalesce("runs", F.lit(0)).cast("long").alias("n_spans"), F.sha2(kept, 256).alias("kept_sha256"))
 
 
 def deduplicated(docs: DataFrame, w: int = MIN_LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the repeated bytes cut out of the text; bytes of a letter that is cut in two are left out."""
-
-    @F.pandas_udf("string")
-    def as_text(kept: pd.Series) -> pd.Series:
-        return pd.Series([None if b is None else b.decode("utf-8", "ignore") for b in kept])
-
-    done = cut(docs, repeated(docs, w, doc_id, text), doc_id, text)
-    return done.select(*[F.coalesce(as_text(F.col("_kept")), F.col(text)).alias(c) if c == text else F.col(c) for c in docs.columns])
+    kept, runs = unused(docs, "kept", "runs")
+    done = cut(docs, repeated(docs, w, doc_id, text), kept, runs, doc_id, text, as_text=True)
+    return done.select(*[F.coalesce(F.col(kept), F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
