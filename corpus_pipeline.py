@@ -3,6 +3,11 @@
 Language identification drops what it rejects, the n-gram Jaccard join keeps one document of each group of near
 copies, substring deduplication cuts repeated passages out of the texts, decontamination drops documents with passages
 of the benchmark, and BPE encodes what is left.
+
+Defined results: null and empty texts, and those without a letter, have no language and go in the first stage; ties of
+languages go to the first in the alphabet; of documents with equal texts the one with the least doc_id stays, rows that
+share a doc_id and a text stay together, as does a null doc_id; extra columns are kept up to the last stage, whatever
+they are called; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -12,16 +17,21 @@ from pyspark.sql import functions as F
 
 from provenir.cluster import ship
 from provenir.llm import bpe, decontaminate, langid, ngramjoin, substrings
-from provenir.llm.common import shared_path, table
+from provenir.llm.common import shared_path, table, unused
 from provenir.llm.queries import vocabulary_path
 
 
+#: A passage of over 50 words has at least about so many bytes.
+PASSAGE = 240
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (no text, or no letter in it) go."""
     ship(spark)
     held_out = langid.remainder(F.col("doc_id"), 4) == 2
-    said = langid.predict(docs, langid.train(docs.where(~held_out)), into="_said", score_into="_score")
-    return said.where(F.col("_said") != "und").select(*docs.columns)
+    said, score = unused(docs, "said", "score")
+    out = langid.predict(docs, langid.train(docs.where(~held_out)), into=said, score_into=score)
+    return out.where(F.col(said) != "und").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,10 +41,10 @@ def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose every byte of 400-byte strings that occur elsewhere; n_chars follows."""
+    """Texts lose every byte of strings of PASSAGE bytes that occur elsewhere; n_chars follows."""
     ship(spark)
-    done = substrings.deduplicated(docs)
-    return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    done = substrings.deduplicated(docs, PASSAGE)
+    return done.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
