@@ -3,7 +3,7 @@
 A word's tokens are proposed by greedy longest match. They are the tokens that merging in rank order would give if
 and only if every two neighbours are compatible (merging the two strings gives the two tokens back), so all
 neighbours of a batch's new words are tested at once in numpy; words with an incompatible pair are merged exactly.
-Each Python worker keeps what it has learned of words in a table of at most MAX_WORDS.
+Each Python worker keeps what it has learned of words in a table of about MAX_BYTES at most.
 
 The vocabulary is a JSON file of the tokenizers library of the kind lower-case words with an end-of-word suffix
 (NFC, lower case letter by letter, words and signs by a fixed pattern, bytes as letters, no decoder: decoding joins
@@ -16,6 +16,7 @@ repeated rows give repeated rows; extra columns are kept by `encode` and `decode
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -26,7 +27,9 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_WORDS = 1_000_000
+MAX_BYTES = 64 << 20
+#: What a word takes beside its letters and ids.
+PER_WORD = 160
 NONE = np.iinfo(np.int64).max
 
 
@@ -85,6 +88,7 @@ class Vocabulary:
             letters_only = t.removesuffix(self.end) if self.end else t
             self.longest[letters_only[:2]] = max(self.longest.get(letters_only[:2], 1), len(letters_only))
         self.words: dict[str, bytes] = {}
+        self.held = 0
 
     def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The number of the token that a and b merge to, NONE where they don't."""
@@ -128,22 +132,26 @@ class Vocabulary:
         return found
 
     def exact(self, parts: str) -> list[int]:
-        """Merging by rank, the leftmost of equal ones first."""
+        """Merging by rank, the leftmost of equal ones first: a heap of pairs over linked places."""
         at = [self.number[c] for c in parts[:-1]] + [self.number[parts[-1] + self.end]]
-        get, n = self.pair.get, self.n
-        rank = [get(a * n + b, NONE) for a, b in zip(at, at[1:], strict=False)]
-        while rank:
-            token = min(rank)
-            if token == NONE:
-                break
-            i = rank.index(token)
-            at[i : i + 2] = [token]
-            del rank[i]
-            if i:
-                rank[i - 1] = get(at[i - 1] * n + token, NONE)
-            if i < len(rank):
-                rank[i] = get(token * n + at[i + 1], NONE)
-        return at
+        get, n, size = self.pair.get, self.n, len(at)
+        after, before = [*range(1, size), -1], [*range(-1, size - 1)]
+        heap = [(t, i) for i in range(size - 1) if (t := get(at[i] * n + at[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            token, i = heapq.heappop(heap)
+            j = after[i]
+            if at[i] < 0 or j < 0 or get(at[i] * n + at[j]) != token:
+                continue  # one of the two has been merged since
+            at[i], at[j] = token, -1
+            after[i] = k = after[j]
+            if k >= 0:
+                before[k] = i
+                if (t := get(token * n + at[k])) is not None:
+                    heapq.heappush(heap, (t, i))
+            if (h := before[i]) >= 0 and (t := get(at[h] * n + token)) is not None:
+                heapq.heappush(heap, (t, h))
+        return [t for t in at if t >= 0]
 
     def learn(self, words: list[str]) -> None:
         """Put the ids of new words into the table."""
@@ -173,11 +181,12 @@ class Vocabulary:
         for own in pieces:
             seen.update(*own[::2])
         new = seen - self.words.keys()
-        if len(self.words) + len(new) > MAX_WORDS:
+        if self.held > MAX_BYTES:
             self.words.clear()
-            new = seen
+            self.held, new = 0, seen
         if new:
             self.learn(list(new))
+            self.held += sum(PER_WORD + 2 * len(w) + len(self.words[w]) for w in new)
         get = self.words.__getitem__
         return [b"".join([b"".join(map(get, p)) if k % 2 == 0 else self.special[p].to_bytes(4, "little") for k, p in enumerate(own)]) for own in pieces]
 

@@ -73,6 +73,11 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def sampled(key: Column, share: float, salt: str) -> Column:
+    """Whether a row is in a sample of this share, by a hash of its key; never an empty range for a share above 0."""
+    return F.xxhash64(key.cast("string"), F.lit(salt)).bitwiseAND(F.lit((1 << 62) - 1)) < F.lit(max(1, int(min(share, 1.0) * (1 << 62))))
+
+
 def lower_ascii(col: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(col, UPPER, LOWER)

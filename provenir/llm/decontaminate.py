@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, written
+from .common import lower_ascii, unused, written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same before lower-casing, and what lies between words.
@@ -96,14 +96,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, mode: str = "d
 
     The columns stay as they are, whatever they are called.
     """
-    bad = hits(docs, items, n, doc_id, text).where(F.size("spans") > 0).select(F.col(doc_id).alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans"))
-    on = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash"))
+    id_, hash_, spans_, cut_ = unused(docs, "id", "hash", "spans", "cut")
+    bad = hits(docs, items, n, doc_id, text).where(F.size("spans") > 0).select(F.col(doc_id).alias(id_), F.col("text_hash").alias(hash_), F.col("spans").alias(spans_))
+    on = F.col(doc_id).eqNullSafe(F.col(id_)) & (F.xxhash64(text) == F.col(hash_))
     if mode == "documents":
         return docs.join(bad, on, "left_anti")
     if mode != "spans":
         raise ValueError(f"mode {mode!r} is neither documents nor spans")
     piece = F.regexp_extract_all(F.col(text), F.lit(CASED + BETWEEN), 0)
     head = F.regexp_extract(F.col(text), "^" + BETWEEN, 0)
-    keep = F.filter(F.transform(piece, lambda p, i: F.struct(p.alias("p"), (i + 1).alias("i"))), lambda x: ~F.exists("_spans", lambda s: (x.i >= s.pos) & (x.i < s.pos + s.k)))
-    cut = F.when(F.col("_spans").isNull(), F.col(text)).otherwise(F.concat(head, F.array_join(F.transform(keep, lambda x: x.p), "")))
-    return docs.join(bad, on, "left").withColumn("_cut", cut).select(*[F.col("_cut").alias(c) if c == text else F.col(c) for c in docs.columns])
+    keep = F.filter(F.transform(piece, lambda p, i: F.struct(p.alias("p"), (i + 1).alias("i"))), lambda x: ~F.exists(spans_, lambda s: (x.i >= s.pos) & (x.i < s.pos + s.k)))
+    cut = F.when(F.col(spans_).isNull(), F.col(text)).otherwise(F.concat(head, F.array_join(F.transform(keep, lambda x: x.p), "")))
+    return docs.join(bad, on, "left").withColumn(cut_, cut).select(*[F.col(cut_).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])

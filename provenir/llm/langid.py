@@ -6,7 +6,8 @@ BUCKETS rows that is broadcast, and whole texts are scored in numpy, batch by ba
 
 Defined results: `und` with score 0 for a null text and one without a letter; rows with null lang or null text teach
 nothing; without labelled rows everything is `und`; ties go to the language first in the alphabet; repeated rows
-give repeated rows.
+give repeated rows; extra columns are kept, whatever they are called. All languages count as equally likely before a
+text is read: the classes' shares among the labelled rows are not used.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import light
+from .common import sampled, unused
 
 ORDERS = (1, 2, 3)
 BITS = 15
@@ -72,7 +74,7 @@ def train(docs: DataFrame, max_train: int = 20_000, doc_id: str = "doc_id", text
     rows = docs.where(F.col(lang).isNotNull())
     n = rows.count()
     if n > max_train:
-        rows = rows.where(F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.lit("langid")), F.lit(1_000_000)) < int(1_000_000 * max_train / n))
+        rows = rows.where(sampled(F.col(doc_id), max_train / n, "langid"))
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -124,4 +126,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
             said, prob = score(s.tolist(), *held.value)
             yield pd.DataFrame({"said": said, "prob": prob})
 
-    return light(docs).withColumn("_lang", run(F.col(text))).withColumn(into, F.col("_lang.said")).withColumn(score_into, F.col("_lang.prob")).drop("_lang")
+    (held_in,) = unused(docs, "said")
+    out = light(docs).withColumn(held_in, run(F.col(f"`{text}`")))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (into, score_into)]
+    return out.select(*kept, F.col(held_in).said.alias(into), F.col(held_in).prob.alias(score_into))

@@ -49,9 +49,9 @@ BITS = 10
 WORDS = (1 << BITS) // 64
 #: Shingles of a document's partners that are verified in one group, but one partner at least.
 STAR = 500_000
-#: Ids that are broadcast at most, of about 24 bytes each; more are joined by shuffle.
-MAX_BROADCAST = 400_000
-PIVOT_ROUNDS = 3
+#: Documents that are broadcast at most, of about 200 bytes each with their bitmaps; more are joined by shuffle.
+MAX_BROADCAST = 100_000
+PIVOT_ROUNDS = 2
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -193,13 +193,8 @@ def entries_of(made: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     near = made.where((F.col("n") > 0) & F.col("id").isNotNull() & (F.col("n") * 100 >= (F.col("n") + 1) * percent))
     rows = near.select("id", F.posexplode("prefix").alias("pos", "tok"))
     twice = rows.groupBy("tok").agg(F.count("*").alias("m")).where("m > 1").select("tok")
-    few = written(rows.join(twice, "tok"), "repeated")
     rep = classes.select(F.col("rep").alias("id"), "n", "g")
-    own = few.join(rep, "id")  # equal sets have one document here
-    shared = own.groupBy("tok").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("tok")
-    out = written(own.join(shared, "tok").select("tok", F.col("pos").cast("long").alias("pos"), "id", "n", "g").distinct(), "entries")
-    release(made.sparkSession, few)
-    return out
+    return written(rows.join(twice, "tok").join(rep, "id").select("tok", F.col("pos").cast("long").alias("pos"), "id", "n", "g"), "entries")  # equal sets have one document here
 
 
 def far(a: str, b: str, size: Column, percent: int, masks: bool = False) -> Column:
@@ -255,22 +250,24 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str
     made = written(sketches(source, n, percent), "sketches")
     classes = written(made.where("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.min(F.xxhash64("prefix")).alias("g")), "classes")
     entries = entries_of(made, classes, percent)
-    # bits of each document with an entry; comp: its component so far
-    of_entries = entries.select("id", "n").distinct()
-    state = written(made.where("n > 0").join(of_entries, ["id", "n"]).dropDuplicates(["id"]).select("id", "n", "bits", F.col("id").alias("comp")), "state")
-    few = state.count() <= MAX_BROADCAST
-    texts = written(source.where("id is not null").join(F.broadcast(state.select("id")) if few else state.select("id"), "id").distinct(), "texts")
+    # bits of each document with an entry; comp: a document that it is known to be connected with
+    of_entries = written(entries.select("id").distinct(), "ids")
+    few = of_entries.count() <= MAX_BROADCAST
+    near = lambda d: F.broadcast(d) if few else d
+    one_set = (F.min("s1") == F.max("s1")) & (F.min("s2") == F.max("s2"))  # rows that share an id but not a text: no bitmap rules them out
+    state = made.where("n > 0").join(near(of_entries), "id").groupBy("id").agg(F.min("n").alias("n"), F.first("bits").alias("bits"), one_set.alias("sure"))
+    state = written(state.withColumn("comp", F.col("id")), "state")
+    texts = written(source.where("id is not null").join(near(of_entries), "id").distinct(), "texts")
     fits = lambda x, y, i, j: (F.least(x, y) * 100 >= F.greatest(x, y) * percent) & (F.least(x - i, y - j) * (100 + percent) >= (x + y) * percent)
     every: DataFrame | None = None
-    members: DataFrame | None = None
     for k in range(PIVOT_ROUNDS + 1):
-        now = entries.join(state.select("id", "comp"), "id")
+        now = entries.join(near(state.select("id", "comp")), "id")
         open_toks = now.groupBy("tok").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.min_by(F.struct("id", "n", "comp", "pos"), F.xxhash64("id", F.lit(k)) if k else F.col("id")).alias("pivot"), F.mode("comp").alias("most")).where("c < d").select("tok", "pivot", "most")
         if k < PIVOT_ROUNDS:
             met = now.join(open_toks, "tok").where((F.col("comp") != F.col("pivot.comp")) & fits(F.col("n"), F.col("pivot.n"), F.col("pos"), F.col("pivot.pos"))).select(F.col("pivot.id").alias("a"), F.col("id").alias("b")).distinct()
-            both = met.join(state.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a")), "a").join(state.select(F.col("id").alias("b"), "n", F.col("bits").alias("bits_b")), "b")
-            near = both.where(~far("bits_a", "bits_b", F.col("na") + F.col("n"), percent))
-            pairs = near.groupBy("b", "n").agg(F.min_by("a", F.struct(F.abs(F.col("na") - F.col("n")), "a")).alias("a"))  # one pivot for each document and round
+            both = met.join(near(state.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"), F.col("sure").alias("sure_a"))), "a").join(near(state.select(F.col("id").alias("b"), "n", F.col("bits").alias("bits_b"), F.col("sure").alias("sure_b"))), "b")
+            both = both.where(~(F.col("sure_a") & F.col("sure_b") & far("bits_a", "bits_b", F.col("na") + F.col("n"), percent)))
+            pairs = both.groupBy("b", "n").agg(F.min_by("a", F.struct(F.abs(F.col("na") - F.col("n")), "a")).alias("a"))  # one pivot for each document and round
         else:
             pairs = crossing(now.join(open_toks.select("tok", "most"), "tok"), state, fits, percent)
         pairs = written(pairs.select("a", "b", "n"), "pairs")
@@ -279,19 +276,28 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str
             continue  # pivots without partners say nothing of the other pairs: only the last round is exhaustive
         new = verified(pairs, texts, n, percent)
         every = new if every is None else every.unionByName(new)
-        was, members = members, written(components(every, "a", "b"), "members")
         if k < PIVOT_ROUNDS:
-            old, state = state, written(state.drop("comp").join(members.select(F.col("node").alias("id"), F.col("component").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id")), "state")
+            old, state = state, written(hooked(state, new, near), "state")
             release(spark, old)
-        release(spark, pairs, *([was] if was is not None else []))
-    release(spark, entries, texts, state)
-    if members is None:
-        members = spark.createDataFrame([], "node long, component long")
+        release(spark, pairs)
+    members = spark.createDataFrame([], "node long, component long") if every is None else components(every, "a", "b")
+    release(spark, entries, texts, state, of_entries)
     rep_of = classes.join(members, F.col("rep") == F.col("node"), "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("c"))
     per_row = made.select("id", "n", "s1", "s2").join(rep_of, ["n", "s1", "s2"], "left")
     return per_row.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("c", "id")).alias("component_id"))
 
 
+def hooked(state: DataFrame, links: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """state with comp brought nearer to the least document connected: over one link, then over one comp."""
+    comp = lambda name: near(state.select(F.col("id").alias(name), F.col("comp").alias(f"of_{name}")))
+    both = links.join(comp("a"), "a").join(comp("b"), "b").select("a", "b", F.least("of_a", "of_b").alias("c"))
+    least = both.select(F.col("a").alias("id"), "c").unionByName(both.select(F.col("b").alias("id"), "c")).groupBy("id").agg(F.min("c").alias("c"))
+    once = written(state.select("id", "comp").join(near(least), "id", "left").select("id", F.coalesce("c", "comp").alias("comp")), "hooked")
+    further = near(once.select(F.col("id").alias("comp"), F.col("comp").alias("next")))
+    moved = once.join(further, "comp", "left").select("id", F.coalesce("next", "comp").alias("comp"))
+    return state.drop("comp").join(near(moved), "id")
+
+
 def crossing(now: DataFrame, state: DataFrame, fits: Callable[..., Column], percent: int) -> DataFrame:
     """(a, b, n): all pairs of documents of different components that may be similar.
 
@@ -300,18 +306,18 @@ def crossing(now: DataFrame, state: DataFrame, fits: Callable[..., Column], perc
     others; of a group, buckets in which its members differ are left out of the comparison. Group pairs that are left
     are expanded to their members.
     """
-    of_group = now.select("comp", "g", "n", "id").distinct().join(state.select("id", "bits"), "id")
+    of_group = now.select("comp", "g", "n", "id").distinct().join(state.select("id", "bits", "sure"), "id")
     both = lambda f: F.array(*[f(F.col("bits")[i]) for i in range(WORDS)])
-    masks = of_group.groupBy("comp", "g", "n").agg(both(F.bit_and).alias("all"), both(F.bit_or).alias("some"))
-    masks = masks.select("comp", "g", "n", F.col("all").alias("bits"), F.zip_with("all", "some", lambda x, y: x.bitwiseXOR(y)).alias("mask"))
+    masks = of_group.groupBy("comp", "g", "n").agg(both(F.bit_and).alias("all"), both(F.bit_or).alias("some"), F.min("sure").alias("sure"))
+    masks = masks.select("comp", "g", "n", F.col("all").alias("bits"), F.zip_with("all", "some", lambda x, y: F.when(F.col("sure"), x.bitwiseXOR(y)).otherwise(F.lit(-1).cast("long"))).alias("mask"))
     groups = now.groupBy("tok", "most", "comp", "g", "n").agg(F.min("pos").alias("pos")).join(masks, ["comp", "g", "n"])
     side = lambda s: groups.select("tok", "most", *[F.col(c).alias(f"{c}_{s}") for c in ("comp", "g", "n", "pos")], F.col("bits").alias(f"bits_{s}"), F.col("mask").alias(f"bits_{s}_mask"))
     left, right = side("a").where("comp_a <> most").drop("most"), side("b")
     meet = (F.col("comp_a") != F.col("comp_b")) & ((F.col("comp_b") == F.col("most")) | (F.col("comp_a") < F.col("comp_b")))
     on = (left["tok"] == right["tok"]) & meet & fits(F.col("n_a"), F.col("n_b"), F.col("pos_a"), F.col("pos_b")) & ~far("bits_a", "bits_b", F.col("n_a") + F.col("n_b"), percent, masks=True)
     pairs = left.join(right, on).select("comp_a", "g_a", "n_a", "comp_b", "g_b", "n_b").distinct()
-    member = lambda s, i: of_group.select(*[F.col(c).alias(f"{c}_{s}") for c in ("comp", "g", "n")], F.col("id").alias(i), F.col("bits").alias(f"bits_{s}"))
-    found = pairs.join(member("a", "x"), ["comp_a", "g_a", "n_a"]).join(member("b", "y"), ["comp_b", "g_b", "n_b"]).where(~far("bits_a", "bits_b", F.col("n_a") + F.col("n_b"), percent))
+    member = lambda s, i: of_group.select(*[F.col(c).alias(f"{c}_{s}") for c in ("comp", "g", "n")], F.col("id").alias(i), F.col("bits").alias(f"bits_{s}"), F.col("sure").alias(f"sure_{s}"))
+    found = pairs.join(member("a", "x"), ["comp_a", "g_a", "n_a"]).join(member("b", "y"), ["comp_b", "g_b", "n_b"]).where(~(F.col("sure_a") & F.col("sure_b") & far("bits_a", "bits_b", F.col("n_a") + F.col("n_b"), percent)))
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(F.col("x") < F.col("y"), F.col("n_b")).otherwise(F.col("n_a")).alias("n")).distinct()
 
 

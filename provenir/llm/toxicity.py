@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import light
+from .common import sampled
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
@@ -77,7 +78,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, doc_id: s
     known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y"))
     n = known.count()
     if n > max_train:
-        known = known.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity")), F.lit(1_000_000)) < int(1_000_000 * max_train / n))
+        known = known.where(sampled(F.col("doc_id"), max_train / n, "toxicity"))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(known), "doc_id").select("text", "y")  # known: max_train ids
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

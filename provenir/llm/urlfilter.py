@@ -9,7 +9,7 @@ A target is resolved against the page's <base>, else its url: absolute ones stay
 scheme than one of hosts (mailto:) are no edges, all others take the scheme, host, path or folder they lack.
 
 Defined results: a null url and one without "://" have empty host and path and no rule, and are allowed; links to
-nothing, to the page itself and from null urls are no edges; repeated rows give repeated rows.
+nothing, to the page itself, from null urls and in comments or scripts are no edges; repeated rows give repeated rows.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import components, lower_ascii
 
+#: Where a tag is none: comments, scripts and the like.
+HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title|template|xmp)\b[^>]*>.*?(?:</\1\s*>|\z)"
 TAG = r"(?is)<(?:link|meta)\b[^>]*>"
 CANONICAL = r"(?is)\brel\s*=\s*[\"']?[^\"'>]*\bcanonical\b"
 REFRESH = r"(?is)\bhttp-equiv\s*=\s*[\"']?\s*refresh\b"
@@ -54,9 +56,10 @@ def resolved(base: Column, to: Column) -> Column:
 
 def edges_of(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(a, b): a page's url and the url it names as its redirect target or canonical address."""
-    tags = F.filter(F.regexp_extract_all(F.col(html), F.lit(TAG), 0), lambda t: t.rlike(CANONICAL) | t.rlike(REFRESH))
+    tags = F.filter(F.regexp_extract_all(F.col("html"), F.lit(TAG), 0), lambda t: t.rlike(CANONICAL) | t.rlike(REFRESH))
     to = F.regexp_replace(F.when(F.col("tag").rlike(CANONICAL), F.regexp_extract("tag", HREF, 1)).otherwise(F.coalesce(F.nullif(F.regexp_extract("tag", REFRESH_CONTENT, 1), F.lit("")), F.regexp_extract("tag", REFRESH_TO, 1))), "&amp;", "&")
-    marked = pages.where(F.col(html).rlike("(?i)canonical|http-equiv")).select(F.col(url).alias("a"), F.regexp_replace(F.regexp_extract(html, BASE, 1), "&amp;", "&").alias("base"), F.explode(tags).alias("tag"))
+    shown = pages.where(F.col(html).rlike("(?i)canonical|http-equiv")).select(F.col(url).alias("a"), F.regexp_replace(html, HIDDEN, "").alias("html"))
+    marked = shown.select("a", F.regexp_replace(F.regexp_extract("html", BASE, 1), "&amp;", "&").alias("base"), F.explode(tags).alias("tag"))
     named = marked.select("a", F.coalesce(resolved(F.col("a"), F.col("base")), F.col("a")).alias("base"), to.alias("to"))
     return named.select("a", resolved(F.col("base"), F.col("to")).alias("b")).where("a is not null and b is not null and b <> '' and a <> b")
 
