@@ -8,8 +8,10 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes a core that a table must have to be read as its files are split.
+SMALL = 8 << 20
 _shipped: set[tuple[str, str]] = set()
 
 
@@ -34,3 +36,13 @@ def ship(spark: SparkSession) -> None:
         f.write(held.getvalue())
     spark.sparkContext.addPyFile(path)
     _shipped.add(key)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table as read from files, dealt to all cores if it is small: then it may lie in one block, which one task reads.
+
+    A table of more than SMALL bytes a core stays as it is split.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if 0 < size < SMALL * cores else df

@@ -27,7 +27,10 @@ REMOVALS = (
     (rules.VARIATION, ""),
     (r"(?<!" + rules.EMOJI_TAIL + r")\u200D", ""),
 )
-TRACKED = r"([?&])utm_source=(?:chatgpt\.com|openai|perplexity(?:\.ai)?|copilot(?:\.com)?|gemini|claude(?:\.ai)?|bard|you\.com|mistral|deepseek|grok)"
+# fixed values: what assistants put into utm_source
+SOURCES = r"utm_source=(?:chatgpt\.com|openai|perplexity(?:\.ai)?|copilot(?:\.com)?|gemini|claude(?:\.ai)?|bard|you\.com|mistral|deepseek|grok)"
+#: The separator stays (as group 1) where another parameter follows.
+TRACKED = rf"([?&]){SOURCES}&|[?&]{SOURCES}"
 URL = r"""https?:\/\/[^\s)\]"'>]+"""
 # fixed values: Cyrillic and Greek letters and the Latin ones they look like
 LOOKALIKES = "\u0430\u0435\u043E\u0440\u0441\u0443\u0445\u0456\u0458\u0455\u04BB\u0501\u051B\u051D\u0410\u0412\u0415\u041A\u041C\u041D\u041E\u0420\u0421\u0422\u0425\u0406\u0408\u0405\u03BF\u03B1\u03BD\u03C1\u03B9\u03BA\u03C4\u03C5\u039F\u0391\u0392\u0395\u0399\u039A\u039C\u039D\u03A4\u03A7\u0396\u0397\u03A1\u03A5"
@@ -36,7 +39,7 @@ LATIN = "aeopcyxijshdqwABEKMHOPCTXIJSoavpiktuOABEIKMNTXZHPY"
 
 def without_tracker(url: Column) -> Column:
     """A url without the parameters by which assistants mark links; its other parameters stay."""
-    kept = F.regexp_replace(F.regexp_replace(url, java(TRACKED + "&", "i"), "$1"), java(TRACKED, "i"), "")
+    kept = F.regexp_replace(url, java(TRACKED, "i"), "$1")  # once, from the left: a match ends where the next begins
     return F.when(kept.endswith("?") | kept.endswith("&"), F.left(kept, F.length(kept) - 1)).otherwise(kept)
 
 

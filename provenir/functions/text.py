@@ -6,7 +6,7 @@ from whole-number sums, so that every engine gives the same digits.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
@@ -69,22 +69,29 @@ def profiled(df: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def lexical_diversity(df: DataFrame, key: str, text: str = "text", window: int = WINDOW) -> DataFrame:
-    """(key, lexical_diversity): mean share of distinct words in all windows of `window` words, of all words if fewer.
+def diversity(text: Column, window: int = WINDOW) -> Column:
+    """Mean share of distinct words in all windows of `window` words, of all words if fewer; 0 without words. Narrow.
 
     A word occurrence is the first of its kind in so many windows as its previous occurrence allows; summing these
-    gives the mean exactly, with one lag per word instead of a set per window.
+    gives the mean exactly. Occurrences are sorted by word and place, so each one's previous is its neighbour.
     """
-    tokens = df.select(F.col(key), F.posexplode(words(F.coalesce(F.col(text), F.lit("")))).alias("j", "w")).withColumn("w", F.lower("w"))
-    before = F.coalesce(F.lag("j").over(Window.partitionBy(key, "w").orderBy("j")), F.lit(-1))
-    per = tokens.withColumn("p", before).groupBy(key)
-    n = F.max("j") + 1
-    long = per.agg(n.alias("n"), F.collect_list(F.struct("j", "p")).alias("jp"))
-    starts = F.aggregate("jp", F.lit(0).cast("long"), lambda a, x: a + F.greatest(F.lit(0), F.least(x.j, F.col("n") - window) - F.greatest(x.p + 1, x.j - (window - 1), F.lit(0)) + 1))
-    few = F.size(F.filter("jp", lambda x: x.p < 0))
-    value = F.when(F.col("n") <= window, few / F.col("n")).otherwise(starts / (float(window) * (F.col("n") - (window - 1))))
-    found = long.select(F.col(key).alias("_k"), rounded(value, 2).alias("lexical_diversity"))
-    return df.select(key).join(found, F.col(key) == F.col("_k"), "left").select(key, F.coalesce("lexical_diversity", F.lit(0.0)).alias("lexical_diversity"))
+    placed = F.array_sort(F.transform(words(text), lambda w, j: F.struct(F.lower(w).alias("w"), j.alias("j"))))
+    before = F.concat(F.slice(placed, 1, 1), F.slice(placed, F.lit(1), F.greatest(F.size(placed) - 1, F.lit(0))))
+    both = F.zip_with(before, placed, lambda a, b: F.struct(b.j.alias("j"), F.when((a.w == b.w) & (a.j < b.j), a.j).otherwise(-1).alias("p")))
+    zero = F.struct(F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("few"), F.lit(0).alias("n"))
+
+    def value(x: Column, n: Column) -> Column:
+        starts = lambda a, p: F.greatest(F.lit(0), F.least(p.j, n - window) - F.greatest(p.p + 1, p.j - (window - 1), F.lit(0)) + 1)
+        total = F.aggregate(x, zero, lambda a, p: F.struct((a.first + starts(a, p)).alias("first"), (a.few + (p.p < 0).cast("long")).alias("few"), a.n.alias("n")))
+        return F.when(n == 0, 0.0).when(n <= window, total.few / n).otherwise(total.first / (float(window) * (n - (window - 1))))
+
+    held = F.transform(F.array(both), lambda x: value(x, F.size(x)))  # the occurrences are made once, not at each use
+    return F.coalesce(rounded(held[0], 2), F.lit(0.0))
+
+
+def lexical_diversity(df: DataFrame, key: str, text: str = "text", window: int = WINDOW) -> DataFrame:
+    """(key, lexical_diversity) for each row of df."""
+    return df.select(key, diversity(F.coalesce(F.col(text), F.lit("")), window).alias("lexical_diversity"))
 
 
 def matches(text: Column, pattern: str) -> Column:

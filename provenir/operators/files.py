@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rx import java
+from ..functions.rx import WS, java
+from ..functions.text import trimmed
 from ..rules import VENDOR_PATTERNS
-from .detect import SIGNAL, signal, vendor_of
+from .detect import SIGNAL, Detector, signal, vendor_of
 
 META, CODE, PROJECT = 500, 3000, 0
 # fixed values: tools that write PDF files (pattern, points, strength, direction, hints), first match first
@@ -93,8 +94,8 @@ def metadata(raw: Column, kind: Column, n_words: Column) -> Column:
     pace = F.try_divide(n_words, F.greatest(minutes, F.lit(1.0)))
     of_docx = _all(
         lib, F.when((at("docx.hasapp") == "0") | (app == ""), signal(META + 9, "meta-docx-noapp", "metadata", "moyen", "ia", 10, None, (("script", 1),))),
-        F.when(no_lib & word_like & (n_words >= 200) & (pace > 120), signal(META + 10, "meta-docx-paste", "metadata", "moyen", "ia", 12)).when(no_lib & word_like & (n_words >= 200) & (pace < 20) & (minutes >= 20), signal(META + 10, "meta-docx-typed", "metadata", "faible", "humain", -8)),
-        F.when(no_lib & is_(app, "word") & (marks == 0), signal(META + 11, "meta-docx-rsid", "metadata", "moyen", "ia", 10)).when(no_lib & is_(app, "word") & (marks >= 6), signal(META + 11, "meta-docx-rsid", "metadata", "faible", "humain", -6)),
+        F.when(no_lib & word_like & (n_words >= 200) & (pace > 120), signal(META + 10, "meta-docx-paste", "metadata", "moyen", "ia", 12)).when(no_lib & word_like & (n_words >= 200) & (pace < 20) & (minutes >= 20), signal(META + 10, "meta-docx-worked", "metadata", "faible", "humain", -8)),
+        F.when(no_lib & is_(app, "word") & (marks == 0), signal(META + 11, "meta-docx-norsid", "metadata", "moyen", "ia", 10, None, (("script", 1),))).when(no_lib & is_(app, "word") & (marks >= 6), signal(META + 11, "meta-docx-sessions", "metadata", "faible", "humain", -6)),
     )
     return F.when(kind == "pdf", F.concat(common, of_pdf)).when(kind == "docx", F.concat(common, of_docx)).otherwise(_none())
 
@@ -150,6 +151,137 @@ def comments(t: Column, extension: Column) -> Column:
     return F.when(F.coalesce(extension.isin(*HASH_COMMENTS), F.lit(False)), hashes).otherwise(slashes)
 
 
+# fixed values: words of comments that say nothing, and beginnings of French words with the English names they stand for
+SILENT = "the and for with from into are its this that these those our all any each new then else when not out via les des une aux dans sur pour par avec est sont cet cette ces qui que ses son leur nouveau nouvelle tous toutes puis".split()
+FRENCH = {
+    "récup": "get fetch retrieve load", "cré": "create new make build", "mise": "update set", "mettre": "update set", "supprim": "delete remove destroy", "vérif": "check is has validate verify", "ajout": "add push append insert",
+    "initialis": "init setup", "utilisateur": "user", "affich": "show display render", "charg": "load fetch", "envo": "send post submit", "calcul": "compute calculate calc", "défini": "set define", "retourn": "return", "renvoi": "return",
+    "gère": "handle", "gérer": "handle", "gestion": "handle manage", "erreur": "error err", "donnée": "data", "fichier": "file", "réponse": "response res", "requête": "request req query", "nombre": "count number num", "état": "state status",
+    "valeur": "value val", "clé": "key", "élément": "item element", "formulaire": "form", "bouton": "button btn", "liste": "list items", "tableau": "array table", "connexion": "connect login", "titre": "title", "chemin": "path", "tri": "sort",
+    "filtr": "filter", "parcour": "for each map", "boucle": "for loop while", "ferm": "close", "ouvr": "open", "lire": "read", "écri": "write", "enregistr": "save store", "sauvegard": "save",
+}
+TOOLING = r"^(todo|fixme|hack|xxx|eslint|prettier|@ts-|ts-|noqa|type:|pylint|istanbul|c8|biome|region|endregion|#)"
+HASH_ONLY = ("py", "sh", "bash", "zsh", "rb", "r", "pl", "ps1", "yml", "yaml", "toml")
+MARKUP = ("html", "htm", "vue", "svelte", "xml")
+
+
+def comment_of(line: Column, extension: Column) -> Column:
+    """What a line that is all comment says; null for other lines."""
+    said = lambda p: F.when(line.rlike(java(p)), F.regexp_extract(line, java(p), 1))
+    is_in = lambda names: F.coalesce(extension.isin(*names), F.lit(False))
+    slashes, stars, tags = said(r"^\s*\/\/\s*(.*?)\s*$"), said(r"^\s*\{?\/\*+\s*(.*?)\s*\*\/\}?\s*$"), said(r"^\s*<!--\s*(.*?)\s*-->\s*$")
+    own = F.when(is_in(HASH_ONLY), said(r"^\s*#(?!!)\s*(.*?)\s*$")).otherwise(slashes)
+    return F.coalesce(own, F.when(is_in(("php",)), said(r"^\s*#(?!\[)\s*(.*?)\s*$")), stars, F.when(is_in((*MARKUP, "php")), tags))
+
+
+def content_words(comment: Column) -> Column:
+    return F.filter(F.regexp_extract_all(F.lower(comment), F.lit("[a-zà-ÿ]+"), 0), lambda w: (F.length(w) >= 3) & ~w.isin(*SILENT))
+
+
+def code_parts(line: Column) -> Column:
+    """The words that the names in a line of code are made of."""
+    names = F.regexp_extract_all(line, F.lit(r"[A-Za-z_$][A-Za-z0-9_$]*"), 0)
+    parts = F.flatten(F.transform(names, lambda n: F.split(n, r"(?<=[a-z0-9])(?=[A-Z])|[_$]+")))
+    return F.array_distinct(F.transform(F.filter(parts, lambda p: F.length(p) >= 2), F.lower))
+
+
+def _says(word: Column, parts: Column) -> Column:
+    """Whether a word of a comment names one of the parts, in English or French."""
+    w = F.when((F.length(word) > 3) & word.endswith("s"), F.left(word, F.length(word) - 1)).otherwise(word)
+    same = F.exists(parts, lambda p: (p == w) | (p == word) | (F.length(w) >= 4) & (F.length(p) >= 4) & (p.startswith(w) | w.startswith(p)))
+    means = F.when(F.lit(False), F.array().cast("array<string>"))
+    for stem, names in FRENCH.items():
+        means = means.when(word.startswith(stem), F.array(*map(F.lit, names.split())))
+    return same | F.coalesce(F.arrays_overlap(means, parts), F.lit(False))
+
+
+def paraphrases(t: Column, extension: Column) -> Column:
+    """Places (line, code: line numbers from 1) of comments that repeat the next line of code; null while they are few.
+
+    A comment counts if it stands alone, has two to eight words that say something, and code follows within two lines.
+    """
+    lines = F.split(t, "\n", -1)
+    said = F.transform(F.array(lines), lambda ls: F.transform(ls, lambda x: F.struct(x.alias("line"), comment_of(x, extension).alias("said"))))
+
+    def found(ls: Column) -> Column:
+        at = lambda i: F.get(ls, i)
+        blank = lambda i: F.coalesce(at(i).line.rlike(rf"^[{WS}]*\z"), F.lit(False))
+
+        def one(x: Column, i: Column) -> Column:
+            follows = F.when(~blank(i + 1), i + 1).otherwise(i + 2)
+            code = F.when(blank(follows), None).otherwise(at(follows))
+            alone = x.said.isNotNull() & (F.when(i > 0, at(F.greatest(i - 1, F.lit(0))).said.isNull()).otherwise(True))
+            plain = ~x.said.rlike(java(TOOLING, "i")) & ~x.said.rlike("[;{}=()<>]")
+            ws = content_words(x.said)
+            parts = code_parts(code.line)
+            hits = F.size(F.filter(ws, lambda w: _says(w, parts)))
+            eligible = alone & plain & code.line.isNotNull() & code.said.isNull() & (F.size(ws) >= 2) & (F.size(ws) <= 8)
+            return F.when(eligible, F.struct((i + 1).alias("line"), (follows + 1).alias("code"), (hits >= 0.66 * F.size(ws)).alias("same")))
+
+        return F.filter(F.transform(ls, one), lambda x: x.isNotNull())
+
+    def enough(x: Column) -> Column:
+        same = F.filter(x, lambda e: e.same)
+        return F.when((F.size(same) >= 3) & (F.size(x) >= 4) & (F.size(same) >= 0.3 * F.size(x)), F.transform(same, lambda e: F.struct(e.line, e.code)))
+
+    return F.element_at(F.transform(F.transform(said, found), enough), 1)
+
+
+def project_code(files: DataFrame, key: str, text: str = "text", extension: str = "extension") -> DataFrame:
+    """(key, files, signals): code signals of whole projects. files: a row for each source file.
+
+    A rule counts in the files where it fires by itself; counts and files are summed with partial aggregation, so a
+    project of any size travels as one row a rule and task.
+    """
+    own = files.select(key, code(F.coalesce(F.col(text), F.lit("")), F.col(extension)).alias("s"))
+    n = files.groupBy(key).agg(F.count("*").alias("files"))
+    rank = F.when(F.col("s.strength") == "fort", 3).when(F.col("s.strength") == "moyen", 2).otherwise(1)
+    hit = own.select(key, F.explode("s").alias("s")).groupBy(key, "s.id").agg(F.sum(F.coalesce("s.count", F.lit(1))).alias("count"), F.count("*").alias("in_files"), F.max_by("s", rank * 1000 + F.col("s.points")).alias("s"))
+    summed = F.struct(*[F.col(f"s.{c}") for c in ("seq", "id", "category", "strength", "direction", "points", "vendors")], F.col("count")).cast(SIGNAL)
+    per = hit.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col("s.seq").alias("o"), summed.alias("s"), F.col("in_files").alias("n")))).alias("x"))
+    out = n.join(per, key, "left")
+    return out.select(key, "files", F.coalesce(F.transform("x", lambda e: e.s), _none()).alias("signals"), F.coalesce(F.transform("x", lambda e: e.n), F.array().cast("array<bigint>")).alias("in_files"))
+
+
+def first_line(message: Column) -> Column:
+    return F.left(trimmed(F.element_at(F.split(message, "\n"), 1)), F.lit(90))
+
+
+def commits_by_tool(commits: DataFrame, key: str) -> DataFrame:
+    """(key, tool, vendor, commits, total, first): signed commits of each tool, of all read, and the first two as
+    evidence. commits: key, ord, author, email, message."""
+    said = commits.withColumn("_t", commit_tool(F.concat("author", F.lit(" <"), "email", F.lit(">\n"), "message")))
+    total = said.groupBy(key).agg(F.count("*").alias("total"))
+    w = Window.partitionBy(key, "_tool").orderBy("ord")
+    signed = said.where("_t is not null").withColumn("_tool", F.col("_t.tool"))
+    line = F.concat(F.col("_tool"), F.lit(" : « "), first_line(F.col("message")), F.lit(" »"))
+    two = signed.withColumn("_k", F.row_number().over(w)).where("_k <= 2").groupBy(key, "_tool").agg(F.sort_array(F.collect_list(F.struct("ord", line.alias("e")))).alias("f"))
+    counted = signed.groupBy(key, "_tool").agg(F.count("*").alias("commits"), F.first("_t.vendor").alias("vendor"))
+    return counted.join(two, [key, "_tool"]).join(total, key).select(key, F.col("_tool").alias("tool"), "vendor", "commits", "total", F.transform("f", lambda x: x.e).alias("first"))
+
+
+def shallowest_head(paths: Column) -> Column:
+    """The .git/HEAD of a project with the fewest folders above it, the first of equal ones; null without history."""
+    heads = F.filter(paths, lambda p: p.rlike(r"(^|/)\.git/HEAD$"))
+    keyed = F.transform(heads, lambda p: F.struct(F.size(F.split(p, "/")).alias("d"), p.alias("p")))
+    return F.try_element_at(F.array_sort(keyed), F.lit(1)).p
+
+
+def file_signals(kind: str = "kind", raw: str = "raw", extension: str = "extension", text: str = "text") -> Detector:
+    """The detectors of a file's facts and code, for `detected(more=...)`: the table needs these columns and `words`."""
+
+    def of(x: DataFrame) -> Column:
+        of_code = F.when(F.col(kind) == "code", code(F.coalesce(F.col(text), F.lit("")), F.col(extension))).otherwise(_none())
+        return F.concat(F.coalesce(metadata(F.col(raw), F.col(kind), F.col("words")), _none()), F.coalesce(of_code, _none()))
+
+    return of
+
+
+def project_signals(paths: str = "paths", commits: str = "commits") -> Detector:
+    """The detector of a project's paths and commits; rows without paths are no projects."""
+    return lambda x: F.when(F.col(paths).isNotNull(), project(F.col(paths), F.col(commits))).otherwise(_none())
+
+
 def code(t: Column, extension: Column) -> Column:
     """Signals of one source file; a project's files are rows of their own, whose signals are summed up by project."""
     marks = F.filter(F.split(F.array_join(comments(t, extension), " "), ""), lambda c: c.rlike(f"^{TYPOGRAPHY}$"))
@@ -160,4 +292,5 @@ def code(t: Column, extension: Column) -> Column:
     return _all(
         *rules_, F.when((n >= 3) | (kinds >= 2), signal(CODE + 10, "code-typography", "code", F.when(strong, "moyen").otherwise("faible"), "ia", F.when(strong, 22).otherwise(12), n, both)),
         F.when(F.left(t, F.lit(800)).rlike(java(BANNER, "m")), signal(CODE + 11, "code-banner", "code", "moyen", "ia", 22, None, both)),
+        F.when(paraphrases(t, extension).isNotNull(), signal(CODE + 12, "code-paraphrase", "code", "faible", "ia", 10, F.size(paraphrases(t, extension)))),
     )

@@ -50,37 +50,62 @@ def scored(df: DataFrame, measured: bool = False, code: Column | None = None) ->
     return x.withColumn("confidence", sure).drop("_tech", "_model", "_style", "_strong", "_medium")
 
 
-def vendor_weights(df: DataFrame, key: str) -> DataFrame:
-    """(key, vendor, weight, trace, declared): evidence for each assistant that a signal hints at."""
-    s = df.select(key, F.explode_outer("signals").alias("s")).where("s.direction = 'ia'").select(key, "s", F.explode("s.vendors").alias("v"))  # outer: no filter on the array is inferred and pushed into its long expression
-    factor = F.create_map(*[F.lit(x) for kv in rules.STRENGTH_FACTOR.items() for x in kv])[F.col("s.strength")]
-    strong = F.col("s.strength").isin("fort", "moyen")
-    return s.groupBy(key, F.col("v.vendor").alias("vendor")).agg(F.sum(F.col("v.weight") * factor).alias("weight"), F.max((F.col("v.weight") >= 2) & strong).alias("trace"), F.max(F.col("s.id").isin(*DECLARATIONS) & (F.col("v.weight") >= 3) & (F.col("s.strength") == "fort")).alias("declared"))
+def hints_of(signals: Column) -> Column:
+    """(vendor, weight, trace, declared) for every assistant, in the fixed order; the weight is null without a hint."""
+    factor = F.create_map(*[F.lit(x) for kv in rules.STRENGTH_FACTOR.items() for x in kv])
+    own = F.flatten(F.transform(F.filter(signals, lambda s: s.direction == "ia"), lambda s: F.transform(s.vendors, lambda h: F.struct(
+        h.vendor.alias("vendor"), (h.weight * factor[s.strength]).alias("weight"), ((h.weight >= 2) & s.strength.isin("fort", "moyen")).alias("trace"),
+        (s.id.isin(*DECLARATIONS) & (h.weight >= 3) & (s.strength == "fort")).alias("declared"),
+    ))))
+
+    def per(found: Column, v: Column) -> Column:
+        mine = F.filter(found, lambda h: h.vendor == v)
+        total = F.aggregate(mine, F.lit(0.0), lambda a, h: a + h.weight)
+        return F.struct(v.alias("vendor"), F.when(F.size(mine) > 0, total).alias("weight"), F.exists(mine, lambda h: h.trace).alias("trace"), F.exists(mine, lambda h: h.declared).alias("declared"))
+
+    names = F.array(*map(F.lit, rules.AI_VENDORS))
+    return F.flatten(F.transform(F.array(own), lambda found: F.transform(names, lambda v: per(found, v))))  # hints are gathered once
+
+
+def level_of(hint: Column) -> Column:
+    return F.when(hint.weight.isNull(), "aucun").when(hint.trace, "trace").otherwise("indice")
 
 
 def vendors_of(df: DataFrame, key: str) -> DataFrame:
-    """(key, ord, vendor, score, level): every assistant for every document, those without a hint with 0."""
-    every = df.select(key, F.posexplode(F.array(*map(F.lit, rules.AI_VENDORS))).alias("ord", "vendor"))
-    w = vendor_weights(df, key)
-    x = every.join(w, [key, "vendor"], "left")
-    return x.select(key, "ord", "vendor", F.least(F.lit(100), F.coalesce(F.floor(F.col("weight") * 8 + 0.5), F.lit(0))).cast("int").alias("score"), F.when(F.col("weight").isNull(), "aucun").when(F.col("trace"), "trace").otherwise("indice").alias("level"))
+    """(key, ord, vendor, score, level): every assistant for every document, those without a hint with 0. Narrow."""
+    x = df.select(key, hints_of(F.col("signals")).alias("h")).select(key, F.posexplode("h").alias("ord", "h"))
+    return x.select(key, "ord", "h.vendor", F.least(F.lit(100), F.coalesce(F.floor(F.col("h.weight") * 8 + 0.5), F.lit(0))).cast("int").alias("score"), level_of(F.col("h")).alias("level"))
 
 
-def origins_of(df: DataFrame, key: str, probability: Column) -> DataFrame:
-    """(key, vendor, score): the probability shared among assistants; null where it can't be told.
+def ranked(vendors: Column) -> Column:
+    """Assistants (ord, score, ...) by falling score, ties in the fixed order."""
+    return F.transform(F.array_sort(F.transform(vendors, lambda v: F.struct((-v.score).alias("s"), v.ord.alias("o"), v.alias("v")))), lambda k: k.v)
+
+
+def shares(signals: Column, probability: Column) -> Column:
+    """(vendor, score, level): the probability shared among assistants; null where it can't be told.
 
     Traced assistants share among themselves where there is one, else all do, by 1 and their weight; what the file
-    itself declares takes DECLARED_SHARE. One row array per document: no shuffle beyond the grouping of hints.
+    itself declares takes DECLARED_SHARE.
     """
-    hints = vendor_weights(df, key).where(F.col("vendor").isin(*rules.AI_VENDORS)).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("vendor", F.struct("weight", "trace", "declared")))).alias("h"))
-    x = df.select(key, probability.alias("p")).join(hints, key, "left")
-    names = F.array(*map(F.lit, rules.AI_VENDORS))
-    entry = lambda v: F.try_element_at(F.coalesce(F.col("h"), F.map_from_entries(F.array().cast("array<struct<k:string,v:struct<weight:double,trace:boolean,declared:boolean>>>"))), v)
-    traced = F.exists(names, lambda v: F.coalesce(entry(v).trace, F.lit(False)))
-    x = x.withColumn("_w", F.transform(names, lambda v: F.struct(v.alias("vendor"), F.when(traced, F.when(F.coalesce(entry(v).trace, F.lit(False)), entry(v).weight).otherwise(0.0)).otherwise(1 + F.coalesce(entry(v).weight, F.lit(0.0))).alias("w"), F.coalesce(entry(v).declared, F.lit(False)).alias("d"))))
-    total = lambda keep: F.aggregate(F.filter("_w", keep), F.lit(0.0), lambda a, e: a + e.w)
-    x = x.withColumn("_mine", total(lambda e: e.d)).withColumn("_others", total(lambda e: ~e.d))
-    some = F.exists("_w", lambda e: e.d)
-    x = x.withColumn("_w", F.transform("_w", lambda e: F.struct(e.vendor.alias("vendor"), F.when(~some, e.w).when(e.d, F.try_divide(DECLARED_SHARE * e.w, F.col("_mine"))).otherwise(F.coalesce(F.try_divide((1 - DECLARED_SHARE) * e.w, F.col("_others")), F.lit(0.0))).alias("w"))))
-    x = x.withColumn("_all", F.aggregate("_w", F.lit(0.0), lambda a, e: a + e.w))
-    return x.select(key, "p", "_all", F.explode("_w").alias("e")).select(key, F.col("e.vendor").alias("vendor"), F.floor(F.col("p") * (F.col("e.w") / F.col("_all")) * 100 + 0.5).cast("int").alias("score"))
+    total = lambda x, keep: F.aggregate(F.filter(x, keep), F.lit(0.0), lambda a, e: a + e.w)
+
+    def weighed(hints: Column) -> Column:
+        traced = F.exists(hints, lambda h: h.trace)
+        return F.transform(hints, lambda h: F.struct(h.vendor.alias("vendor"), F.when(traced, F.when(h.trace, h.weight).otherwise(0.0)).otherwise(1 + F.coalesce(h.weight, F.lit(0.0))).alias("w"), h.declared.alias("d"), level_of(h).alias("level")))
+
+    def settled(x: Column) -> Column:
+        some, mine, others = F.exists(x, lambda e: e.d), total(x, lambda e: e.d), total(x, lambda e: ~e.d)
+        return F.transform(x, lambda e: F.struct(e.vendor.alias("vendor"), F.when(~some, e.w).when(e.d, F.try_divide(DECLARED_SHARE * e.w, mine)).otherwise(F.coalesce(F.try_divide((1 - DECLARED_SHARE) * e.w, others), F.lit(0.0))).alias("w"), e.level.alias("level")))
+
+    def scored_(x: Column) -> Column:
+        every = F.aggregate(x, F.lit(0.0), lambda a, e: a + e.w)
+        return F.transform(x, lambda e: F.struct(e.vendor.alias("vendor"), F.floor(probability * (e.w / every) * 100 + 0.5).cast("int").alias("score"), e.level.alias("level")))
+
+    once = lambda c, f: F.flatten(F.transform(F.array(c), f))  # noqa: E731  so that each step is made once
+    return once(once(once(hints_of(signals), weighed), settled), scored_)
+
+
+def origins_of(df: DataFrame, key: str, probability: Column) -> DataFrame:
+    """(key, vendor, score) of `shares`, a row for each assistant. Narrow."""
+    return df.select(key, F.explode(shares(F.col("signals"), probability)).alias("e")).select(key, "e.vendor", "e.score")

@@ -220,8 +220,7 @@ SQL: dict[str, str] = {
         k AS (SELECT doc_id, a, b, unnest(range(len(b))) AS k FROM m)
         SELECT doc_id, k, CAST(length(array_to_string(a[1:k + 1], '')) + length(array_to_string(b[1:k], '')) AS BIGINT) AS start, CAST(length(array_to_string(a[1:k + 1], '')) + length(array_to_string(b[1:k + 1], '')) AS BIGINT) AS stop FROM k""",
     "clean_utm": r"""WITH u AS (SELECT page_id, replace(url, 'utm_source=feed', 'utm_source=chatgpt.com') || CASE WHEN page_id % 3 = 0 THEN '&utm_source=openai&z=1' ELSE '' END AS u FROM pages),
-        v AS (SELECT page_id, regexp_replace(regexp_replace(u, '(?i)([?&])utm_source=(?:chatgpt\.com|openai|perplexity(?:\.ai)?|copilot(?:\.com)?|gemini|claude(?:\.ai)?|bard|you\.com|mistral|deepseek|grok)&', '\1', 'g'),
-                     '(?i)([?&])utm_source=(?:chatgpt\.com|openai|perplexity(?:\.ai)?|copilot(?:\.com)?|gemini|claude(?:\.ai)?|bard|you\.com|mistral|deepseek|grok)', '', 'g') AS v FROM u)
+        v AS (SELECT page_id, regexp_replace(u, '(?i)([?&])utm_source=(?:chatgpt\.com|openai|perplexity(?:\.ai)?|copilot(?:\.com)?|gemini|claude(?:\.ai)?|bard|you\.com|mistral|deepseek|grok)&|[?&]utm_source=(?:chatgpt\.com|openai|perplexity(?:\.ai)?|copilot(?:\.com)?|gemini|claude(?:\.ai)?|bard|you\.com|mistral|deepseek|grok)', '\1', 'g') AS v FROM u)
         SELECT page_id, regexp_replace(v, '[?&]$', '') AS url FROM v""",
     "html_prose": f"SELECT page_id, md5(regexp_replace({_HTML}, '^{W}+|{W}+$', '', 'g')) AS prose_md5 FROM pages",
     "report_summary": f"SELECT doc_id, regexp_replace(regexp_replace(left(text, 140), '{W}+', ' ', 'g'), '^{W}+|{W}+$', '', 'g') AS excerpt FROM documents",

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rules
+from .cluster import spread
 from .functions import clean, text
 from .operators import calibrate, detect, likelihood, verdict
 from .plans.analyze import analyzed, summary
@@ -27,6 +28,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table whose texts are analysed, on all cores."""
+    return spread(read(spark, sf_dir, name))
+
+
 def injected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents with markers appended."""
     def pick(by: int, what: dict[int, str]) -> Column:
@@ -35,24 +41,24 @@ def injected(spark: SparkSession, sf_dir: str) -> DataFrame:
             out = F.when(F.col("doc_id") % by == k, v).otherwise(out)
         return out
 
-    return read(spark, sf_dir, "documents").withColumn("text", F.concat(F.coalesce("text", F.lit("")), pick(10, MARKERS), pick(97, RARE)))
+    return texts(spark, sf_dir).withColumn("text", F.concat(F.coalesce("text", F.lit("")), pick(10, MARKERS), pick(97, RARE)))
 
 
 def text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.profiled(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return text.profiled(texts(spark, sf_dir).select("doc_id", "text")).drop("text")
 
 
 def mattr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.lexical_diversity(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return text.lexical_diversity(texts(spark, sf_dir).select("doc_id", "text"), "doc_id")
 
 
 def language_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents")
+    d = texts(spark, sf_dir)
     return d.groupBy("lang", text.language(text.words(F.coalesce("text", F.lit("")))).alias("language")).agg(F.count("*").alias("n"))
 
 
 def conversation_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = text.profiled(read(spark, sf_dir, "conversations").select("role", "text"))
+    p = text.profiled(texts(spark, sf_dir, "conversations").select("role", "text"))
     return p.groupBy("role").agg(F.count("*").alias("turns"), F.sum("words").alias("words"), F.sum("sentences").alias("sentences"), F.max("chars").alias("longest"))
 
 
@@ -139,11 +145,11 @@ def highlights_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def verse_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", text.verse(F.coalesce("text", F.lit(""))).alias("verse"))
+    return texts(spark, sf_dir).select("doc_id", text.verse(F.coalesce("text", F.lit(""))).alias("verse"))
 
 
 def prose_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = read(spark, sf_dir, "documents").select("doc_id", "text", text.prose_sample(F.col("text")).alias("sample"))
+    s = texts(spark, sf_dir).select("doc_id", "text", text.prose_sample(F.col("text")).alias("sample"))
     return s.select("doc_id", F.length("sample").cast("long").alias("sample_chars"), F.when(F.col("sample") == F.col("text"), 0.0).otherwise(text.rounded(F.length("sample") / F.greatest(F.lit(1), F.length("text")), 4)).alias("prose_ratio"))
 
 
@@ -157,7 +163,7 @@ def clean_utm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "pages").select("page_id", F.md5(clean.prose_of_html(F.col("html"))).alias("prose_md5"))
+    return texts(spark, sf_dir, "pages").select("page_id", F.md5(clean.prose_of_html(F.col("html"))).alias("prose_md5"))
 
 
 def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,7 +178,7 @@ def token_logits(spark: SparkSession, sf_dir: str, scale: float = 1.0, observer:
 
     With a scale for the observer, its distribution at the same position is there too.
     """
-    d = read(spark, sf_dir, "documents").select("doc_id", F.transform(text.words(F.coalesce("text", F.lit(""))), F.length).alias("n"))
+    d = texts(spark, sf_dir).select("doc_id", F.transform(text.words(F.coalesce("text", F.lit(""))), F.length).alias("n"))
     ahead = F.arrays_zip(*[(F.slice("n", j + 1, F.size("n")) if j else F.col("n")).alias(f"n{j}") for j in range(4)])  # a position carries four lengths, not its text
     d = d.select("doc_id", F.posexplode(ahead).alias("pos", "a")).select("doc_id", "pos", "a.*")
 

@@ -25,7 +25,7 @@ class Rule:
 
 
 HEAD_CHARS, TAIL_CHARS = 300, 600
-CATEGORIES = ("project", "metadata", "artefact", "unicode", "code", "style", "stats", "watermark", "model")
+CATEGORIES = ("project", "metadata", "artefact", "unicode", "model", "code", "style", "stats", "watermark")
 TECHNICAL = ("project", "metadata", "artefact", "unicode")
 STRENGTHS = ("fort", "moyen", "faible", "info")
 STRENGTH_FACTOR = {"fort": 3.0, "moyen": 2.0, "faible": 1.0, "info": 0.5}
