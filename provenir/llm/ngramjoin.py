@@ -42,7 +42,7 @@ _PLACE = _random.integers(0, 2**63, 64, dtype=np.uint64) * U(2) + U(1)
 CHUNK = 1 << 20
 #: Shingles that are put last in the order at most, of 12 bytes each where they are broadcast, and the shingles that
 #: are counted at once.
-COMMON = 500_000
+COMMON = 1_000_000
 BLOCK = 1 << 21
 #: A document's bitmap: 2 ** BITS buckets.
 BITS = 10
@@ -185,16 +185,24 @@ def sketches(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return light(docs, 500).mapInPandas(run, "id long, n long, s1 long, s2 long, prefix array<long>, bits array<long>")
 
 
-def entries_of(made: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """tok, pos, id, n, g (the group of documents with this prefix and size): prefix shingles of two sets or more.
+def entries_of(made: DataFrame, classes: DataFrame, fits: Callable[..., Column], percent: int) -> DataFrame:
+    """tok, pos, id, n, g (the group of documents with this prefix and size), comp: prefix shingles of two sets or more.
 
-    Sets so small that no other set can be similar have none.
+    What counts is different sets, so a signature travels with each shingle; where only two rows have a shingle, their
+    sizes must fit as well. Sets so small that no other set can be similar have no entries.
     """
     near = made.where((F.col("n") > 0) & F.col("id").isNotNull() & (F.col("n") * 100 >= (F.col("n") + 1) * percent))
-    rows = near.select("id", F.posexplode("prefix").alias("pos", "tok"))
-    twice = rows.groupBy("tok").agg(F.count("*").alias("m")).where("m > 1").select("tok")
+    signature = F.shiftleft(F.least("n", F.lit((1 << 23) - 1)), 40).bitwiseOR(F.xxhash64("s1", "s2").bitwiseAND(F.lit((1 << 40) - 1)))
+    rows = near.select("id", signature.alias("sig"), F.posexplode("prefix").alias("pos", "tok"))
+    found = rows.groupBy("tok").agg(F.count("*").alias("m"), F.min("sig").alias("a"), F.max("sig").alias("b")).where("a <> b")
+    zero = F.lit(0)
+    shared = found.where((F.col("m") > 2) | fits(F.shiftright("a", 40), F.shiftright("b", 40), zero, zero)).select("tok")
+    few = written(rows.select("tok", "pos", "id").join(shared, "tok"), "repeated")
+    release(made.sparkSession)
     rep = classes.select(F.col("rep").alias("id"), "n", "g")
-    return written(rows.join(twice, "tok").join(rep, "id").select("tok", F.col("pos").cast("long").alias("pos"), "id", "n", "g"), "entries")  # equal sets have one document here
+    out = written(few.join(rep, "id").select("tok", F.col("pos").cast("long").alias("pos"), "id", "n", "g"), "entries")  # equal sets have one document here
+    release(made.sparkSession, few)
+    return out
 
 
 def far(a: str, b: str, size: Column, percent: int, masks: bool = False) -> Column:
@@ -249,7 +257,8 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str
     source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     made = written(sketches(source, n, percent), "sketches")
     classes = written(made.where("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.min(F.xxhash64("prefix")).alias("g")), "classes")
-    entries = entries_of(made, classes, percent)
+    fits = lambda x, y, i, j: (F.least(x, y) * 100 >= F.greatest(x, y) * percent) & (F.least(x - i, y - j) * (100 + percent) >= (x + y) * percent)
+    entries = entries_of(made, classes, fits, percent)
     # bits of each document with an entry; comp: a document that it is known to be connected with
     of_entries = written(entries.select("id").distinct(), "ids")
     few = of_entries.count() <= MAX_BROADCAST
@@ -258,18 +267,19 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str
     state = made.where("n > 0").join(near(of_entries), "id").groupBy("id").agg(F.min("n").alias("n"), F.first("bits").alias("bits"), one_set.alias("sure"))
     state = written(state.withColumn("comp", F.col("id")), "state")
     texts = written(source.where("id is not null").join(near(of_entries), "id").distinct(), "texts")
-    fits = lambda x, y, i, j: (F.least(x, y) * 100 >= F.greatest(x, y) * percent) & (F.least(x - i, y - j) * (100 + percent) >= (x + y) * percent)
     every: DataFrame | None = None
     for k in range(PIVOT_ROUNDS + 1):
         now = entries.join(near(state.select("id", "comp")), "id")
-        open_toks = now.groupBy("tok").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.min_by(F.struct("id", "n", "comp", "pos"), F.xxhash64("id", F.lit(k)) if k else F.col("id")).alias("pivot"), F.mode("comp").alias("most")).where("c < d").select("tok", "pivot", "most")
         if k < PIVOT_ROUNDS:
+            open_toks = now.groupBy("tok").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.min_by(F.struct("id", "n", "comp", "pos"), F.xxhash64("id", F.lit(k)) if k else F.col("id")).alias("pivot")).where("c < d").select("tok", "pivot")
             met = now.join(open_toks, "tok").where((F.col("comp") != F.col("pivot.comp")) & fits(F.col("n"), F.col("pivot.n"), F.col("pos"), F.col("pivot.pos"))).select(F.col("pivot.id").alias("a"), F.col("id").alias("b")).distinct()
             both = met.join(near(state.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"), F.col("sure").alias("sure_a"))), "a").join(near(state.select(F.col("id").alias("b"), "n", F.col("bits").alias("bits_b"), F.col("sure").alias("sure_b"))), "b")
             both = both.where(~(F.col("sure_a") & F.col("sure_b") & far("bits_a", "bits_b", F.col("na") + F.col("n"), percent)))
             pairs = both.groupBy("b", "n").agg(F.min_by("a", F.struct(F.abs(F.col("na") - F.col("n")), "a")).alias("a"))  # one pivot for each document and round
         else:
-            pairs = crossing(now.join(open_toks.select("tok", "most"), "tok"), state, fits, percent)
+            several = now.groupBy("tok").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where("c < d").select("tok")
+            still = written(now.join(several, "tok"), "open")
+            pairs = crossing(still, state, fits, percent)
         pairs = written(pairs.select("a", "b", "n"), "pairs")
         if pairs.isEmpty():
             release(spark, pairs)
@@ -277,16 +287,26 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str
         new = verified(pairs, texts, n, percent)
         every = new if every is None else every.unionByName(new)
         if k < PIVOT_ROUNDS:
-            old, state = state, written(hooked(state, new, near), "state")
+            old, state = state, written(hooked(state, new, near) if k + 1 < PIVOT_ROUNDS else solved(state, every), "state")
             release(spark, old)
         release(spark, pairs)
-    members = spark.createDataFrame([], "node long, component long") if every is None else components(every, "a", "b")
+    ties = ties_of(made, classes)
+    every = ties if every is None else every.unionByName(ties)
+    members = components(every, "a", "b")
     release(spark, entries, texts, state, of_entries)
     rep_of = classes.join(members, F.col("rep") == F.col("node"), "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("c"))
     per_row = made.select("id", "n", "s1", "s2").join(rep_of, ["n", "s1", "s2"], "left")
     return per_row.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("c", "id")).alias("component_id"))
 
 
+def ties_of(made: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): documents of several texts, each with the representative of each text's set."""
+    sets_of = made.where("n > 0 and id is not null").select("id", "n", "s1", "s2")
+    one = F.struct("n", "s1", "s2")
+    several = sets_of.groupBy("id").agg(F.min(one).alias("x"), F.max(one).alias("y")).where("x <> y").select("id")
+    return written(sets_of.join(several, "id").join(classes.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"]).select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct(), "ties")
+
+
 def hooked(state: DataFrame, links: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """state with comp brought nearer to the least document connected: over one link, then over one comp."""
     comp = lambda name: near(state.select(F.col("id").alias(name), F.col("comp").alias(f"of_{name}")))
@@ -298,14 +318,21 @@ def hooked(state: DataFrame, links: DataFrame, near: Callable[[DataFrame], DataF
     return state.drop("comp").join(near(moved), "id")
 
 
+def solved(state: DataFrame, links: DataFrame) -> DataFrame:
+    """state with comp as the links give it."""
+    members = components(links, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("c"))
+    return state.join(members, "id", "left").withColumn("comp", F.coalesce("c", "id")).drop("c")
+
+
 def crossing(now: DataFrame, state: DataFrame, fits: Callable[..., Column], percent: int) -> DataFrame:
     """(a, b, n): all pairs of documents of different components that may be similar.
 
-    now: entries with comp, and most: the component with most entries of the shingle. Groups of documents with the
+    now: entries with comp, of shingles that several components have. Groups of documents with the
     same prefix, size and component meet over a shingle, each that is not of the most frequent component with all
     others; of a group, buckets in which its members differ are left out of the comparison. Group pairs that are left
     are expanded to their members.
     """
+    now = now.join(now.groupBy("tok").agg(F.mode("comp").alias("most")), "tok")
     of_group = now.select("comp", "g", "n", "id").distinct().join(state.select("id", "bits", "sure"), "id")
     both = lambda f: F.array(*[f(F.col("bits")[i]) for i in range(WORDS)])
     masks = of_group.groupBy("comp", "g", "n").agg(both(F.bit_and).alias("all"), both(F.bit_or).alias("some"), F.min("sure").alias("sure"))
