@@ -26,9 +26,9 @@ FORMULAS = {"three": tuple(THREE_MEASURES["features"]), "binoculars": tuple(BINO
 FITTED = "formula string, part int, bias double, mean array<double>, sd array<double>, weight array<double>"
 
 
-def seeded_order(groups: list[int]) -> list[int]:
+def seeded_order(groups: list[int], seed: float = 42.0) -> list[int]:
     """The groups in the order of a seeded shuffle; the generator works in doubles, as its results are fixed so."""
-    state, order = 42.0, list(groups)
+    state, order = seed, list(groups)
     for i in range(len(order) - 1, 0, -1):
         state = (state * 1_103_515_245.0 + 12_345.0) % 2_147_483_648.0
         j = int(state / 2_147_483_648.0 * (i + 1))

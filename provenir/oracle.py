@@ -230,7 +230,7 @@ SQL: dict[str, str] = {
 def logits(scale: float, name: str) -> str:
     """CTEs words and `name`: the token distributions that the queries make."""
     return f"""{name} AS (SELECT doc_id, pos, n, pos + length(ws[pos + 1]) % least(4, n - pos) AS actual, list_transform(range(least(4, n - pos)), lambda j: -(0.7::DOUBLE * j + 0.03::DOUBLE * (length(ws[pos + j + 1]) % 5) * j) * {scale}::DOUBLE) AS l
-        FROM (SELECT *, unnest(range(n)) AS pos FROM (SELECT doc_id, ws, len(ws) AS n FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {WORD})[1:60] AS ws FROM documents))))"""
+        FROM (SELECT *, unnest(range(n)) AS pos FROM (SELECT doc_id, ws, len(ws) AS n FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {WORD}) AS ws FROM documents))))"""
 
 
 def positions(name: str) -> str:
