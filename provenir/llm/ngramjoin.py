@@ -42,7 +42,7 @@ _PLACE = _random.integers(0, 2**63, 64, dtype=np.uint64) * U(2) + U(1)
 CHUNK = 1 << 20
 #: Shingles that are put last in the order at most, of 12 bytes each where they are broadcast, and the shingles that
 #: are counted at once.
-COMMON = 1_000_000
+COMMON = 250_000
 BLOCK = 1 << 21
 #: A document's bitmap: 2 ** BITS buckets.
 BITS = 10
@@ -151,8 +151,9 @@ def common_shingles(docs: DataFrame, n: int) -> np.ndarray:
         cut = s
     found = np.zeros(0, dtype=np.int64)
     if cut is not None:
-        rows = counted.where(step >= cut).toPandas()  # COMMON rows at most
-        found = rows["tok"].to_numpy()[np.lexsort((rows["tok"], rows["k"]))]
+        rows = counted.where(step >= cut).toArrow()  # COMMON rows at most
+        tok, k = rows["tok"].to_numpy(), rows["k"].to_numpy()
+        found = tok[np.lexsort((tok, k))]
     release(docs.sparkSession, counted)
     return found
 
