@@ -6,6 +6,8 @@ from whole-number sums, so that every engine gives the same digits.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,11 @@ def rounded(x: Column, digits: int = 0) -> Column:
     return F.floor(x * 10**digits + 0.5) / float(10**digits)
 
 
+def once(c: Column, make: Callable[[Column], Column]) -> Column:
+    """make(c) with c evaluated once, however often make uses it."""
+    return F.element_at(F.transform(F.array(c), make), 1)
+
+
 def trimmed(c: Column) -> Column:
     return F.regexp_replace(c, f"^[{WS}]+|[{WS}]+\\z", "")
 

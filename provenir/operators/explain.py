@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.rx import WS, java
-from ..functions.text import intervals, matches, pieces, trimmed
+from ..functions.text import intervals, matches, once, pieces, trimmed
 from .detect import bounded
 
 HIGHLIGHT = "struct<start:int,end:int,id:string,level:string>"
@@ -26,9 +26,8 @@ def visible(text: Column) -> Column:
     out = text
     for c, name in NAMES:
         out = F.replace(out, F.lit(c), F.lit(f"⟦{name}⟧"))
-    between, found = F.split(out, PRIVATE, -1), F.regexp_extract_all(out, F.lit(PRIVATE), 0)
-    named = F.array_join(F.zip_with(between, found, lambda a, c: F.concat(a, F.when(c.isNull(), "").otherwise(F.concat(F.lit("⟦U+"), F.hex(F.ascii(c)), F.lit("⟧"))))), "")
-    out = F.when(out.rlike(PRIVATE), named).otherwise(out)
+    named = lambda t: F.array_join(F.transform(F.filter(F.split(t, f"(?<={PRIVATE})|(?={PRIVATE})"), lambda p: p != ""), lambda p: F.when(p.rlike(f"^{PRIVATE}$"), F.concat(F.lit("⟦U+"), F.hex(F.ascii(p)), F.lit("⟧"))).otherwise(p)), "")
+    out = once(out, lambda t: F.when(t.rlike(PRIVATE), named(t)).otherwise(t))
     return F.regexp_replace(F.regexp_replace(out, TAGS, "⟦TAG⟧"), f"[{WS}]+", " ")
 
 
@@ -87,6 +86,41 @@ def _zone(text: Column, zone: str) -> tuple[Column, Column]:
     return text, F.lit(0)
 
 
+def _excerpts(text: Column, at: Column, radius: int) -> Column:
+    around = F.transform(at, lambda h: F.struct(F.greatest(F.lit(0), h.start - radius).alias("a"), F.least(F.length(text), h.end + radius).alias("b")))
+    return F.transform(F.transform(around, lambda h: F.struct(h.a.alias("a"), h.b.alias("b"), F.substring(text, h.a + 1, h.b - h.a).alias("s"))), lambda h: F.concat(F.when(h.a > 0, "…").otherwise(""), F.trim(visible(h.s)), F.when(h.b < F.length(text), "…").otherwise("")))
+
+
+def _lights(at: Column, offset: Column, id_: str, level: Column) -> Column:
+    return F.transform(at, lambda h: F.struct((h.start + offset).cast("int").alias("start"), (h.end + offset).cast("int").alias("end"), F.lit(id_).alias("id"), level.alias("level")))
+
+
+def _found(s: Scan, t: Column, english: Column, strength: Column) -> Column:
+    """(id, evidence, at) of one rule's matches, which are looked for once."""
+    zone, offset = _zone(t, s.zone)
+    level = strength if s.id == "sty-lexicon" else F.lit(s.level)
+    hidden = F.transform(hidden_messages(t), lambda m: F.concat(F.lit("Texte caché : « "), F.left(m, F.lit(120)), F.lit(" »")))
+
+    def of(z: Column) -> Column:
+        at = intervals(z, s.pattern) if s.pattern == s.other else F.when(english, intervals(z, s.pattern)).otherwise(intervals(z, s.other))
+
+        def both(x: Column) -> Column:
+            if s.how == "distinct":
+                said = F.slice(F.when(english, matches(z, s.pattern)).otherwise(matches(z, s.other)), 1, s.most)
+            elif s.how == "excerpt":
+                said = _excerpts(z, F.slice(x, 1, s.most), s.radius)
+            else:
+                said = F.array().cast("array<string>")
+            if s.id == "uni-tags":
+                said = F.when(F.size(hidden) > 0, hidden).otherwise(said)
+            lights = _lights(x, offset, s.id, level) if s.shown else F.array()
+            return F.struct(F.lit(s.id).alias("id"), said.alias("evidence"), lights.cast(f"array<{HIGHLIGHT}>").alias("at"))
+
+        return once(at, both)
+
+    return once(zone, of)
+
+
 def explained(df: DataFrame, text: str = "text") -> DataFrame:
     """df (text, language, signals) with evidence (by signal id) and highlights. Narrow.
 
@@ -95,24 +129,7 @@ def explained(df: DataFrame, text: str = "text") -> DataFrame:
     """
     t, english = F.coalesce(F.col(text), F.lit("")), F.col("language") == "en"
     by_id = lambda i: F.filter("signals", lambda s: s.id == i)
-    made, names = [], []
-    for s in SCANS:
-        fired = F.size(by_id(s.id)) > 0
-        zone, offset = _zone(t, s.zone)
-        at = intervals(zone, s.pattern) if s.pattern == s.other else F.when(english, intervals(zone, s.pattern)).otherwise(intervals(zone, s.other))
-        level = F.element_at(by_id(s.id), 1).strength if s.id == "sty-lexicon" else F.when(F.size(by_id(s.id)) >= 0, s.level)
-        if s.how == "distinct":
-            found = F.slice(F.when(english, matches(zone, s.pattern)).otherwise(matches(zone, s.other)), 1, s.most)
-        elif s.how == "excerpt":
-            found = F.transform(F.slice(at, 1, s.most), lambda h, zone=zone, s=s: excerpt(zone, h.start, h.end, s.radius))
-        else:
-            found = F.array().cast("array<string>")
-        if s.id == "uni-tags":
-            hidden = F.transform(hidden_messages(t), lambda m: F.concat(F.lit("Texte caché : « "), F.left(m, F.lit(120)), F.lit(" »")))
-            found = F.when(F.size(hidden) > 0, hidden).otherwise(found)
-        lights = F.transform(at, lambda h, s=s, level=level, offset=offset: F.struct((h.start + offset).cast("int").alias("start"), (h.end + offset).cast("int").alias("end"), F.lit(s.id).alias("id"), level.alias("level"))) if s.shown else F.array()
-        made.append(F.when(fired, F.struct(F.lit(s.id).alias("id"), found.alias("evidence"), lights.cast(f"array<{HIGHLIGHT}>").alias("at"))))
-        names.append(s.id)
+    made = [F.when(F.size(by_id(s.id)) > 0, _found(s, t, english, F.element_at(by_id(s.id), 1).strength)) for s in SCANS]
     starts = F.filter(F.transform(pieces(t), trimmed), lambda s: s.rlike(java(rules.TRANSITION)))
     transitions = F.transform(F.slice(starts, 1, 4), lambda s: F.left(s, F.lit(80)))
     none = F.array().cast(f"array<{HIGHLIGHT}>")
@@ -126,7 +143,7 @@ def explained(df: DataFrame, text: str = "text") -> DataFrame:
     every = F.filter(F.flatten(F.transform("_found", lambda x: x["at"])), lambda h: h.start < MAX_SHOWN)
     keyed = F.array_sort(F.transform(every, lambda h, i: F.struct(rank(h.level).alias("r"), h.start.alias("s"), i.alias("i"), h.alias("h"))))
     kept = F.aggregate(keyed, none, lambda acc, k: F.when(F.exists(acc, lambda o: (k.h.start < o.end) & (o.start < k.h.end)), acc).otherwise(F.array_append(acc, k.h)))
-    out = out.withColumn("evidence", F.map_from_entries(F.transform("_found", lambda x: F.struct(x.id, x.evidence)))).withColumn("highlights", F.array_sort(kept))
+    out = out.withColumn("evidence", F.map_from_entries(F.transform("_found", lambda x: F.struct(x["id"].alias("k"), x["evidence"].alias("v"))))).withColumn("highlights", F.array_sort(kept))
     return out.drop("_found")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.rx import WS, java
-from ..functions.text import trimmed
+from ..functions.text import once, trimmed
 from .detect import vendor_of
 
 SOFTWARE = "struct<name:string,confidence:int,source:string,note:string>"
@@ -52,20 +52,35 @@ def software_of(raw: Column) -> Column:
     hints = []
     for key, label, person in FIELDS:
         v = at(key)
-        hit = known(v)
-        usable = (v != "") & ~is_(v, PLACEHOLDER) & (hit.isNotNull() if person else hit.isNotNull() | vendor_of(v, rules.VENDOR_PATTERNS).isNull())
-        name = F.coalesce(hit.getField("name"), F.left(trimmed(F.regexp_replace(v, f"[{WS}]+", " ")), F.lit(40)))
         inherited = from_template if key == "docx.application" else F.lit(False)
         source = F.concat(F.lit(f"{label} : « "), F.left(v, F.lit(60)), F.lit(" »"), F.when(inherited, TEMPLATE).otherwise(""))
-        hints.append(F.when(usable, F.struct(name.alias("name"), F.when(inherited, 10).otherwise(95).alias("confidence"), source.alias("source"), F.when(~inherited, hit.getField("note")).alias("note"))))
+        squeezed = F.left(trimmed(F.regexp_replace(v, f"[{WS}]+", " ")), F.lit(40))
+        hints.append(F.when((v != "") & ~is_(v, PLACEHOLDER), once(known(v), _hint(person, vendor_of(v, rules.VENDOR_PATTERNS), squeezed, inherited, source))))
     hints.append(F.when(at("pdf.reportlab") == "1", F.struct(F.lit("ReportLab").alias("name"), F.lit(95).alias("confidence"), F.lit(HEADER).alias("source"), F.lit(KNOWN[0][2]).alias("note"))))
     named = F.filter(F.array(*[h.cast(SOFTWARE) for h in hints]), lambda h: h.isNotNull())
-    first = F.array_distinct(F.transform(named, lambda h: h.name))
-    of = lambda n: F.filter(named, lambda h: h.name == n)
-    merged = F.transform(first, lambda n: F.struct(n.alias("name"), F.element_at(of(n), 1).confidence.alias("confidence"), F.array_join(F.array_distinct(F.transform(of(n), lambda h: h.source)), " · ").alias("source"), F.element_at(of(n), 1).note.alias("note")).cast(SOFTWARE))
     none = at("docx.hasapp").isNotNull() & (F.coalesce(at("docx.application"), F.lit("")) == "")
     unknown = F.struct(F.lit(UNKNOWN[0]).alias("name"), F.lit(60).alias("confidence"), F.lit(UNKNOWN[1]).alias("source"), F.lit(None).cast("string").alias("note")).cast(SOFTWARE)
-    return F.when((F.size(merged) == 0) & none, F.array(unknown)).otherwise(merged)
+    return once(named, lambda x: F.when((F.size(x) == 0) & none, F.array(unknown)).otherwise(_merged(x)))
+
+
+def _hint(person: bool, vendor: Column, squeezed: Column, inherited: Column, source: Column):
+    """What a fact says, given the program that it names; null if it is a person's or an assistant's name."""
+
+    def of(hit: Column) -> Column:
+        usable = hit.isNotNull() if person else hit.isNotNull() | vendor.isNull()
+        return F.when(usable, F.struct(F.coalesce(hit["name"], squeezed).alias("name"), F.when(inherited, 10).otherwise(95).alias("confidence"), source.alias("source"), F.when(~inherited, hit["note"]).alias("note")))
+
+    return of
+
+
+def _merged(named: Column) -> Column:
+    first = F.array_distinct(F.transform(named, lambda h: h["name"]))
+
+    def joined(own: Column) -> Column:
+        one = F.element_at(own, 1)
+        return F.struct(one["name"].alias("name"), one["confidence"].alias("confidence"), F.array_join(F.array_distinct(F.transform(own, lambda h: h["source"])), " · ").alias("source"), one["note"].alias("note")).cast(SOFTWARE)
+
+    return F.transform(F.transform(first, lambda n: F.filter(named, lambda h: h["name"] == n)), joined)
 
 
 def origins(signals: Column, software: Column, probability: Column) -> Column:
@@ -75,10 +90,11 @@ def origins(signals: Column, software: Column, probability: Column) -> Column:
     """
     from .verdict import shares  # the same weights that origins_of gives as rows
 
-    tools = F.transform(software, lambda t: F.struct(F.concat(F.lit("tool:"), F.lower(t.name)).alias("id"), F.lit("logiciel").alias("kind"), t.confidence.alias("score"), F.lit("trace").alias("level"), F.filter(F.array(t.source, t.note), lambda r: r.isNotNull()).alias("reasons")).cast(ORIGIN))
-    named = F.filter(signals, lambda s: (s.direction == "ia") & (F.size(s.vendors) > 0))
-    reasons = lambda v: F.array_distinct(F.transform(F.filter(named, lambda s: F.exists(s.vendors, lambda h: h.vendor == v)), lambda s: s.id))
-    own = F.transform(shares(signals, probability), lambda e: F.struct(e.vendor.alias("id"), F.lit("ia").alias("kind"), e.score.alias("score"), e.level.alias("level"), reasons(e.vendor).alias("reasons")).cast(ORIGIN))
-    every = F.concat(tools, own)
-    keyed = F.transform(every, lambda o, i: F.struct((-F.coalesce(o.score, F.lit(-1))).alias("s"), i.alias("i"), o.alias("o")))
+    tools = F.transform(software, lambda t: F.struct(F.concat(F.lit("tool:"), F.lower(t["name"])).alias("id"), F.lit("logiciel").alias("kind"), t["confidence"].alias("score"), F.lit("trace").alias("level"), F.filter(F.array(t["source"], t["note"]), lambda r: r.isNotNull()).alias("reasons")).cast(ORIGIN))
+
+    def own(x: Column) -> Column:
+        reasons = lambda v: F.array_distinct(F.transform(F.filter(x, lambda s: (s.direction == "ia") & F.exists(s.vendors, lambda h: h.vendor == v)), lambda s: s.id))
+        return F.transform(shares(x, probability), lambda e: F.struct(e.vendor.alias("id"), F.lit("ia").alias("kind"), e.score.alias("score"), e.level.alias("level"), reasons(e.vendor).alias("reasons")).cast(ORIGIN))
+
+    keyed = F.transform(F.concat(tools, once(signals, own)), lambda o, i: F.struct((-F.coalesce(o.score, F.lit(-1))).alias("s"), i.alias("i"), o.alias("o")))
     return F.transform(F.array_sort(keyed), lambda k: k.o)

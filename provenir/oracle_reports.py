@@ -84,8 +84,8 @@ _AI = ", ".join(f"({i}, '{v}')" for i, v in enumerate(rules.AI_VENDORS))
 ORIGINS = f"""hints AS (SELECT doc_id, seq, id, strength, unnest(vendors) AS v FROM meta WHERE direction = 'ia'),
     ev AS (SELECT doc_id, v.vendor AS vendor, sum(v.weight * CAST({FACTOR} AS DOUBLE)) AS w, bool_or(v.weight >= 2 AND strength IN ('fort', 'moyen')) AS trace, bool_or(id IN ('meta-ai-name', 'meta-c2pa', 'project-git-assistant') AND v.weight >= 3 AND strength = 'fort') AS declared, string_agg(id, '|' ORDER BY seq) AS reasons FROM hints GROUP BY ALL),
     grid AS (SELECT files.doc_id, a.i, a.vendor, ev.w, coalesce(ev.trace, false) AS trace, coalesce(ev.declared, false) AS declared, coalesce(ev.reasons, '') AS reasons FROM files CROSS JOIN (VALUES {_AI}) a(i, vendor) LEFT JOIN ev ON ev.doc_id = files.doc_id AND ev.vendor = a.vendor),
-    w1 AS (SELECT *, CASE WHEN bool_or(trace) OVER d THEN CASE WHEN trace THEN w ELSE 0 END ELSE 1 + coalesce(w, 0) END AS w1, bool_or(declared) OVER d AS some FROM grid WINDOW d AS (PARTITION BY doc_id)),
-    w2 AS (SELECT *, CASE WHEN NOT some THEN w1 WHEN declared THEN 0.85::DOUBLE * w1 / sum(w1) FILTER (declared) OVER d ELSE coalesce((1 - 0.85::DOUBLE) * w1 / nullif(sum(w1) FILTER (NOT declared) OVER d, 0), 0) END AS w2 FROM w1 WINDOW d AS (PARTITION BY doc_id)),
+    w1 AS (SELECT *, CASE WHEN bool_or(trace) OVER d THEN CASE WHEN trace THEN w ELSE 0 END ELSE 1 + coalesce(w, 0) END AS w1, bool_or(declared) OVER d AS any_declared FROM grid WINDOW d AS (PARTITION BY doc_id)),
+    w2 AS (SELECT *, CASE WHEN NOT any_declared THEN w1 WHEN declared THEN 0.85::DOUBLE * w1 / sum(w1) FILTER (declared) OVER d ELSE coalesce((1 - 0.85::DOUBLE) * w1 / nullif(sum(w1) FILTER (NOT declared) OVER d, 0), 0) END AS w2 FROM w1 WINDOW d AS (PARTITION BY doc_id)),
     every AS (SELECT doc_id, 0 AS grp, place AS ord, 'tool:' || lower(name) AS id, 'logiciel' AS kind, confidence AS score, 'trace' AS level, concat_ws('|', source, note) AS reasons FROM soft
         UNION ALL SELECT doc_id, 1, i, vendor, 'ia', CASE WHEN doc_id % 5 <> 0 THEN CAST(floor(0.8::DOUBLE * (w2 / sum(w2) OVER (PARTITION BY doc_id)) * 100 + 0.5) AS INTEGER) END, CASE WHEN w IS NULL THEN 'aucun' WHEN trace THEN 'trace' ELSE 'indice' END, reasons FROM w2)"""
 
@@ -202,10 +202,10 @@ SQL: dict[str, str] = {
         h AS (SELECT formula, bucket, list(score ORDER BY score) AS l FROM f WHERE NOT ai GROUP BY ALL), t AS (SELECT formula, bucket, l[CAST(least(len(l) - 1, floor(0.95::DOUBLE * len(l))) AS BIGINT) + 1] AS lim FROM h)
         SELECT formula, CAST(bucket AS BIGINT) AS bucket, {rounded('count(*) FILTER (ai AND score > lim)::DOUBLE / nullif(count(*) FILTER (ai), 0)', 6)} AS detected, {rounded('count(*) FILTER (NOT ai AND score > lim)::DOUBLE / nullif(count(*) FILTER (NOT ai), 0)', 6)} AS false_alarms FROM f LEFT JOIN t USING (formula, bucket) GROUP BY formula, bucket""",
     "others_pooled": f"""WITH {SIGNALS}, {VERDICT}, {WEIGHTS}, traced AS (SELECT DISTINCT doc_id FROM hints WHERE trace),
-        w AS (SELECT f.doc_id, f.score AS s, f.undetermined AS u, v.i, v.vendor, coalesce(h.trace, false) AS trace, CASE WHEN f.doc_id IN (SELECT doc_id FROM traced) THEN CASE WHEN h.trace THEN h.weight ELSE 0 END ELSE 1 + coalesce(h.weight, 0) END AS w FROM final f CROSS JOIN (VALUES {_AI}) v(i, vendor) LEFT JOIN hints h ON h.doc_id = f.doc_id AND h.vendor = v.vendor),
-        p AS (SELECT *, CASE WHEN NOT u THEN CAST(floor(s / 100.0::DOUBLE * (w / sum(w) OVER (PARTITION BY doc_id)) * 100 + 0.5) AS INTEGER) END AS score FROM w),
-        m AS (SELECT *, trace OR coalesce(score, 0) > min(coalesce(score, 0)) OVER (PARTITION BY doc_id) AS stands FROM p)
-        SELECT doc_id, coalesce(string_agg(vendor, ',' ORDER BY i) FILTER (stands), '') AS identified, CAST(CASE WHEN any_value(u) THEN NULL WHEN count(*) FILTER (stands) = 0 THEN any_value(s) ELSE coalesce(sum(coalesce(score, 0)) FILTER (NOT stands), 0) END AS INTEGER) AS others FROM m GROUP BY doc_id""",
+        ow AS (SELECT f.doc_id, f.score AS s, f.undetermined AS u, v.i, v.vendor, coalesce(h.trace, false) AS trace, CASE WHEN f.doc_id IN (SELECT doc_id FROM traced) THEN CASE WHEN h.trace THEN h.weight ELSE 0 END ELSE 1 + coalesce(h.weight, 0) END AS w FROM final f CROSS JOIN (VALUES {_AI}) v(i, vendor) LEFT JOIN hints h ON h.doc_id = f.doc_id AND h.vendor = v.vendor),
+        op AS (SELECT *, CASE WHEN NOT u THEN CAST(floor(s / 100.0::DOUBLE * (w / sum(w) OVER (PARTITION BY doc_id)) * 100 + 0.5) AS INTEGER) END AS score FROM ow),
+        om AS (SELECT *, trace OR coalesce(score, 0) > min(coalesce(score, 0)) OVER (PARTITION BY doc_id) AS stands FROM op)
+        SELECT doc_id, coalesce(string_agg(vendor, ',' ORDER BY i) FILTER (stands), '') AS identified, CAST(CASE WHEN any_value(u) THEN NULL WHEN count(*) FILTER (stands) = 0 THEN any_value(s) ELSE coalesce(sum(coalesce(score, 0)) FILTER (NOT stands), 0) END AS INTEGER) AS others FROM om GROUP BY doc_id""",
 }
 SQL["signal_evidence"] = f"""WITH {SIGNALS}, {PLACES}, {_HOMO},
         cut AS (SELECT doc_id, id, k, z, greatest(0, x - radius) AS a, least(length(z), y + radius) AS b FROM places WHERE k < most),
