@@ -107,14 +107,18 @@ def matches(text: Column, pattern: str) -> Column:
 
 
 def intervals(text: Column, pattern: str) -> Column:
-    """Half-open intervals (start, end) in code points of all matches, in order, without a UDF.
+    """Half-open intervals (start, end) in code points of all matches, in order, without a UDF."""
+    return intervals_of(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0))
+
+
+def intervals_of(between: Column, found: Column) -> Column:
+    """Intervals of the matches of a text, given the text between them and the matches themselves.
 
     The text between the matches is what splitting at them gives, so the k-th match starts after the first k pieces
     and the k - 1 matches before it.
     """
-    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    step = lambda a, x: F.struct((a.at + F.length(x["p"]) + F.length(x["m"])).alias("at"), F.concat(a.out, F.array(F.struct((a.at + F.length(x["p"])).alias("start"), (a.at + F.length(x["p"]) + F.length(x["m"])).alias("end")))).alias("out"))
+    step = lambda a, x: F.struct((a.at + F.length(x["p"]) + F.length(x["m"])).alias("at"), F.array_append(a.out, F.struct((a.at + F.length(x["p"])).alias("start"), (a.at + F.length(x["p"]) + F.length(x["m"])).alias("end"))).alias("out"))
     pairs = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
     return F.aggregate(pairs, zero, step, lambda a: a.out)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.rx import WS, java
-from ..functions.text import intervals, matches, once, pieces, trimmed
+from ..functions.text import intervals_of, once, pieces, trimmed
 from .detect import bounded
 
 HIGHLIGHT = "struct<start:int,end:int,id:string,level:string>"
@@ -45,106 +45,78 @@ def hidden_messages(text: Column) -> Column:
     return F.slice(F.filter(spelled, lambda s: F.trim(s) != ""), 1, 3)
 
 
-class Scan:
-    """Where a rule looks: its pattern for English and for other texts, its zone, and how its evidence is given.
-
-    how: excerpts, distinct matches, or nothing; most: pieces of evidence; radius: of the excerpts.
-    """
-
-    def __init__(self, id_: str, pattern: str, other: str | None = None, zone: str = "all", level: str = "faible", how: str = "excerpt", most: int = 5, radius: int = 40, shown: bool = True) -> None:
-        self.id, self.pattern, self.other, self.zone, self.level, self.how, self.most, self.radius, self.shown = id_, pattern, other or pattern, zone, level, how, most, radius, shown
-
-
 def _bounded_letters(body: str) -> str:
     return rf"(?<![\p{{L}}])(?:{body})(?![\p{{L}}])"
 
 
-SCANS = (
-    *(Scan(r.id, java(r.pattern, r.flags), zone=r.zone, level=r.strength) for r in rules.ARTEFACTS),
-    Scan(rules.MARKDOWN.id, java(rules.MARKDOWN.pattern, rules.MARKDOWN.flags), level="moyen"),
-    Scan("uni-oai-pua", java(rules.PRIVATE_CITATION), level="fort", most=4, radius=25),
-    Scan("uni-zero-width", java(rf"(?:{rules.ZERO_WIDTH})|(?<!^){rules.BOM}|(?<!{rules.EMOJI_TAIL}){rules.ZWJ}"), level="moyen", most=4, radius=25),
-    Scan("uni-tags", TAGS, level="fort", most=4, radius=25),
-    Scan("uni-vs", java(rules.VARIATION), level="moyen", most=4, radius=25),
-    Scan("uni-nnbsp", java(rules.NARROW_SPACE), java(rules.NARROW_SPACE), level="moyen", most=4, radius=25),
-    Scan("uni-bidi", java(rules.BIDI), level="faible", how="none"),
-    Scan("sty-lexicon", java(bounded(rules.LEXICON_EN), "i"), java(bounded(rules.LEXICON_FR), "i"), how="distinct", most=10),
-    Scan("sty-not-x", java(rules.NOT_X_EN, "i"), java(rules.NOT_X_FR, "i"), most=4),
-    Scan("sty-label-list", java(rules.LABEL_LIST, "m"), most=4),
-    Scan("sty-emdash", rules.EM_DASH, how="none"),
-    Scan("sty-casual", java(_bounded_letters(rules.CASUAL_EN), "i"), java(_bounded_letters(rules.CASUAL_FR), "i"), how="distinct", most=8),
-    Scan("sty-punct", java(rules.REPEATED_PUNCTUATION), most=4, shown=False),
-)
-
-
-def _zone(text: Column, zone: str) -> tuple[Column, Column]:
-    """What is scanned of the text, and where it starts."""
-    if zone == "head":
-        return F.left(text, F.lit(rules.HEAD_CHARS)), F.lit(0)
-    if zone == "tail":
-        return F.right(text, F.lit(rules.TAIL_CHARS)), F.greatest(F.lit(0), F.length(text) - rules.TAIL_CHARS)
-    return text, F.lit(0)
-
-
-def _excerpts(text: Column, at: Column, radius: int) -> Column:
-    around = F.transform(at, lambda h: F.struct(F.greatest(F.lit(0), h.start - radius).alias("a"), F.least(F.length(text), h.end + radius).alias("b")))
-    return F.transform(F.transform(around, lambda h: F.struct(h.a.alias("a"), h.b.alias("b"), F.substring(text, h.a + 1, h.b - h.a).alias("s"))), lambda h: F.concat(F.when(h.a > 0, "…").otherwise(""), F.trim(visible(h.s)), F.when(h.b < F.length(text), "…").otherwise("")))
-
+RULE = "ord int, id string, language string, pattern string, zone string, level string, how string, most int, radius int, shown boolean"
 
-def _lights(at: Column, offset: Column, id_: str, level: Column) -> Column:
-    return F.transform(at, lambda h: F.struct((h.start + offset).cast("int").alias("start"), (h.end + offset).cast("int").alias("end"), F.lit(id_).alias("id"), level.alias("level")))
 
+def rule_table() -> list[tuple]:
+    """Where each rule looks, by language (en, fr, autre), and how its matches are shown.
 
-def _found(s: Scan, t: Column, english: Column, strength: Column) -> Column:
-    """(id, evidence, at) of one rule's matches, which are looked for once."""
-    zone, offset = _zone(t, s.zone)
-    level = strength if s.id == "sty-lexicon" else F.lit(s.level)
-    hidden = F.transform(hidden_messages(t), lambda m: F.concat(F.lit("Texte caché : « "), F.left(m, F.lit(120)), F.lit(" »")))
-
-    def of(z: Column) -> Column:
-        at = intervals(z, s.pattern) if s.pattern == s.other else F.when(english, intervals(z, s.pattern)).otherwise(intervals(z, s.other))
-
-        def both(x: Column) -> Column:
-            if s.how == "distinct":
-                said = F.slice(F.when(english, matches(z, s.pattern)).otherwise(matches(z, s.other)), 1, s.most)
-            elif s.how == "excerpt":
-                said = _excerpts(z, F.slice(x, 1, s.most), s.radius)
-            else:
-                said = F.array().cast("array<string>")
-            if s.id == "uni-tags":
-                said = F.when(F.size(hidden) > 0, hidden).otherwise(said)
-            lights = _lights(x, offset, s.id, level) if s.shown else F.array()
-            return F.struct(F.lit(s.id).alias("id"), said.alias("evidence"), lights.cast(f"array<{HIGHLIGHT}>").alias("at"))
-
-        return once(at, both)
-
-    return once(zone, of)
-
-
-def explained(df: DataFrame, text: str = "text") -> DataFrame:
-    """df (text, language, signals) with evidence (by signal id) and highlights. Narrow.
-
-    Only rules whose signal is there are scanned again. Highlights are disjoint: of those that overlap the stronger
-    stays, of equally strong ones the first; they start before MAX_SHOWN and are in order.
+    how: excerpts around the matches, distinct matches, sentences that begin so, words of mixed scripts, or none; most:
+    pieces of evidence. A null level is that of the signal.
+    """
+    rows = [(r.id, java(r.pattern, r.flags), None, r.zone, r.strength, "excerpt", 5, 40, True) for r in rules.ARTEFACTS]
+    rows += [
+        (rules.MARKDOWN.id, java(rules.MARKDOWN.pattern, rules.MARKDOWN.flags), None, "all", "moyen", "excerpt", 5, 40, True),
+        ("uni-oai-pua", java(rules.PRIVATE_CITATION), None, "all", "fort", "excerpt", 4, 25, True),
+        ("uni-zero-width", java(rf"(?:{rules.ZERO_WIDTH})|(?<!^){rules.BOM}|(?<!{rules.EMOJI_TAIL}){rules.ZWJ}"), None, "all", "moyen", "excerpt", 4, 25, True),
+        ("uni-tags", TAGS, None, "all", "fort", "excerpt", 4, 25, True),
+        ("uni-vs", java(rules.VARIATION), None, "all", "moyen", "excerpt", 4, 25, True),
+        ("uni-nnbsp", java(rules.NARROW_SPACE), java(rules.NARROW_SPACE_FR), "all", "moyen", "excerpt", 4, 25, True),
+        ("uni-homoglyph", java(rules.LETTERS), None, "all", "moyen", "mixed", 4, 0, True),
+        ("uni-bidi", java(rules.BIDI), None, "all", "faible", "none", 0, 0, True),
+        ("sty-lexicon", java(bounded(rules.LEXICON_EN), "i"), java(bounded(rules.LEXICON_FR), "i"), "all", None, "distinct", 10, 0, True),
+        ("sty-not-x", java(rules.NOT_X_EN, "i"), java(rules.NOT_X_FR, "i"), "all", "faible", "excerpt", 4, 40, True),
+        ("sty-transitions", java(rules.TRANSITION), None, "all", "faible", "sentences", 4, 0, False),
+        ("sty-label-list", java(rules.LABEL_LIST, "m"), None, "all", "faible", "excerpt", 4, 40, True),
+        ("sty-emdash", rules.EM_DASH, None, "all", "faible", "none", 0, 0, True),
+        ("sty-casual", java(_bounded_letters(rules.CASUAL_EN), "i"), java(_bounded_letters(rules.CASUAL_FR), "i"), "all", "faible", "distinct", 8, 0, True),
+        ("sty-punct", java(rules.REPEATED_PUNCTUATION), None, "all", "faible", "excerpt", 4, 40, False),
+    ]
+    own = lambda r, lang: r[1] if lang == "en" or r[2] is None or lang == "autre" and r[0] == "uni-nnbsp" else r[2]
+    return [(i, r[0], lang, own(r, lang), *r[3:]) for i, r in enumerate(rows) for lang in ("en", "fr", "autre")]
+
+
+def explained(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, id, ord, evidence, at, level, shown): a row for each signal of df (key, text, language, signals) that a rule explains.
+
+    The rules are a small table that is broadcast, so that one expression looks for whatever has fired. Narrow.
+    """
+    table = F.broadcast(df.sparkSession.createDataFrame(rule_table(), RULE))  # three rows a rule
+    x = df.select(key, F.coalesce(F.col(text), F.lit("")).alias("_t"), "language", F.explode_outer("signals").alias("_s"))
+    x = x.withColumn("id", F.col("_s.id")).join(table, ["id", "language"])
+    zone = F.when(F.col("zone") == "head", F.left("_t", F.lit(rules.HEAD_CHARS))).when(F.col("zone") == "tail", F.right("_t", F.lit(rules.TAIL_CHARS))).otherwise(F.col("_t"))
+    offset = F.when(F.col("zone") == "tail", F.greatest(F.lit(0), F.length("_t") - rules.TAIL_CHARS)).otherwise(0)
+    x = x.select(key, "id", "ord", F.coalesce("level", F.col("_s.strength")).alias("level"), "how", "most", "radius", "shown", "pattern", zone.alias("_z"), offset.alias("_o"))
+    x = x.withColumn("_found", F.regexp_extract_all("_z", F.col("pattern"), F.lit(0)))
+    x = x.withColumn("_at", intervals_of(F.split("_z", F.col("pattern"), -1), F.col("_found")))
+    mixed = lambda w: w.rlike(java(rules.LATIN)) & w.rlike(java(rules.LOOKALIKE))
+    paired = F.zip_with("_found", "_at", lambda w, h: F.struct(w.alias("w"), h.alias("h")))
+    x = x.withColumn("_at", F.when(F.col("how") == "mixed", F.transform(F.filter(paired, lambda e: mixed(e.w)), lambda e: e.h)).otherwise(F.col("_at")))
+    around = F.transform(F.slice("_at", F.lit(1), F.col("most")), lambda h: F.struct(F.greatest(F.lit(0), h.start - F.col("radius")).alias("a"), F.least(F.length("_z"), h.end + F.col("radius")).alias("b")))
+    excerpts = F.transform(around, lambda h: F.concat(F.when(h.a > 0, "…").otherwise(""), F.trim(visible(F.substring(F.col("_z"), h.a + 1, h.b - h.a))), F.when(h.b < F.length("_z"), "…").otherwise("")))
+    hidden = F.transform(hidden_messages(F.col("_z")), lambda m: F.concat(F.lit("Texte caché : « "), F.left(m, F.lit(120)), F.lit(" »")))
+    distinct = F.array_distinct(F.transform(F.filter("_found", lambda m: m != ""), lambda m: trimmed(F.regexp_replace(F.lower(m), f"[{WS}]+", " "))))
+    starts = F.transform(F.filter(F.transform(pieces(F.col("_z")), trimmed), lambda s: s.rlike(java(rules.TRANSITION))), lambda s: F.left(s, F.lit(80)))
+    said = F.when((F.col("id") == "uni-tags") & (F.size(hidden) > 0), hidden).when(F.col("how") == "excerpt", excerpts).when(F.col("how") == "distinct", distinct).when(F.col("how") == "sentences", starts).when(F.col("how") == "mixed", F.filter("_found", mixed)).otherwise(F.array().cast("array<string>"))
+    at = F.transform("_at", lambda h: F.struct((h.start + F.col("_o")).cast("int").alias("start"), (h.end + F.col("_o")).cast("int").alias("end")))
+    return x.select(key, "id", "ord", F.slice(said, F.lit(1), F.col("most")).alias("evidence"), at.alias("at"), "level", "shown")
+
+
+def highlighted(explained_rows: DataFrame, key: str, most: int = MAX_SHOWN) -> DataFrame:
+    """(key, highlights): disjoint intervals (start, end, id, level) in order, that start before `most`.
+
+    Of those that overlap the stronger stays, of equally strong ones the first; only intervals travel, no text.
     """
-    t, english = F.coalesce(F.col(text), F.lit("")), F.col("language") == "en"
-    by_id = lambda i: F.filter("signals", lambda s: s.id == i)
-    made = [F.when(F.size(by_id(s.id)) > 0, _found(s, t, english, F.element_at(by_id(s.id), 1).strength)) for s in SCANS]
-    starts = F.filter(F.transform(pieces(t), trimmed), lambda s: s.rlike(java(rules.TRANSITION)))
-    transitions = F.transform(F.slice(starts, 1, 4), lambda s: F.left(s, F.lit(80)))
+    rank = F.array_position(F.array(*map(F.lit, rules.STRENGTHS)), F.col("level"))
+    rows = explained_rows.where("shown").select(key, "ord", rank.alias("r"), "id", "level", F.posexplode("at").alias("k", "h")).where(F.col("h.start") < most)
+    per = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("r", F.col("h.start").alias("start"), "ord", "k", F.col("h.end").alias("end"), "id", "level"))).alias("x"))
     none = F.array().cast(f"array<{HIGHLIGHT}>")
-    made.append(F.when(F.size(by_id("sty-transitions")) > 0, F.struct(F.lit("sty-transitions").alias("id"), transitions.alias("evidence"), none.alias("at"))))
-    words = F.filter(F.regexp_extract_all(t, F.lit(java(rules.LETTERS)), 0), lambda w: w.rlike(java(rules.LATIN)) & w.rlike(java(rules.LOOKALIKE)))
-    mixed = F.filter(intervals(t, java(rules.LETTERS)), lambda h: F.substring(t, h.start + 1, h.end - h.start).rlike(java(rules.LATIN)) & F.substring(t, h.start + 1, h.end - h.start).rlike(java(rules.LOOKALIKE)))
-    lights = F.transform(mixed, lambda h: F.struct(h.start.alias("start"), h.end.alias("end"), F.lit("uni-homoglyph").alias("id"), F.lit("moyen").alias("level")))
-    made.append(F.when(F.size(by_id("uni-homoglyph")) > 0, F.struct(F.lit("uni-homoglyph").alias("id"), F.slice(words, 1, 4).alias("evidence"), lights.cast(f"array<{HIGHLIGHT}>").alias("at"))))
-    out = df.withColumn("_found", F.filter(F.array(*made), lambda x: x.isNotNull()))
-    rank = lambda level: F.array_position(F.array(*map(F.lit, rules.STRENGTHS)), level)
-    every = F.filter(F.flatten(F.transform("_found", lambda x: x["at"])), lambda h: h.start < MAX_SHOWN)
-    keyed = F.array_sort(F.transform(every, lambda h, i: F.struct(rank(h.level).alias("r"), h.start.alias("s"), i.alias("i"), h.alias("h"))))
-    kept = F.aggregate(keyed, none, lambda acc, k: F.when(F.exists(acc, lambda o: (k.h.start < o.end) & (o.start < k.h.end)), acc).otherwise(F.array_append(acc, k.h)))
-    out = out.withColumn("evidence", F.map_from_entries(F.transform("_found", lambda x: F.struct(x["id"].alias("k"), x["evidence"].alias("v"))))).withColumn("highlights", F.array_sort(kept))
-    return out.drop("_found")
+    kept = F.aggregate("x", none, lambda acc, h: F.when(F.exists(acc, lambda o: (h.start < o.end) & (o.start < h.end)), acc).otherwise(F.array_append(acc, F.struct(h.start.alias("start"), h.end.alias("end"), h.id.alias("id"), h.level.alias("level")))))
+    return per.select(key, F.array_sort(kept).alias("highlights"))
 
 
 def flagged(metadata: Column, evidence: Column) -> Column:

@@ -110,12 +110,12 @@ _TOOLS = lambda s, col: "CASE " + " ".join(f"WHEN {has(s, p, f)} THEN {q(v) if (
 _SIGNED = lambda s, col: "CASE " + " ".join(f"WHEN {has(s, p, 'im')} THEN {q(v) if (v := (tool, vendor)[col]) is not None else 'NULL'}" for p, tool, vendor in files.COMMITS) + " END"
 
 # --- highlights and evidence
-_NAMES = {"​": "⟦ZWSP⟧", "‌": "⟦ZWNJ⟧", "‍": "⟦ZWJ⟧", "⁠": "⟦WJ⟧", "﻿": "⟦BOM⟧", " ": "⟦NNBSP⟧", "­": "⟦SHY⟧"}
+_NAMES = {0x200B: "⟦ZWSP⟧", 0x200C: "⟦ZWNJ⟧", 0x200D: "⟦ZWJ⟧", 0x2060: "⟦WJ⟧", 0xFEFF: "⟦BOM⟧", 0x202F: "⟦NNBSP⟧", 0xAD: "⟦SHY⟧"}
 
 
 def _visible(s: str) -> str:
     for c, name in _NAMES.items():
-        s = f"replace({s}, chr({ord(c)}), '{name}')"
+        s = f"replace({s}, chr({c}), '{name}')"
     for c in range(0xE200, 0xE203):  # the private characters that the injected markers hold
         s = f"replace({s}, chr({c}), '⟦U+{c:04X}⟧')"
     return f"regexp_replace(regexp_replace({s}, '[\\x{{E0000}}-\\x{{E007F}}]+', '⟦TAG⟧', 'g'), '{W}+', ' ', 'g')"
@@ -130,7 +130,8 @@ _SCANS = [
     *((r.id, r.pattern, r.pattern, r.flags, r.zone, r.strength, 5, 40, True) for r in rules.ARTEFACTS),
     (rules.MARKDOWN.id, rules.MARKDOWN.pattern, rules.MARKDOWN.pattern, rules.MARKDOWN.flags, "all", "moyen", 5, 40, True),
     ("uni-oai-pua", rules.PRIVATE_CITATION, rules.PRIVATE_CITATION, "", "all", "fort", 4, 25, True),
-    ("uni-zero-width", rf"{rules.ZERO_WIDTH}|‍", rf"{rules.ZERO_WIDTH}|‍", "", "all", "moyen", 4, 25, True),
+    ("uni-zero-width", rules.ZERO_WIDTH + "|‍", rules.ZERO_WIDTH + "|‍", "", "all", "moyen", 4, 25, True),
+    ("uni-nnbsp", rules.NARROW_SPACE, rules.NARROW_SPACE, "", "all", "moyen", 4, 25, True),
     ("uni-bidi", rules.BIDI, rules.BIDI, "", "all", "faible", 0, 0, True),
     ("sty-not-x", rules.NOT_X_EN, rules.NOT_X_FR.replace(r"(?<![\p{L}])", r"\b"), "i", "all", "faible", 4, 40, True),
     ("sty-label-list", rules.LABEL_LIST, rules.LABEL_LIST, "m", "all", "faible", 4, 40, True),
