@@ -16,7 +16,7 @@ from .detect import bounded
 HIGHLIGHT = "struct<start:int,end:int,id:string,level:string>"
 MAX_SHOWN = 60_000
 # fixed values: names of characters that cannot be seen
-NAMES = (("​", "ZWSP"), ("‌", "ZWNJ"), ("‍", "ZWJ"), ("⁠", "WJ"), ("﻿", "BOM"), (" ", "NNBSP"), ("­", "SHY"))
+NAMES = (("\u200b", "ZWSP"), ("\u200c", "ZWNJ"), ("\u200d", "ZWJ"), ("\u2060", "WJ"), ("\ufeff", "BOM"), ("\u202f", "NNBSP"), ("\u00ad", "SHY"))
 PRIVATE = r"[\x{E000}-\x{F8FF}]"
 TAGS = r"[\x{E0000}-\x{E007F}]+"
 

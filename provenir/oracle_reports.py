@@ -5,7 +5,7 @@ from __future__ import annotations
 from . import rules
 from .functions.rx import re2
 from .operators import corpus, explain, files, software
-from .oracle import FACTOR, PIECES, PLAIN, SAMPLES, SIGNALS, STATS, VERDICT, W, WEIGHTS, WORD, has, n, q, rounded, squeezed
+from .oracle import FACTOR, INJECTED, PIECES, PLAIN, SAMPLES, SIGNALS, STATS, VERDICT, W, WEIGHTS, WORD, has, n, q, rounded, squeezed
 from .queries_reports import CODE, COMMITS, MADE, PATHS
 
 _KEYS = sorted({k for m in MADE.values() for k in m} - {"kind"})
@@ -217,3 +217,29 @@ SQL["signal_evidence"] = f"""WITH {SIGNALS}, {PLACES}, {_HOMO},
         UNION ALL SELECT doc_id, id, j, e FROM ranked WHERE j < most
         UNION ALL SELECT doc_id, 'sty-transitions', k, left(e, 80) FROM starts WHERE e IS NOT NULL
         UNION ALL SELECT doc_id, 'uni-homoglyph', row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1, w FROM mixed QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k) <= 4"""
+
+# --- prose, verse and disjoint highlights: lines and runs as rows, accents by the engine's own function
+_VW = r"\p{L}[\p{L}''’-]*"
+_TRIM = lambda s: f"regexp_replace({s}, '^{W}+|{W}+$', '', 'g')"
+_HINTS = re2(r"[{}<>=_\\|#$@`]|\/\/|=>|\(\)|\[\d|\.(?:ts|js|py|json|gguf)\b")
+_PROSE_CHARS = re2(r"[\p{L}\s,.;:'’!?«»()\-–]")
+_end = lambda i: f"(i + {i} BETWEEN 1 AND n AND ends[i + {i}] = ends[i])".replace("+ -", "- ")
+SQL |= {
+    "verse_flag": f"""WITH {PLAIN}, l AS (SELECT doc_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: {_TRIM('x')}), lambda x: x <> '') AS lines FROM docs),
+        c AS (SELECT doc_id, lines, len(lines) AS n, list_transform(lines, lambda x: len(regexp_extract_all(x, '{_VW}'))) AS sizes, list_transform(lines, lambda x: right(regexp_replace(strip_accents(coalesce(regexp_extract_all(lower(x), '{_VW}')[-1], '')), '(e?s|e|nt)$', ''), 2)) AS ends FROM l),
+        f AS (SELECT doc_id, n, sizes, len(list_filter(sizes, lambda k: k BETWEEN 2 AND 10)) AS short, len(list_filter(range(1, n + 1), lambda i: len(ends[i]) = 2 AND ({_end(1)} OR {_end(2)} OR {_end(-1)} OR {_end(-2)}))) AS rhymes,
+            len(list_filter(lines, lambda x: regexp_matches(x, '^([-*•–—>]|[0-9]+[.)]){W}'))) AS listed, len(list_filter(lines, lambda x: regexp_matches(x, '^[\\p{{Lu}}«"]'))) AS capitals, len(list_filter(lines, lambda x: regexp_matches(x, '[.!?]$'))) AS stops FROM c)
+        SELECT doc_id, n >= 6 AND listed / n <= 0.3 AND short / n >= 0.85 AND list_max(sizes) <= 14 AND (rhymes / n >= 0.4 OR capitals / n >= 0.85 AND stops / n < 0.5 AND short / n >= 0.9) AS verse FROM f""",
+    "prose_sample": f"""WITH l AS (SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line FROM documents),
+        s AS (SELECT *, {_TRIM('line')} AS x, regexp_extract_all({_TRIM('line')}, '{_VW}') AS ws FROM l),
+        p AS (SELECT doc_id, i, x, len(ws) >= 6 AND length(array_to_string(ws, '')) >= 3.2::DOUBLE * len(ws) AND NOT regexp_matches(x, '^[0-9]') AND len(list_filter(ws, lambda w: length(w) >= 4 AND w = lower(w))) >= 3 AND NOT regexp_matches(x, {q(_HINTS)})
+            AND length(x) - length(regexp_replace(x, {q(_PROSE_CHARS)}, '', 'g')) >= 0.9::DOUBLE * length(x) AND length(x) - length(regexp_replace(x, '[0-9]', '', 'g')) <= 0.08::DOUBLE * length(x) AS prose FROM s),
+        r AS (SELECT *, sum(CASE WHEN prose THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM p),
+        j AS (SELECT doc_id, run, string_agg(x, ' ' ORDER BY i) AS part FROM r WHERE prose GROUP BY ALL), k AS (SELECT doc_id, string_agg(part, chr(10) || chr(10) ORDER BY run) AS found FROM j GROUP BY doc_id),
+        z AS (SELECT doc_id, text, CASE WHEN len(regexp_extract_all(coalesce(found, ''), '{_VW}')) >= 60 THEN found ELSE text END AS sample FROM documents LEFT JOIN k USING (doc_id))
+        SELECT doc_id, length(sample) AS sample_chars, CASE WHEN sample = text THEN 0.0 ELSE {rounded('length(sample)::DOUBLE / greatest(1, length(text))', 4)} END AS prose_ratio FROM z""",
+    "highlights_disjoint": f"""WITH {INJECTED}, a AS (SELECT doc_id, r, regexp_split_to_array(t, p) AS a, regexp_extract_all(t, p) AS b FROM docs, (VALUES (0, {q(re2(rules.REPEATED_PUNCTUATION))}), (1, '[.!?] ')) v(r, p)),
+        k AS (SELECT doc_id, r, a, b, unnest(range(len(b))) AS k FROM a), h AS (SELECT doc_id, r, k, length(array_to_string(a[1:k + 1], '')) + length(array_to_string(b[1:k], '')) AS x, length(array_to_string(a[1:k + 1], '')) + length(array_to_string(b[1:k + 1], '')) AS y FROM k),
+        listed AS (SELECT doc_id, list({{'acc': {_EMPTY}, 'x': CAST(x AS BIGINT), 'y': CAST(y AS BIGINT), 'id': '', 'level': ''}} ORDER BY r, k) AS hs FROM h GROUP BY doc_id), kept AS (SELECT doc_id, unnest({_GREEDY}.acc) AS h FROM listed)
+        SELECT doc_id, count(*) AS n, CAST(sum(h.y - h.x) AS BIGINT) AS covered FROM kept GROUP BY doc_id""",
+}
