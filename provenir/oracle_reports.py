@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from . import rules
-from .functions.rx import re2
+from .functions import clean
+from .functions.rx import WS, re2
 from .operators import corpus, explain, files, software
 from .oracle import FACTOR, INJECTED, PIECES, PLAIN, SAMPLES, SIGNALS, STATS, VERDICT, W, WEIGHTS, WORD, has, n, q, rounded, squeezed
 from .queries_reports import CODE, COMMITS, MADE, PATHS
@@ -243,3 +244,28 @@ SQL |= {
         listed AS (SELECT doc_id, list({{'acc': {_EMPTY}, 'x': CAST(x AS BIGINT), 'y': CAST(y AS BIGINT), 'id': '', 'level': ''}} ORDER BY r, k) AS hs FROM h GROUP BY doc_id), kept AS (SELECT doc_id, unnest({_GREEDY}.acc) AS h FROM listed)
         SELECT doc_id, count(*) AS n, CAST(sum(h.y - h.x) AS BIGINT) AS covered FROM kept GROUP BY doc_id""",
 }
+
+
+def _cleaned() -> str:
+    """Steps of the cleaner, one after the other; look-around that no injected text needs is left out."""
+    steps = [
+        r":?contentReference\[oaicite:[0-9]+\](\{index=[0-9]+\})?", r"【[0-9]+(?::[0-9]+)?†[^】\n]{0,60}】", r"\b(?:cite|filecite|navlist)?turn[0-9]+(?:search|news|view|fetch|file|image|academia|forecast|finance|product)[0-9]+\b",
+        re2(r"\[cite_start\]|\[cite:\s*[\d,\s-]+\]"), re2(r"<think>(?s:.*?)<\/think>\s*"), re2(r"\s?\[citation:\s?\d+\]"), r"\[\^[0-9]+\^\]", r'<argument name="citation_id">[^<]*</argument>|</?grok:render[^>]*>',
+        r"[\x{E000}-\x{F8FF}]", r"[\x{E0000}-\x{E007F}]", r"[\x{200B}\x{200C}\x{2060}\x{180E}\x{202A}-\x{202E}\x{2066}-\x{2069}]", r"[\x{FE00}-\x{FE0F}]|[\x{E0100}-\x{E01EF}]", r"\x{200D}",
+    ]
+    parts = ["c0 AS (SELECT doc_id, t AS o, 0 AS k FROM docs)"]
+    for i, p in enumerate(steps):
+        parts.append(f"c{i + 1} AS (SELECT doc_id, regexp_replace(o, {q(p)}, '', 'g') AS o, k + len(regexp_extract_all(o, {q(p)})) AS k FROM c{i})")
+    source = r"(?:chatgpt\.com|openai|perplexity(?:\.ai)?|copilot(?:\.com)?|gemini|claude(?:\.ai)?|bard|you\.com|mistral|deepseek|grok)"
+    url = r"https?://[^\s)\]\"''>]+"
+    plain = f"regexp_replace(regexp_replace(u, '(?i)([?&])utm_source={source}&|[?&]utm_source={source}', '\\1', 'g'), '[?&]$', '')"
+    mixed = f"{has('w', rules.LATIN)} AND {has('w', rules.LOOKALIKE)}"
+    latin = f"translate(w, {q(clean.LOOKALIKES)}, {q(clean.LATIN)})"
+    parts.append(f"urls AS (SELECT doc_id, k, regexp_split_to_array(o, '{url}') AS a, regexp_extract_all(o, '{url}') AS b, list_transform(regexp_extract_all(o, '{url}'), lambda u: {plain}) AS d FROM c{len(steps)})")
+    parts.append("shown AS (SELECT doc_id, k + len(list_filter(range(1, len(b) + 1), lambda i: b[i] <> d[i])) AS k, array_to_string(list_transform(range(1, len(a) + 1), lambda i: a[i] || coalesce(d[i], '')), '') AS o FROM urls)")
+    parts.append(f"words AS (SELECT doc_id, k, regexp_split_to_array(o, {q(rules.LETTERS)}) AS a, regexp_extract_all(o, {q(rules.LETTERS)}) AS b FROM shown)")
+    parts.append(f"told AS (SELECT doc_id, k + coalesce(list_sum(list_transform(list_filter(b, lambda w: {mixed}), lambda w: len(list_filter(string_split(w, ''), lambda c: contains({q(clean.LOOKALIKES)}, c))))), 0) AS k, array_to_string(list_transform(range(1, len(a) + 1), lambda i: a[i] || coalesce(list_transform([b[i]], lambda w: CASE WHEN {mixed} THEN {latin} ELSE w END)[1], '')), '') AS o FROM words)")
+    return ", ".join(parts)
+
+
+SQL["clean_text"] = f"WITH {INJECTED}, {_cleaned()} SELECT doc_id, md5(CASE WHEN k > 0 THEN regexp_replace(o, '(?m)([^{WS}]) +([.,])([{WS}]|$)', '\\1\\2\\3', 'g') ELSE t END) AS clean_md5, CAST(k AS BIGINT) AS removed FROM told JOIN docs USING (doc_id)"
