@@ -8,14 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, embeddup, htmltext, langid, ngramjoin, substrings, toxicity, urlfilter, warc
+from ..cluster import spread
 from .common import table
 
 #: Contract of op5: (host, path, verdict).
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, a small table on all cores."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    out = decontaminate.report(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
@@ -31,7 +37,7 @@ def vocabulary_path() -> str:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary_path())
+    return bpe.round_trip(documents(spark, sf_dir), vocabulary_path())
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +54,7 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     held_out = langid.remainder(F.col("doc_id"), 4) == 2
     model = langid.train(docs.where(~held_out))
     return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model, score_into="score").select("doc_id", "held_out", "lang_pred", "score")
@@ -59,7 +65,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = documents(spark, sf_dir), table(spark, sf_dir, "labels")
     held_out = langid.remainder(F.col("doc_id"), 5) == 0
     model = toxicity.train(docs, labels.where(~held_out))
     scored = toxicity.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model, into="score")
