@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rx import WS, java
+from ..functions.show import pdf_date
 from ..functions.text import trimmed
 from ..rules import VENDOR_PATTERNS
 from .detect import SIGNAL, Detector, signal, vendor_of
@@ -294,3 +295,60 @@ def code(t: Column, extension: Column) -> Column:
         F.when(F.left(t, F.lit(800)).rlike(java(BANNER, "m")), signal(CODE + 11, "code-banner", "code", "moyen", "ia", 22, None, both)),
         F.when(paraphrases(t, extension).isNotNull(), signal(CODE + 12, "code-paraphrase", "code", "faible", "ia", 10, F.size(paraphrases(t, extension)))),
     )
+
+
+# fixed values: what the facts are called in a report's table, in its order; a date is shown as such
+SHOWN_PDF = (("pdf.producer", "Producteur (Producer)"), ("pdf.creator", "Créateur (Creator)"), ("pdf.author", "Auteur"), ("pdf.title", "Titre"), ("pdf.subject", "Sujet"), ("pdf.keywords", "Mots-clés"), ("pdf.creationdate", "Créé le"), ("pdf.moddate", "Modifié le"), ("xmp.creatortool", "XMP · Outil créateur"), ("xmp.producer", "XMP · Producteur"), ("xmp.digitalsourcetype", "XMP · Source numérique (IPTC)"))
+SHOWN_DOCX = (
+    ("docx.creator", "Créateur (auteur)"), ("docx.lastmodifiedby", "Modifié par"), ("docx.title", "Titre"), ("docx.subject", "Sujet"), ("docx.description", "Description"), ("docx.created", "Créé le"), ("docx.modified", "Modifié le"), ("docx.revision", "Révision"), ("docx.application", "Application"),
+    ("docx.appversion", "Version application"), ("docx.totaltime", "Temps total d'édition"), ("docx.words", "Mots (selon le logiciel)"), ("docx.company", "Société"), ("docx.template", "Modèle"), ("docx.rsids", "Sessions d'édition Word (rsid)"), ("docx.custom", "Propriétés personnalisées"),
+)
+SHOWN_TEXT = (("file.encoding", "Encodage"), ("file.lineendings", "Fins de ligne"))
+NAMED_AS = {"pdf.producer": "Producteur", "pdf.creator": "Créateur", "pdf.author": "Auteur", "docx.creator": "Auteur", "pdf.title": "Titre", "docx.title": "Titre", "pdf.subject": "Sujet", "pdf.keywords": "Mots-clés", "xmp.creatortool": "Outil créateur (XMP)", "docx.lastmodifiedby": "Modifié par", "docx.description": "Description", "docx.application": "Application", "docx.company": "Société", "docx.template": "Modèle", "docx.custom": "Propriétés personnalisées", "c2pa.generator": "Générateur C2PA"}
+
+
+def metadata_rows(raw: Column, kind: Column) -> Column:
+    """(key, value) of a file's facts as a report shows them, without those that it lacks."""
+    at = lambda k: F.nullif(F.try_element_at(raw, F.lit(k)), F.lit(""))
+
+    def value(key: str) -> Column:
+        if key in ("pdf.creationdate", "pdf.moddate"):
+            return pdf_date(at(key))
+        if key == "docx.totaltime":
+            return F.concat(at(key), F.lit(" min"))
+        if key == "docx.application":
+            return F.when(at("docx.hasapp") == "1", F.coalesce(at(key), F.lit("(non renseignée)"))).otherwise("(fiche application absente)")
+        return at(key)
+
+    rows = lambda shown: F.array(*[F.struct(F.lit(label).alias("key"), value(key).alias("value")) for key, label in shown])
+    c2pa = F.array(F.struct(F.lit("C2PA (Content Credentials)").alias("key"), F.when(at("c2pa") == "1", F.concat(F.lit("présent"), F.coalesce(F.concat(F.lit(" ("), at("c2pa.generator"), F.lit(")")), F.lit("")))).alias("value")))
+    every = F.when(kind == "pdf", F.concat(rows(SHOWN_PDF), c2pa)).when(kind == "docx", rows(SHOWN_DOCX)).otherwise(rows(SHOWN_TEXT))
+    return F.filter(every, lambda m: m.value.isNotNull())
+
+
+def metadata_evidence(raw: Column, signals: Column) -> Column:
+    """What the metadata signals that speak for an assistant rest on."""
+    at = lambda k: F.nullif(F.try_element_at(raw, F.lit(k)), F.lit(""))
+    is_ = lambda c, p: F.coalesce(c.rlike(java(p, "i")), F.lit(False))
+    fired = lambda *ids: F.exists(signals, lambda s: s.id.isin(*ids) & (s.direction == "ia"))
+    named = []
+    for key, how in FIELDS:
+        v = at(key)
+        counts = is_(v, EXACT_NAME) if how == "person" else is_(v, EXPORT_TITLE) | is_(v, CONTENT_NAME) | is_(v, OTHER_TOOLS) if how == "content" else F.lit(True)
+        named.append(F.when(counts & (vendor_of(v, VENDOR_PATTERNS).isNotNull() | is_(v, OTHER_TOOLS)), F.concat(F.lit(f"{NAMED_AS[key]} : « "), F.left(v, F.lit(120)), F.lit(" »"))))
+    tool = F.array_join(F.filter(F.array(at("pdf.producer"), at("pdf.creator"), at("xmp.creatortool"), at("xmp.producer")), lambda t: t.isNotNull()), " · ")
+    some = lambda when, *values: F.when(when, F.array(*values)).otherwise(F.array().cast("array<string>"))
+    facts = lambda pairs: [F.concat(F.lit(f"{label} : « "), at(k), F.lit(" »")) for k, label in pairs]
+    every = F.concat(
+        F.slice(F.filter(F.array(*named), lambda e: e.isNotNull()), 1, 5), some(fired("meta-iptc-ai"), at("xmp.digitalsourcetype")), some(fired("meta-c2pa"), F.concat(F.lit("Générateur : "), at("c2pa.generator"))),
+        some(fired("meta-pdf-generator"), F.when(tool == "", "commentaire « ReportLab Generated PDF document »").otherwise(tool)),
+        some(fired("meta-pdf-defaults"), *[F.when(is_(at(k), p), F.concat(F.lit(f"{label} = « "), at(k), F.lit(" »"))) for k, p, label in (("pdf.author", r"^\(?anonymous\)?$", "Auteur"), ("pdf.title", r"^\(?(untitled|anonymous)\)?$", "Titre"), ("pdf.subject", r"^\(?unspecified\)?$", "Sujet"), ("pdf.creator", r"^\(?unspecified\)?$", "Créateur"))]),
+        some(fired("meta-headless-sandbox"), at("pdf.creator"), at("pdf.creationdate")), some(fired("meta-pdf-utc"), at("pdf.creationdate")),
+        some(fired("meta-docx-lib"), *facts((("docx.creator", "Créateur"), ("docx.lastmodifiedby", "Modifié par"))), F.concat(F.lit("Description : « "), F.left(at("docx.description"), F.lit(80)), F.lit(" »"))),
+    )
+    return F.filter(every, lambda e: e.isNotNull())
+
+
+def warnings_of(metadata: Column) -> Column:
+    """The rows of a report's table that are warnings."""
+    return F.transform(F.filter(metadata, lambda m: m.key == "Avertissement"), lambda m: m.value)

@@ -269,3 +269,28 @@ def _cleaned() -> str:
 
 
 SQL["clean_text"] = f"WITH {INJECTED}, {_cleaned()} SELECT doc_id, md5(CASE WHEN k > 0 THEN regexp_replace(o, '(?m)([^{WS}]) +([.,])([{WS}]|$)', '\\1\\2\\3', 'g') ELSE t END) AS clean_md5, CAST(k AS BIGINT) AS removed FROM told JOIN docs USING (doc_id)"
+
+
+def _fact(key: str) -> str:
+    v = f"nullif({_at(key)}, '')"
+    if key in ("pdf.creationdate", "pdf.moddate"):  # as made: D:YYYYMMDDHHMMSS and a zone
+        zone = f"CASE WHEN substr({v}, 17) = '' THEN 'fuseau non précisé' WHEN substr({v}, 17) = 'Z' THEN 'UTC' ELSE 'UTC' || substr({v}, 17, 3) || ':' || substr({v}, 21, 2) END"
+        return f"substr({v}, 9, 2) || '/' || substr({v}, 7, 2) || '/' || substr({v}, 3, 4) || ' ' || substr({v}, 11, 2) || ':' || substr({v}, 13, 2) || ':' || substr({v}, 15, 2) || ' (' || {zone} || ')'"
+    if key == "docx.totaltime":
+        return f"{v} || ' min'"
+    if key == "docx.application":
+        return f"CASE WHEN {_at('docx.hasapp')} = '1' THEN coalesce({v}, '(non renseignée)') ELSE '(fiche application absente)' END"
+    return v
+
+
+_SHOWN = [("pdf", i, k, label) for i, (k, label) in enumerate(files.SHOWN_PDF)] + [("docx", i, k, label) for i, (k, label) in enumerate(files.SHOWN_DOCX)]
+_LABELS = {"pdf.author|docx.creator": "Auteur", "pdf.title|docx.title": "Titre"}
+_PROOFS = " UNION ALL ".join(f"SELECT doc_id, {q(_LABELS.get(keys, files.NAMED_AS.get(keys, '')))} || ' : « ' || left(v, 120) || ' »' AS e FROM (SELECT doc_id, coalesce({', '.join(_at(k) for k in keys.split('|'))}) AS v FROM files WHERE kind IN ('pdf', 'docx')) WHERE v <> '' AND ('{how}' <> 'person' OR {_is('v', files.EXACT_NAME)}) AND ('{how}' <> 'content' OR {_is('v', files.EXPORT_TITLE)} OR {_is('v', files.CONTENT_NAME)} OR {_is('v', files.OTHER_TOOLS)}) AND ({VENDOR('v')} IS NOT NULL OR {_is('v', files.OTHER_TOOLS)})" for keys, how in _NAMED)
+SQL["flagged_metadata"] = f"""WITH {META}, on_ia AS (SELECT doc_id, id FROM meta WHERE direction = 'ia'),
+        proof AS ({_PROOFS} UNION ALL SELECT doc_id, {_at('xmp.digitalsourcetype')} FROM f JOIN on_ia USING (doc_id) WHERE id = 'meta-iptc-ai' UNION ALL SELECT doc_id, 'Générateur : ' || {_at('c2pa.generator')} FROM f JOIN on_ia USING (doc_id) WHERE id = 'meta-c2pa'
+            UNION ALL SELECT doc_id, tool FROM f JOIN on_ia USING (doc_id) WHERE id = 'meta-pdf-generator' UNION ALL SELECT doc_id, unnest([{_at('pdf.author')}, {_at('pdf.title')}, {_at('pdf.subject')}]) FROM f JOIN on_ia USING (doc_id) WHERE id = 'meta-pdf-defaults'
+            UNION ALL SELECT doc_id, unnest([{_at('pdf.creator')}, {_at('pdf.creationdate')}]) FROM f JOIN on_ia USING (doc_id) WHERE id = 'meta-headless-sandbox' UNION ALL SELECT doc_id, {_at('pdf.creationdate')} FROM f JOIN on_ia USING (doc_id) WHERE id = 'meta-pdf-utc'
+            UNION ALL SELECT doc_id, unnest([{_at('docx.creator')}, {_at('docx.lastmodifiedby')}, {_at('docx.description')}]) FROM f JOIN on_ia USING (doc_id) WHERE id = 'meta-docx-lib'),
+        shown AS ({" UNION ALL ".join(f"SELECT doc_id, {i} AS ord, {q(label)} AS key, {_fact(k)} AS value FROM files WHERE kind = '{kind}'" for kind, i, k, label in _SHOWN)}
+            UNION ALL SELECT doc_id, 99, 'C2PA (Content Credentials)', 'présent' || coalesce(' (' || {_at('c2pa.generator')} || ')', '') FROM files WHERE kind = 'pdf' AND {_at('c2pa')} = '1')
+        SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS place, key, value, length(value) >= 3 AND EXISTS (SELECT 1 FROM proof p WHERE p.doc_id = shown.doc_id AND contains(p.e, shown.value)) AS flagged FROM shown WHERE value IS NOT NULL"""

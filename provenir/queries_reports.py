@@ -68,6 +68,14 @@ def metadata_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.where("s is not null").select("doc_id", "s.id", "s.strength", "s.direction", "s.points", F.array_join(F.array_sort(F.transform("s.vendors", lambda v: F.concat(v.vendor, F.lit("="), v.weight.cast("string")))), ",").alias("vendors"))
 
 
+def flagged_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of facts of each file, with whether a metadata signal rests on them."""
+    x = made_files(spark, sf_dir).select("doc_id", "raw", "kind", files.metadata(F.col("raw"), F.col("kind"), F.size(text.words(F.col("text")))).alias("s"))
+    x = x.select("doc_id", files.metadata_rows(F.col("raw"), F.col("kind")).alias("m"), files.metadata_evidence(F.col("raw"), F.col("s")).alias("e"))
+    f = x.select("doc_id", F.posexplode(explain.flagged(F.col("m"), F.col("e"))).alias("place", "f"))
+    return f.select("doc_id", F.col("place").cast("long").alias("place"), "f.key", "f.value", "f.flagged")
+
+
 def software_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = made_files(spark, sf_dir).where("kind in ('pdf', 'docx')").select("doc_id", F.posexplode(software.software_of(F.col("raw"))).alias("place", "h"))
     return x.select("doc_id", F.col("place").cast("long").alias("place"), "h.name", "h.confidence", "h.source", "h.note")
@@ -195,4 +203,4 @@ def others_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", F.array_join("p.identified", ",").alias("identified"), "p.others")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (metadata_signals, software_hints, report_origins, file_verdicts, code_signals, project_code, project_signals, commit_signatures, report_highlights, signal_evidence, report_summaries, model_verdicts, stats_shown, answers_summary, calibration_proposal, corpus_fit, corpus_prompts, formulas_compared, others_pooled)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (metadata_signals, flagged_metadata, software_hints, report_origins, file_verdicts, code_signals, project_code, project_signals, commit_signatures, report_highlights, signal_evidence, report_summaries, model_verdicts, stats_shown, answers_summary, calibration_proposal, corpus_fit, corpus_prompts, formulas_compared, others_pooled)}
