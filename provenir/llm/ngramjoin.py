@@ -49,8 +49,9 @@ BITS = 10
 WORDS = (1 << BITS) // 64
 #: Shingles of a document's partners that are verified in one group, but one partner at least.
 STAR = 500_000
-#: Documents that are broadcast at most, of about 200 bytes each with their bitmaps; more are joined by shuffle.
-MAX_BROADCAST = 100_000
+#: Documents that are broadcast at most, of about 200 bytes each with their bitmaps, and of 16 bytes with their
+#: component alone; more are joined by shuffle.
+MAX_BROADCAST, MAX_IDS = 100_000, 1_000_000
 PIVOT_ROUNDS = 2
 _powers: dict[int, np.ndarray] = {}
 
@@ -262,15 +263,16 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str
     entries = entries_of(made, classes, fits, percent)
     # bits of each document with an entry; comp: a document that it is known to be connected with
     of_entries = written(entries.select("id").distinct(), "ids")
-    few = of_entries.count() <= MAX_BROADCAST
-    near = lambda d: F.broadcast(d) if few else d
+    m = of_entries.count()
+    near = lambda d: F.broadcast(d) if m <= MAX_BROADCAST else d
+    short = lambda d: F.broadcast(d) if m <= MAX_IDS else d
     one_set = (F.min("s1") == F.max("s1")) & (F.min("s2") == F.max("s2"))  # rows that share an id but not a text: no bitmap rules them out
-    state = made.where("n > 0").join(near(of_entries), "id").groupBy("id").agg(F.min("n").alias("n"), F.first("bits").alias("bits"), one_set.alias("sure"))
+    state = made.where("n > 0").join(short(of_entries), "id").groupBy("id").agg(F.min("n").alias("n"), F.first("bits").alias("bits"), one_set.alias("sure"))
     state = written(state.withColumn("comp", F.col("id")), "state")
-    texts = written(source.where("id is not null").join(near(of_entries), "id").distinct(), "texts")
+    texts = written(source.where("id is not null").join(short(of_entries), "id"), "texts")
     every: DataFrame | None = None
     for k in range(PIVOT_ROUNDS + 1):
-        now = entries.join(near(state.select("id", "comp")), "id")
+        now = entries.join(short(state.select("id", "comp")), "id")
         if k < PIVOT_ROUNDS:
             open_toks = now.groupBy("tok").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.min_by(F.struct("id", "n", "comp", "pos"), F.xxhash64("id", F.lit(k)) if k else F.col("id")).alias("pivot")).where("c < d").select("tok", "pivot")
             met = now.join(open_toks, "tok").where((F.col("comp") != F.col("pivot.comp")) & fits(F.col("n"), F.col("pivot.n"), F.col("pos"), F.col("pivot.pos"))).select(F.col("pivot.id").alias("a"), F.col("id").alias("b")).distinct()
@@ -288,7 +290,7 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str
         new = verified(pairs, texts, n, percent)
         every = new if every is None else every.unionByName(new)
         if k < PIVOT_ROUNDS:
-            old, state = state, written(hooked(state, new, near) if k + 1 < PIVOT_ROUNDS else solved(state, every), "state")
+            old, state = state, written(hooked(state, new, short) if k + 1 < PIVOT_ROUNDS else solved(state, every), "state")
             release(spark, old)
         release(spark, pairs)
     ties = ties_of(made, classes)
@@ -334,11 +336,11 @@ def crossing(now: DataFrame, state: DataFrame, fits: Callable[..., Column], perc
     are expanded to their members.
     """
     now = now.join(now.groupBy("tok").agg(F.mode("comp").alias("most")), "tok")
-    of_group = now.select("comp", "g", "n", "id").distinct().join(state.select("id", "bits", "sure"), "id")
+    of_group = written(now.select("comp", "g", "n", "id").distinct().join(state.select("id", "bits", "sure"), "id"), "members")
     both = lambda f: F.array(*[f(F.col("bits")[i]) for i in range(WORDS)])
     masks = of_group.groupBy("comp", "g", "n").agg(both(F.bit_and).alias("all"), both(F.bit_or).alias("some"), F.min("sure").alias("sure"))
     masks = masks.select("comp", "g", "n", F.col("all").alias("bits"), F.zip_with("all", "some", lambda x, y: F.when(F.col("sure"), x.bitwiseXOR(y)).otherwise(F.lit(-1).cast("long"))).alias("mask"))
-    groups = now.groupBy("tok", "most", "comp", "g", "n").agg(F.min("pos").alias("pos")).join(masks, ["comp", "g", "n"])
+    groups = written(now.groupBy("tok", "most", "comp", "g", "n").agg(F.min("pos").alias("pos")).join(masks, ["comp", "g", "n"]), "groups")
     side = lambda s: groups.select("tok", "most", *[F.col(c).alias(f"{c}_{s}") for c in ("comp", "g", "n", "pos")], F.col("bits").alias(f"bits_{s}"), F.col("mask").alias(f"bits_{s}_mask"))
     left, right = side("a").where("comp_a <> most").drop("most"), side("b")
     meet = (F.col("comp_a") != F.col("comp_b")) & ((F.col("comp_b") == F.col("most")) | (F.col("comp_a") < F.col("comp_b")))
