@@ -156,9 +156,14 @@ def read_one(path: str, content: bytes) -> tuple:
             return row(None, error=f"unsupported: {ext}")
         if content.startswith(b"%PDF-"):
             return row("pdf", *pdf(content))
+        if content.startswith(b"PK\x03\x04") and ext not in CODE_EXT | MD_EXT | TEXT_EXT:  # by what is inside, whatever it is called
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                word = "word/document.xml" in z.namelist()
+            if word:
+                return row("docx", *docx(content))
         if ext == "docx":
             return row("docx", *docx(content))
-        if ext == "zip":
+        if ext == "zip" or content.startswith(b"PK\x03\x04"):
             text, _, paths = project(content)
             return row("code", text, {"project.paths": "\n".join(paths)})
         if not is_text(content):
@@ -180,6 +185,26 @@ def read_files(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, SCHEMA)
 
 
+PROJECT_FILES = "project string, path string, extension string, text string"
+
+
+def read_projects(files: DataFrame) -> DataFrame:
+    """(project, path, extension, text): the source files of zipped projects, a row each; other files have none."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in frames:
+            rows = []
+            for p, c in zip(x["path"], x["content"], strict=True):
+                try:
+                    found = project(bytes(c))[1] if bytes(c[:4]) == b"PK\x03\x04" and len(c) <= MAX_ARCHIVE else []
+                except (ValueError, KeyError, zipfile.BadZipFile):
+                    found = []  # read_files gives the file's error
+                rows += [(p, n, extension_of(n), t) for n, t in found]
+            yield pd.DataFrame(rows, columns=["project", "path", "extension", "text"])
+
+    return files.select("path", "content").mapInPandas(run, PROJECT_FILES)
+
+
 def documents_in(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     return read_files(spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder))
 

@@ -188,3 +188,22 @@ def test_calibrations_saved_and_reset(spark, tmp_path):
     assert [r.bias for r in recalibrate.in_force(spark, path, schema).collect()] == [0.7]
     recalibrate.saved(spark, c.withColumn("weight", F.lit(None).cast("array<double>")), path, F.timestamp_seconds(F.lit(30)))
     assert recalibrate.in_force(spark, path, schema).count() == 0
+
+
+def test_project_files_are_read_by_file(spark):
+    import io
+    import zipfile
+
+    from provenir.sources import readers
+
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        z.writestr("a/x.py", "# Step 1: a\n# Step 2: b\n")
+        z.writestr("node_modules/y.js", "x")
+        z.writestr("a/CLAUDE.md", "notes")
+    f = spark.createDataFrame([("p.zip", held.getvalue()), ("p", held.getvalue()), ("t.txt", b"text")], "path string, content binary")
+    rows = readers.read_projects(f)
+    assert sorted((r.project, r.path) for r in rows.collect()) == [("p", "a/CLAUDE.md"), ("p", "a/x.py"), ("p.zip", "a/CLAUDE.md"), ("p.zip", "a/x.py")]
+    got = {r.project: [s.id for s in r.signals] for r in files.project_code(rows, "project").collect()}
+    assert got == {"p": ["code-steps"], "p.zip": ["code-steps"]}
+    assert {r.path: r.kind for r in readers.read_files(f).collect()} == {"p.zip": "code", "p": "code", "t.txt": "txt"}
