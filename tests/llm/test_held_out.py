@@ -105,6 +105,6 @@ def test_stages_keep_columns_of_any_name(spark, tmp_path):
     d = spark.createDataFrame([(i, text(60, i), "en", "s", 300) for i in range(4)], "doc_id long, text string, lang string, source string, n_chars long")
     d = d.select("*", *[F.lit(c).alias(c) for c in names])
     spark.createDataFrame([(1, text(12, 50))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    for _, stage in p.STAGES[:-1]:
+    for _, stage in (p.STAGES[0], p.STAGES[2], p.STAGES[3]):  # the join's are among the operators' tests
         d2 = stage(spark, d, str(tmp_path))
         assert d2.columns == d.columns and d2.count() == 4
