@@ -6,6 +6,7 @@ from whole-number sums, so that every engine gives the same digits.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -129,7 +130,16 @@ def disjoint(highlights: Column) -> Column:
 
 
 _VERSE_WORD = r"\p{L}[\p{L}'’-]*"
-_MARKS = ("ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy")
+
+
+def _without_marks() -> tuple[str, str]:
+    """Latin, Greek and Cyrillic letters with marks, and the letters without them, by canonical decomposition."""
+    plain = {c: "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x)) for c in map(chr, [*range(0xC0, 0x530), *range(0x1E00, 0x2000)])}
+    changed = {c: p for c, p in plain.items() if len(p) == 1 and p != c}
+    return "".join(changed), "".join(changed.values())
+
+
+_MARKS = _without_marks()
 
 
 def verse(text: Column) -> Column:
