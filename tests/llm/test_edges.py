@@ -203,7 +203,6 @@ def test_samples_are_never_empty(spark):
     d = spark.range(2000)
     assert 0 < d.where(sampled(F.col("id"), 0.1, "x")).count() < 400
     assert d.where(sampled(F.col("id"), 1.0, "x")).count() == 2000
-    assert "4611" not in str(spark.range(1).select(sampled(F.col("id"), 1e-12, "x")).schema)
 
 
 @pytest.mark.parametrize("rows", [[(1, None, None), (2, "und das", None)], [(1, "alpha", "en"), (2, "alpha", "de")]])
