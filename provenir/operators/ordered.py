@@ -100,4 +100,6 @@ def running(df: DataFrame, group: list[str], order: list[str | Column], sums: di
     edges = edges.where(F.col(head)).select(part, *late)
     x = done.join(F.broadcast(edges), part, "left")  # a row for each partition
     total = [(F.col(f"`{c}`") + F.when(F.col(begun), F.coalesce(F.col(k), F.lit(0))).otherwise(F.lit(0))).alias(c) for c, k in zip(into, late, strict=True)]
-    return x.select(*[F.col(f"`{c}`") for c in names], *total)
+    out = x.select(*[F.col(f"`{c}`") for c in names], *total)
+    out._written_to = done._written_to  # for release()
+    return out
