@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import drop_written, release, shared_dir, shared_path, unused, written  # noqa: F401  for the operators
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -19,60 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a local one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Write df to the shared folder and read it again, which cuts its lineage; the table outlives lost executors."""
-    path = shared_path(df.sparkSession, name)
-    writer = df.write.mode("overwrite").option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    again = df.sparkSession.read.schema(df.schema).parquet(path)
-    again._written_to = path
-    return again
-
-
-def drop_written(df: DataFrame) -> None:
-    """Delete a table that written() made and that nothing reads any more."""
-    path = getattr(df, "_written_to", None)
-    if path:
-        spark = df.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def release(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete written tables that are done with, and let Spark remove the shuffle files that nothing refers to any more.
-
-    Spark removes these when the driver's JVM collects garbage, which a long job with a small driver may not do.
-    """
-    for df in tables:
-        drop_written(df)
-    gc.collect()
-    spark._jvm.System.gc()
-
-
-def unused(df: DataFrame, *names: str) -> list[str]:
-    """Names for columns of our own that df has not, whatever its columns are called."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for name in names:
-        while name.lower() in taken:
-            name = f"_{name}"
-        taken.add(name.lower())
-        out.append(name)
-    return out
-
-
 def sampled(key: Column, share: float, salt: str) -> Column:
     """Whether a row is in a sample of this share, by a hash of its key; never an empty range for a share above 0."""
     return F.xxhash64(key.cast("string"), F.lit(salt)).bitwiseAND(F.lit((1 << 62) - 1)) < F.lit(max(1, int(min(share, 1.0) * (1 << 62))))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embeddup, htmltext, langid, ngramjoin, substrings, toxicity, urlfilter, warc
+from . import bpe, decontaminate, embeddup, fim, htmltext, langid, ngramjoin, prefixtrie, substrings, topk, toxicity, urlfilter, warc
 from ..cluster import spread
 from .common import table
 
@@ -76,6 +76,21 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie(*prefixtrie.rebuilt(prefixtrie.numbered(table(spark, sf_dir, "conversations")), every=5, most=9))
+
+
+def op12_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.search(topk.index(vectors), vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fim.restore(fim.transform(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "fim"))
+    sha = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return done.select("doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars", sha("fim.output").alias("output_sha256"), sha("restored.text").alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -87,6 +102,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_html_text": op10_html_text,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_topk_search": op12_topk_search,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -151,3 +169,43 @@ SQL |= {
         c AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
         SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, coalesce(c, w.doc_id)) AS component_id FROM w LEFT JOIN size USING (doc_id) LEFT JOIN c ON c.a = w.doc_id""",
 }
+
+#: CRC-32 of the decimal digits of a number, a bit at a time.
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST({} AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))), lambda c, d: list_reduce(list_prepend(xor(c, d), list_transform(range(8), lambda z: CAST(z AS BIGINT))), lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"
+
+SQL |= {
+    "op11_prefix_trie": f"""
+        WITH raw AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL),
+        named AS (SELECT c, turn, sha256(length(role) || ':' || role || t) AS d, strlen(t) AS size FROM raw),
+        turns AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, d) AS p, d, size FROM named),
+        own AS (SELECT c, max(p) AS n FROM turns GROUP BY c),
+        hashed AS (SELECT c, n, c - c % 5 AS b, {_CRC.format("c")} % 9 AS h FROM own),
+        convs AS (SELECT x.c, x.n, b, h, least(h, coalesce(y.n, 0)) AS taken FROM hashed x LEFT JOIN own y ON y.c = x.b),
+        seq AS (SELECT convs.c, p - h + taken AS depth, d, size FROM convs JOIN turns USING (c) WHERE p > h
+                UNION ALL SELECT convs.c, p, d, size FROM convs JOIN turns ON turns.c = b WHERE p <= taken),
+        keyed AS (SELECT c, depth, size, sha256(array_to_string(array_agg(d) OVER (PARTITION BY c ORDER BY depth), ',')) AS k FROM seq),
+        lines AS (SELECT c, depth, size, k, lag(k, 1, 'root') OVER (PARTITION BY c ORDER BY depth) AS up FROM keyed UNION ALL SELECT c, 0, 0, 'root', NULL FROM own),
+        long AS (SELECT *, depth = max(depth) OVER (PARTITION BY c) AS ends FROM lines),
+        nodes AS (SELECT k, any_value(up) AS up, depth, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(size) AS saved, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '') AS ended FROM long GROUP BY k, depth),
+        children AS (SELECT up AS k, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY up),
+        full_nodes AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (k)),
+        totals AS (SELECT l.k, count(*) FILTER (n.n_children = 0) AS n_leaves, sum(n.saved) AS saved_tokens FROM full_nodes n JOIN lines l ON l.c = n.conv_id AND l.depth <= n.depth GROUP BY l.k)
+        SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(n.ended) AS ends_sha256
+        FROM full_nodes n JOIN totals USING (k) LEFT JOIN nodes p ON p.k = n.up""",
+    "op12_topk_search": """
+        WITH v AS (SELECT vec_id, row_number() OVER () AS r, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(1024 * x)) AS q FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL),
+        ok AS (SELECT * FROM v WHERE len(list_filter(q, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+        pairs AS (SELECT a.r, a.vec_id AS query_id, b.vec_id, CASE WHEN len(a.q) = 0 THEN 0 ELSE CAST(list_dot_product(a.q, b.q) AS BIGINT) END AS score FROM ok a JOIN ok b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+        ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM pairs)
+        SELECT * FROM ranked WHERE rank <= 10""",
+    "op13_fill_in_middle": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+        h AS (SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substring(x, i, 8) AS BIGINT)) AS h FROM d),
+        f AS (SELECT doc_id, t, n, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+              CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+        p AS (SELECT *, substring(t, 1, a) AS prefix, substring(t, a + 1, b - a) AS middle, substring(t, b + 1, n - b) AS suffix FROM f)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM p""",
+}
