@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .calibrate import seeded_order
-from .likelihood import bucket
+from .likelihood import bucket, lowest_reaching
+from .ordered import running
 
 MIN_WORDS, MAX_WORDS, MIN_PARAGRAPH, MIN_PAGE, PER_PARENT, BATCH = 80, 400, 15, 6000, 3, 10
 # fixed values: what marks texts by robots, lists and openings that are no prose
@@ -55,10 +56,9 @@ def first_per_parent(rows: DataFrame, parent: str, order: str, most: int = PER_P
 def numbered(new: DataFrame, manifest: DataFrame, order: str = "ord") -> DataFrame:
     """new with id: label, genre and the number that follows the genre's largest so far, of three digits or more."""
     last = manifest.groupBy("label", "genre").agg(F.max(F.element_at(F.split("id", "-"), -1).cast("int")).alias("_last"))
-    k = F.row_number().over(Window.partitionBy("label", "genre").orderBy(order)) + F.coalesce("_last", F.lit(0))
-    x = new.join(last, ["label", "genre"], "left").withColumn("_n", k)
+    x = running(new, ["label", "genre"], [order], rank="_k").join(last, ["label", "genre"], "left").withColumn("_n", F.col("_k") + F.coalesce("_last", F.lit(0)))
     padded = F.when(F.length(F.col("_n").cast("string")) < 3, F.lpad(F.col("_n").cast("string"), 3, "0")).otherwise(F.col("_n").cast("string"))
-    return x.withColumn("id", F.concat_ws("-", "label", "genre", padded)).drop("_n", "_last")
+    return x.withColumn("id", F.concat_ws("-", "label", "genre", padded)).drop("_n", "_k", "_last")
 
 
 def prompts(topics: DataFrame, lengths: tuple[int, ...], styles: tuple[str, ...], order: str = "ord", batch: int = BATCH) -> DataFrame:
@@ -66,8 +66,7 @@ def prompts(topics: DataFrame, lengths: tuple[int, ...], styles: tuple[str, ...]
 
     Topics are places in a list that people work through: it is numbered in one sequence.
     """
-    i = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order)) - 1
-    x = topics.withColumn("_i", i)
+    x = running(topics, [], [order], rank="_i").withColumn("_i", F.col("_i") - 1)
     pick = lambda what, at: F.array(*map(F.lit, what))[F.pmod(at, F.lit(len(what))).cast("int")]
     number = (F.col("_i") + 1).cast("string")
     padded = F.when(F.length(number) < 2, F.lpad(number, 2, "0")).otherwise(number)
@@ -85,14 +84,14 @@ def import_answers(answers: DataFrame, asked: DataFrame, vendor: str) -> DataFra
     return x.select(F.concat_ws("-", F.lit("ia"), F.lit(vendor), "prompt_id").alias("id"), F.lit("ia").alias("label"), F.lit(vendor).alias("vendor"), "genre", word_count(F.col("answer")).alias("words"), F.col("topic").alias("title"), "style")
 
 
+def _plain(human: DataFrame, by: list[str], share: float) -> DataFrame:
+    place = F.least(F.col("_all") - 1, F.floor(F.col("_all") * share))
+    return lowest_reaching(human.withColumn("_one", F.lit(1)), by, "_one", F.col("_upto") > place)
+
+
 def plain_thresholds(scores: DataFrame, share: float = 0.95) -> DataFrame:
     """(bucket, offset): the human score at place min(n - 1, floor(share n)) of each length, unweighted."""
-    human = scores.where(~F.col("ai")).withColumn("bucket", bucket(F.col("tokens")))
-    per = human.groupBy("bucket", "score").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("bucket")
-    x = per.withColumn("_upto", F.sum("n").over(w.orderBy("score").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("n").over(w))
-    place = F.least(F.col("_all") - 1, F.floor(F.col("_all") * share))
-    return x.where(F.col("_upto") > place).groupBy("bucket").agg(F.min("score").alias("offset"))
+    return _plain(scores.where(~F.col("ai")).withColumn("bucket", bucket(F.col("tokens"))), ["bucket"], share)
 
 
 def compared(scores: DataFrame) -> DataFrame:
@@ -100,12 +99,8 @@ def compared(scores: DataFrame) -> DataFrame:
 
     scores: formula, ai, tokens, score.
     """
-    human = scores.where(~F.col("ai"))
     x = scores.withColumn("bucket", bucket(F.col("tokens")))
-    per = human.withColumn("bucket", bucket(F.col("tokens"))).groupBy("formula", "bucket", "score").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("formula", "bucket")
-    y = per.withColumn("_upto", F.sum("n").over(w.orderBy("score").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("n").over(w))
-    limits = y.where(F.col("_upto") > F.least(F.col("_all") - 1, F.floor(F.col("_all") * 0.95))).groupBy("formula", "bucket").agg(F.min("score").alias("offset"))
+    limits = _plain(x.where(~F.col("ai")), ["formula", "bucket"], 0.95)
     hit = F.col("score") > F.col("offset")
     share = lambda ai: F.try_divide(F.count(F.when((F.col("ai") == ai) & hit, 1)), F.count(F.when(F.col("ai") == ai, 1)))
     return x.join(F.broadcast(limits), ["formula", "bucket"], "left").groupBy("formula", "bucket").agg(share(True).alias("detected"), share(False).alias("false_alarms"))  # limits: five rows a formula

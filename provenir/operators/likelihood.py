@@ -6,14 +6,21 @@ largest down); where they come from (a language model run elsewhere) is not this
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .detect import SEQ, signal
+from .ordered import running
 
 # fixed values: default calibration, (mean, sd, weight) by feature, bias, and offset by number of tokens
 THREE_MEASURES = {"features": {"mean_log_prob": (-2.2857, 0.634, 0.6101), "mean_entropy": (2.117, 0.5398, -0.3328), "criterion_per_token": (-0.0763, 0.135, 0.7473), "log_tokens": (4.4628, 0.7093, -0.2212)}, "bias": -0.1958, "thresholds": ((30, 1.5936), (50, 1.5701), (80, 1.1173), (120, 0.9889), (200, 0.9861))}
 BINOCULARS = {"features": {"binoculars": (1.0975, 0.1493, -1.0337), "log_tokens": (4.4628, 0.7093, -0.0897)}, "bias": -0.128, "thresholds": ((30, 1.6094), (50, 1.167), (80, 0.9351), (120, 0.837), (200, 0.6089))}
+# fixed values: the calibration that holds until another is applied; rates by number of tokens: detected, false positives
+_rates = lambda *detected: tuple((t, d, 0.05) for t, d in zip((30, 50, 80, 120, 200), detected, strict=True))
+DEFAULT = {
+    "measures": THREE_MEASURES | {"rates": _rates(0.21, 0.22, 0.26, 0.24, 0.21)}, "binoculars": BINOCULARS | {"rates": _rates(0.1, 0.24, 0.29, 0.29, 0.37)},
+    "origin": "origine", "texts": {"ai": 240, "human": 400}, "answers": 0, "rates": _rates(0.21, 0.24, 0.29, 0.29, 0.37), "applied_at": None,
+}
 MIN_TOKENS, FULL_TOKENS, MAX_LOGIT, MAX_LOG_TOKENS, FALSE_ALARMS, BINOCULARS_FROM = 20, 60, 3.5, 240, 0.05, 50
 BUCKETS = (30, 50, 80, 120, 200)
 HUMAN_CAP = {"prose": 5, "technical": 2, "verse": 0}
@@ -122,13 +129,26 @@ def bucket(tokens: Column) -> Column:
     return out
 
 
+def lowest_reaching(values: DataFrame, by: list[str], weight: str, reached: Column) -> DataFrame:
+    """(by, offset): the least score at which `reached` holds, a condition on _upto and _all.
+
+    values: by, score and a column of weights. _upto is the weight of the scores up to this one and _all that of the group.
+    Groups are few and large, so the sums run over range partitions of all of them; weights add up as multiples of
+    2^-20, which makes the sums the same in any order.
+    """
+    unit = 1 << 20
+    per = values.groupBy(*by, "score").agg(F.sum(F.round(F.col(weight) * unit).cast("long")).alias("_w"))
+    x = running(per, by, ["score"], {"_upto": "_w"})
+    every = x.groupBy(*by).agg(F.sum("_w").alias("_all"))
+    x = x.join(F.broadcast(every), by)  # a row for each formula and length
+    x = x.withColumn("_upto", F.col("_upto") / unit).withColumn("_all", F.col("_all") / unit)
+    return x.where(reached).groupBy(*by).agg(F.min("score").alias("offset"))
+
+
 def thresholds_of(scores: DataFrame) -> DataFrame:
     """(bucket, offset): the score that all but FALSE_ALARMS of the human weight does not exceed."""
     human = scores.where(~F.col("ai")).withColumn("bucket", bucket(F.col("tokens")))
-    w = Window.partitionBy("bucket")
-    per_score = human.groupBy("bucket", "score").agg(F.sum("weight").alias("weight"))
-    x = per_score.withColumn("_sum", F.sum("weight").over(w.orderBy("score").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("weight").over(w))
-    return x.where(F.col("_sum") >= (1 - FALSE_ALARMS) * F.col("_all")).groupBy("bucket").agg(F.min("score").alias("offset"))
+    return lowest_reaching(human, ["bucket"], "weight", F.col("_upto") >= (1 - FALSE_ALARMS) * F.col("_all"))
 
 
 def rates_of(flagged: DataFrame) -> DataFrame:
