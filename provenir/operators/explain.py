@@ -5,6 +5,10 @@ Offsets are in code points from 0, half open. Excerpts show what cannot be seen
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,17 +110,44 @@ def explained(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return x.select(key, "id", "ord", F.slice(said, F.lit(1), F.col("most")).alias("evidence"), at.alias("at"), "level", "shown")
 
 
+def disjoint(rows: DataFrame, key: str, level: str, order: list[str]) -> DataFrame:
+    """Of rows (key, level, start, end, ...) those that overlap no row of their key that comes before, by level and order.
+
+    The rows of a key come sorted, level by level, and `order` begins with the start: a row is compared with the last one kept of
+    its own level, and by halving with those kept of earlier levels. Of a key only the kept intervals are held.
+    """
+    names = rows.columns
+    place = [names.index(c) for c in (key, level, "start", "end")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, of, held, own, starts = None, None, [], [], []
+        for b in batches:
+            keep = []
+            for k, r, start, end in zip(*(b.column(i).to_pylist() for i in place), strict=True):
+                if not keep and at is None or k != at:
+                    at, of, held, own, starts = k, r, [], [], []
+                elif r != of:
+                    held, own, of = sorted(held + own), [], r  # two sorted runs
+                    starts = [x for x, _ in held]
+                i = bisect.bisect_right(starts, start)
+                clear = (not own or own[-1][1] <= start) and (not i or held[i - 1][1] <= start) and (i == len(held) or starts[i] >= end)
+                keep.append(clear)
+                if clear:
+                    own.append((start, end))
+            yield b.filter(pa.array(keep, type=pa.bool_()))
+
+    return rows.repartition(key).sortWithinPartitions(key, level, *order).mapInArrow(run, rows.schema)
+
+
 def highlighted(explained_rows: DataFrame, key: str, most: int = MAX_SHOWN) -> DataFrame:
     """(key, highlights): disjoint intervals (start, end, id, level) in order, that start before `most`.
 
     Of those that overlap the stronger stays, of equally strong ones the first; only intervals travel, no text.
     """
-    rank = F.array_position(F.array(*map(F.lit, rules.STRENGTHS)), F.col("level"))
-    rows = explained_rows.where("shown").select(key, "ord", rank.alias("r"), "id", "level", F.posexplode("at").alias("k", "h")).where(F.col("h.start") < most)
-    per = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("r", F.col("h.start").alias("start"), "ord", "k", F.col("h.end").alias("end"), "id", "level"))).alias("x"))
-    none = F.array().cast(f"array<{HIGHLIGHT}>")
-    kept = F.aggregate("x", none, lambda acc, h: F.when(F.exists(acc, lambda o: (h.start < o.end) & (o.start < h.end)), acc).otherwise(F.array_append(acc, F.struct(h.start.alias("start"), h.end.alias("end"), h.id.alias("id"), h.level.alias("level")))))
-    return per.select(key, F.array_sort(kept).alias("highlights"))
+    rank = F.array_position(F.array(*map(F.lit, rules.STRENGTHS)), F.col("level")).cast("int")
+    rows = explained_rows.where("shown").select(key, "ord", rank.alias("r"), "id", "level", F.posexplode_outer("at").alias("k", "h")).where(F.col("h.start") < most)
+    kept = disjoint(rows.select(key, "r", "h.start", "h.end", "ord", "k", "id", "level"), key, "r", ["start", "ord", "k", "end"])
+    return kept.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", "end", "id", "level"))).alias("highlights"))
 
 
 def flagged(metadata: Column, evidence: Column) -> Column:

@@ -73,7 +73,7 @@ def level_of(hint: Column) -> Column:
 
 def vendors_of(df: DataFrame, key: str) -> DataFrame:
     """(key, ord, vendor, score, level): every assistant for every document, those without a hint with 0. Narrow."""
-    x = df.select(key, hints_of(F.col("signals")).alias("h")).select(key, F.posexplode("h").alias("ord", "h"))
+    x = df.select(key, hints_of(F.col("signals")).alias("h")).select(key, F.posexplode_outer("h").alias("ord", "h"))  # not posexplode: the optimizer would look into all rules again to see whether there are hints
     return x.select(key, "ord", "h.vendor", F.least(F.lit(100), F.coalesce(F.floor(F.col("h.weight") * 8 + 0.5), F.lit(0))).cast("int").alias("score"), level_of(F.col("h")).alias("level"))
 
 

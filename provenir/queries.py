@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import rules
 from .cluster import spread
 from .functions import clean, text
-from .operators import calibrate, detect, likelihood, verdict
+from .operators import calibrate, detect, explain, likelihood, verdict
 from .plans.analyze import analyzed, summary
 from .sources import store
 from .streaming import stream
@@ -134,14 +134,15 @@ def scan_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scan_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = detect.java(rules.REPEATED_PUNCTUATION)
-    d = injected(spark, sf_dir).select("doc_id", F.posexplode(text.intervals(F.col("text"), p)).alias("k", "h"))
+    d = injected(spark, sf_dir).select("doc_id", F.posexplode_outer(text.intervals(F.col("text"), p)).alias("k", "h")).where("k is not null")
     return d.select("doc_id", F.col("k").cast("long").alias("k"), F.col("h.start").cast("long").alias("start"), F.col("h.end").cast("long").alias("stop"))
 
 
 def highlights_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated punctuation first, then sentence ends that do not overlap it."""
-    d = injected(spark, sf_dir).select("doc_id", F.concat(text.intervals(F.col("text"), detect.java(rules.REPEATED_PUNCTUATION)), text.intervals(F.col("text"), "[.!?] ")).alias("h"))
-    return d.select("doc_id", F.explode(text.disjoint(F.col("h"))).alias("h")).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("h.end") - F.col("h.start")).alias("covered"))
+    found = lambda r, p: F.transform(text.intervals(F.col("text"), p), lambda h: F.struct(F.lit(r).alias("r"), h.start.alias("start"), h.end.alias("end")))
+    d = injected(spark, sf_dir).select("doc_id", F.explode_outer(F.concat(found(0, detect.java(rules.REPEATED_PUNCTUATION)), found(1, "[.!?] "))).alias("h")).where("h is not null").select("doc_id", "h.*")
+    return explain.disjoint(d, "doc_id", "r", ["start", "end"]).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("covered"))
 
 
 def verse_flag(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,14 @@
 """Profile, scanning, cleaning and verdict functions on hand-made texts, one positive and one negative case each."""
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from provenir import queries, rules
 from provenir.functions import clean, rx, text
-from provenir.operators import detect, verdict
+from provenir.operators import detect, explain, verdict
 from provenir.plans.analyze import analyzed
 
 
@@ -47,8 +50,29 @@ def test_intervals(spark):
     t = "ab--c---d-"
     got = one(spark, t, text.intervals(F.col("text"), "-+"))
     assert [(h.start, h.end) for h in got] == [(2, 4), (5, 8), (9, 10)] and one(spark, "none", text.intervals(F.col("text"), "-+")) == []
-    spans = F.expr("array(named_struct('start', 0, 'end', 4), named_struct('start', 3, 'end', 6), named_struct('start', 4, 'end', 8))")
-    assert [(h.start, h.end) for h in one(spark, "", text.disjoint(spans))] == [(0, 4), (4, 8)]
+
+
+def test_disjoint_against_brute_force(spark):
+    r = random.Random(2)
+    rows = [(k, lv, a, a + r.randint(1, 6)) for k in range(60) for lv in range(3) for a in (r.randrange(60) for _ in range(r.randrange(25)))]
+    want = []
+    for key in range(60):
+        kept = []
+        for k, lv, a, b in sorted(rows):
+            if k == key and not any(a < y and x < b for _, _, x, y in kept):
+                kept.append((k, lv, a, b))
+        want += kept
+    df = spark.createDataFrame(r.sample(rows, len(rows)), "k long, r int, start int, end int")
+    assert sorted(map(tuple, explain.disjoint(df, "k", "r", ["start", "end"]).collect())) == sorted(want)
+
+
+def test_many_matches_in_one_text_take_seconds(spark):
+    df = spark.range(1).select("id", F.repeat(F.lit("ab! "), 250_000).alias("text"))
+    began = time.time()
+    one = lambda r, p: F.transform(text.intervals(F.col("text"), p), lambda h: F.struct(F.lit(r).alias("r"), h.start.alias("start"), h.end.alias("end")))
+    x = explain.disjoint(df.select("id", F.explode_outer(F.concat(one(1, "!"), one(0, "b!")))).select("id", "col.*"), "id", "r", ["start"])
+    assert tuple(x.agg(F.count("*"), F.max("end"), F.max("r")).first()) == (250_000, 999_999, 0)
+    assert time.time() - began < 60
 
 
 def test_verse_and_prose(spark):
