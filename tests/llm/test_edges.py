@@ -164,7 +164,7 @@ def shared_blocks(streams, least):
         for b in s.split("\n"):
             blocks.append(all(covered[at : at + len(b)]))
             at += len(b) + 1
-        out.append((blocks, sum(covered) * 2 > len(s) + 1))
+        out.append(blocks)
     return out
 
 
@@ -179,7 +179,7 @@ def test_strings_decide_blocks_in_doubt(spark):
     got = {r.page_id: r.text.split("\n\n") for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     said = shared_blocks(["\n".join([notice, *own[k]]) for k in range(3)], htmltext.MIN_SHARED)
     for k in range(3):
-        assert not said[k][1] and got[k] == [b for b, gone in zip([notice, *own[k]], said[k][0], strict=True) if not gone] == own[k]
+        assert got[k] == [b for b, gone in zip([notice, *own[k]], said[k], strict=True) if not gone] == own[k]
         assert got[10 + k] == [words(8, 50 + k), own[k][0], words(30, 60 + k)]  # the bar goes, what is unique stays, whatever it is called
     assert got[20] == [notice, own[3][0]]  # nobody else on its host has the notice
     assert len(got[30]) == len(got[31]) == 3  # copies stay whole
