@@ -26,12 +26,20 @@ BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
 MAX_BROADCAST = 1_000_000
 
 
+def _rough(text: Column) -> Column:
+    """Lower case of all letters. The capital sigma, whose lower case depends on what follows, is replaced first."""
+    return F.lower(F.replace(text, F.lit("Σ"), F.lit("σ")))
+
+
 def _rough_words(text: Column) -> Column:
-    """Words of the text in lower case of all letters, for hashing: as many words at the same places as the exact ones.
+    """Words in lower case of all letters, for hashing: as many words at the same places as the exact ones."""
+    return F.regexp_extract_all(_rough(text), F.lit(WORD), 0)
 
-    The capital sigma, whose lower case depends on what follows, is replaced first.
-    """
-    return F.regexp_extract_all(F.lower(F.replace(text, F.lit("Σ"), F.lit("σ"))), F.lit(WORD), 0)
+
+def _exact_words(text: Column, rough: Column) -> Column:
+    """Words with A-Z alone in lower case: the rough ones but for texts with other capitals, which are split again."""
+    other = (F.octet_length(text) > F.length(text)) & (_rough(text) != lower_ascii(text))
+    return F.when(other, F.regexp_extract_all(lower_ascii(text), F.lit(WORD), 0)).otherwise(rough)
 
 
 def _window(words: str, pos: Column, k: int) -> Column:
@@ -55,16 +63,16 @@ def hits(docs: DataFrame, items: DataFrame, n: int = 10, doc_id: str = "doc_id",
     parts = []
     for i, k in enumerate(sizes or [n]):
         words = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("t")).withColumn("ws", F.coalesce(_rough_words(F.col("t")), F.array().cast("array<string>")))
+        words = words.withColumn("xs", _exact_words(F.col("t"), F.col("ws")))  # once a document, however many hits it has
         size = F.size("ws")
-        at = words.select("id", "text_hash", "t", "ws", F.explode(F.when(size >= k, F.sequence(F.lit(0), size - k + 1)).otherwise(F.array(F.lit(0)))).alias("pos"))
+        at = words.select("id", "text_hash", "xs", "ws", F.explode(F.when(size >= k, F.sequence(F.lit(0), size - k + 1)).otherwise(F.array(F.lit(0)))).alias("pos"))
         own = grams.where(F.col("k") == k).select(F.col("hash").alias("h"), "gram", "items")
-        exact = F.array_join(F.slice(F.regexp_extract_all(lower_ascii(F.col("t")), F.lit(WORD), 0), F.greatest("pos", F.lit(1)), k), " ")
+        exact = F.array_join(_window("xs", F.col("pos"), k), " ")
         on = (F.xxhash64(_window("ws", F.col("pos"), k)) == F.col("h")) & (F.col("pos") > 0)
         if not small:
-            both = words.withColumn("xs", F.coalesce(F.regexp_extract_all(lower_ascii(F.col("t")), F.lit(WORD), 0), F.array().cast("array<string>")))
             last = F.least(F.size("ws"), F.size("xs")) - k + 1
             place = lambda p: F.struct(p.alias("pos"), F.xxhash64(_window("ws", p, k)).alias("wh"), F.when(p > 0, F.array_join(_window("xs", p, k), " ")).alias("own"))  # noqa: B023, E731
-            at = both.select("id", "text_hash", F.size("ws").alias("n"), F.explode(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), place)).alias("x")).select("id", "text_hash", "n", "x.*")
+            at = words.select("id", "text_hash", F.size("ws").alias("n"), F.explode(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), place)).alias("x")).select("id", "text_hash", "n", "x.*")
             size, exact, on = F.col("n"), F.col("own"), (F.col("wh") == F.col("h")) & (F.col("pos") > 0)
         found = at.join(F.broadcast(own) if small else own, on, "left").where((F.col("pos") == 0) | F.col("gram").isNotNull())
         found = found.where((F.col("pos") == 0) | (exact == F.col("gram")))
