@@ -262,9 +262,9 @@ def commits_by_tool(commits: DataFrame, key: str) -> DataFrame:
 
 
 def shallowest_head(paths: Column) -> Column:
-    """The .git/HEAD of a project with the fewest folders above it, the first of equal ones; null without history."""
+    """The .git/HEAD of a project with the shortest path, the first in the archive of equal ones; null without history."""
     heads = F.filter(paths, lambda p: p.rlike(r"(^|/)\.git/HEAD$"))
-    keyed = F.transform(heads, lambda p: F.struct(F.size(F.split(p, "/")).alias("d"), p.alias("p")))
+    keyed = F.transform(heads, lambda p, i: F.struct(F.length(p).alias("n"), i.alias("i"), p.alias("p")))
     return F.try_element_at(F.array_sort(keyed), F.lit(1)).p
 
 

@@ -15,8 +15,7 @@ class Stopped(Exception):
     pass
 
 
-@pytest.mark.parametrize("after", [False, True])
-@pytest.mark.parametrize("at", [1, 2, 3])
+@pytest.mark.parametrize(("at", "after"), [(1, False), (2, True), (3, False)])
 def test_stops_lose_and_repeat_nothing(spark, tmp_path, at, after):
     for i in range(4):
         spark.createDataFrame([(f"t{i * 3 + j}", "x" * j) for j in range(4)] + [(None, "n")], "id string, text string").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from provenir.functions import clean, show, text
 from provenir.operators import calibrate, corpus, explain, files, recalibrate, software, verdict
+from provenir.operators.detect import SIGNAL, signal
 from provenir.plans.analyze import analyzed, domain_of, summaries
 
 
@@ -115,7 +116,8 @@ def test_projects(spark):
     x = spark.createDataFrame([(1, "a.py", "py", "# Step 1: a\n# Step 2: b\n"), (1, "b.py", "py", "# Step 1: a\n# Step 2: b\n# Step 3: c\n"), (1, "c.py", "py", "x"), (2, "d", None, None)], "p int, path string, extension string, text string")
     got = {r.p: r for r in files.project_code(x, "p").collect()}
     assert got[1].files == 3 and [(s.id, s["count"]) for s in got[1].signals] == [("code-steps", 5)] and got[1].in_files == [2] and got[2].signals == []
-    assert one(spark, files.shallowest_head, ["a/b/.git/HEAD", "z/.git/HEAD", "c/.git/HEAD", "HEAD"], kinds=["array<string>"]) == "c/.git/HEAD"
+    assert one(spark, files.shallowest_head, ["a/b/.git/HEAD", "z/.git/HEAD", "c/.git/HEAD", "HEAD"], kinds=["array<string>"]) == "z/.git/HEAD"
+    assert one(spark, files.shallowest_head, ["averylongname/.git/HEAD", "a/b/.git/HEAD"], kinds=["array<string>"]) == "a/b/.git/HEAD"
     c = spark.createDataFrame([(1, k, "d", "d@x", "Work\n\nCo-authored-by: Claude <x>") for k in range(3)] + [(1, 9, "d", "d@x", "Plain")], "p int, ord int, author string, email string, message string")
     r = files.commits_by_tool(c, "p").first()
     assert (r.tool, r.vendor, r.commits, r.total, r.first) == ("Claude Code", "claude", 3, 4, ["Claude Code : « Work »"] * 2)
@@ -207,3 +209,25 @@ def test_project_files_are_read_by_file(spark):
     got = {r.project: [s.id for s in r.signals] for r in files.project_code(rows, "project").collect()}
     assert got == {"p": ["code-steps"], "p.zip": ["code-steps"]}
     assert {r.path: r.kind for r in readers.read_files(f).collect()} == {"p.zip": "code", "p": "code", "t.txt": "txt"}
+
+
+def test_summaries_and_assistants(spark):
+    sig = lambda *s: F.array(*s)
+    art = signal(1, "art-x", "artefact", "fort", "ia", 40, None, (("claude", 3),))
+    weak = signal(2, "sty-x", "style", "faible", "ia", 5)
+    man = signal(3, "sty-casual", "style", "faible", "humain", -8)
+    lib = signal(4, "meta-docx-lib", "metadata", "moyen", "ia", 25, None, (("script", 1), ("claude", 1)))
+    df = spark.range(1)
+    cases = [
+        (sig(art, weak, man), 200, "1 trace(s) technique(s), 1 indice(s) de style, 1 marque(s) humaine(s). Au moins une trace quasi certaine a été trouvée."),
+        (sig(weak, man), 200, "aucune trace technique, 1 indice(s) de style, 1 marque(s) humaine(s). Sans trace technique, le résultat repose sur le style : c'est une tendance, pas une preuve."),
+        (sig(lib), 200, "1 trace(s) technique(s), 0 indice(s) de style."),
+    ]
+    for signals, words, want in cases:
+        x = verdict.scored(df.select(signals.alias("signals"), F.lit(words).cast("long").alias("words"))).select("summary", verdict.assistants(F.col("signals")).alias("a")).first()
+        assert x.summary == want
+    short = verdict.scored(df.select(F.array().cast(f"array<{SIGNAL}>").alias("signals"), F.lit(12).cast("long").alias("words"))).first()
+    assert short.undetermined and short.summary.startswith("Texte court (12 mots)") and short.confidence == "faible"
+    assert [(v.vendor, v.score, v.level, v.reasons) for v in x.a][:2] == [("claude", 16, "indice", ["meta-docx-lib"]), ("script", 16, "indice", ["meta-docx-lib"])]
+    both = verdict.vendors_of(df.select("id", sig(art, lib).alias("signals")), "id").where("score > 0").orderBy("ord").collect()
+    assert [(v.vendor, v.score, v.level) for v in both] == [("claude", 88, "trace"), ("script", 16, "indice")]
