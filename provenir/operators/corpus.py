@@ -107,6 +107,6 @@ def compared(scores: DataFrame) -> DataFrame:
 
 
 def exported(samples: DataFrame) -> DataFrame:
-    """One JSON document a row group: the columns, and the samples as rows of numbers in order. Written by `to_file`."""
+    """(sample_id, row): each sample as a JSON array of its numbers, null where one is missing, in the order of the compact form."""
     row = F.array(*[F.col(c).cast("double") for c in ("sample_group", "ai", "tokens", "mean_log_prob", "mean_entropy", "criterion", "binoculars")])
     return samples.select("sample_id", F.to_json(row).alias("row"))

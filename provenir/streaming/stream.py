@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..plans.analyze import analyzed
+from ..sources.shared import shared_path
 
 
 def start(spark: SparkSession, source: str, schema: StructType, out: str, checkpoint: str, **trigger):
@@ -21,7 +19,7 @@ def start(spark: SparkSession, source: str, schema: StructType, out: str, checkp
 
 def analyzed_stream(spark: SparkSession, source: str, schema: StructType) -> DataFrame:
     """Reports of all files that are there now, made by a streaming query and read back."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    base = shared_path(spark, "stream")
     where = source if spark._jvm.org.apache.hadoop.fs.Path(source).getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(spark._jvm.org.apache.hadoop.fs.Path(source)).isDirectory() else source.rsplit("/", 1)[0] + "/" + source.rsplit("/", 1)[1].replace(".parquet", "*.parquet")
     query = start(spark, where, schema, f"{base}/out", f"{base}/state")
     query.awaitTermination()
