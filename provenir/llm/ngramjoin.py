@@ -1,6 +1,6 @@
 """N-gram Jaccard join: a grouped prefix join over sets of word shingles.
 
-1. Every text becomes its set of shingle hashes (63 bits of a randomised polynomial hash); texts with equal sets
+1. Every text becomes its set of shingle hashes (63 bits of a randomised polynomial hash, of a digest for long words); texts with equal sets
    collapse to the one with the least id.
 2. Shingles have one global order: the COMMON most frequent ones last, by frequency, the others by hash. Two sets of
    Jaccard similarity t or more share a shingle within the first n - ceil(t n) + 1 of each, whatever the order;
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -40,6 +41,9 @@ _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
 _PLACE = _random.integers(0, 2**63, 64, dtype=np.uint64) * U(2) + U(1)
 CHUNK = 1 << 20
+#: Words of as many bytes are hashed by a cryptographic digest: modulo a power of two there are long words, as those of
+#: Thue and Morse, whose polynomials are equal for every odd base.
+LONG_WORD = 64
 #: Shingles that are put last in the order at most, of 12 bytes each where they are broadcast, and the shingles that
 #: are counted at once.
 COMMON = 250_000
@@ -77,6 +81,8 @@ def sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     edge = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[data], [True])).astype(np.int8)))
     starts, ends = edge[::2], edge[1::2]
     words = mixed((sums[ends] - sums[starts]) * powers(_BACK, len(data))[starts])
+    for k in np.flatnonzero(ends - starts >= LONG_WORD).tolist():
+        words[k] = int.from_bytes(blake2b(data[starts[k] : ends[k]].tobytes().lower(), digest_size=8).digest(), "little")
     bounds = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
     whole = np.zeros(max(0, len(words) - n + 1), dtype=np.uint64)
     for k in range(n):

@@ -210,3 +210,20 @@ def test_language_ties_and_nulls(spark, rows):
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {r.doc_id: r.lang_pred for r in langid.predict(d, langid.train(d)).collect()}
     assert got in ({1: "und", 2: "und"}, {1: "de", 2: "de"})
+
+
+def test_long_words_that_powers_of_two_confuse(spark):
+    """Words of Thue and Morse and their complements: equal under any polynomial of odd base modulo 2 ** 64."""
+    w = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    other = w.translate(str.maketrans("ab", "ba"))
+    rows = [(1, w), (2, other), (3, w.upper()), (4, f"x {other} y z"), (5, f"x {w} y z"), (6, f"X {w} y Z")]
+    got = {r.doc_id: r.component_id for r in ngramjoin.link_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()}
+    assert got == brute_components(rows, 4, 85) == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5, 6: 5}
+
+
+@pytest.mark.parametrize("size", [ngramjoin.LONG_WORD - 1, ngramjoin.LONG_WORD, ngramjoin.LONG_WORD + 1])
+def test_words_about_the_length_of_long_ones(size):
+    a, b = "é" + "K" * (size - 2), "é" + "k" * (size - 2)
+    one, two, three = ngramjoin.sets([f"{a} v w x y".encode(), f"{b} V w x y".encode(), f"{b}k v w x y".encode()], 4)
+    assert one.tolist() == two.tolist()
+    assert len(set(one.tolist()) & set(three.tolist())) == 1
