@@ -44,8 +44,9 @@ def write_archive(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, d
     """Write the rows of pages (page_id, url, html) as an archive in the folder path."""
     payload = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("sha256", F.sha2("payload", 256)).withColumn("n_bytes", F.octet_length("payload").cast("long"))
-    store = rows.select("sha256", "n_bytes", "payload").groupBy("sha256").agg(F.first("payload").alias("payload"), F.min("n_bytes").alias("n_bytes"), F.max("n_bytes").alias("most"))
-    store = store.select("sha256", F.when(F.col("n_bytes") == F.col("most"), F.col("payload")).otherwise(F.raise_error(F.lit("two payloads have one digest")).cast("binary")).alias("payload"), "n_bytes", F.sha1("payload").alias("sha1"))
+    second = F.struct("n_bytes", F.xxhash64("payload"))  # another hash and the length of what has one digest
+    store = rows.select("sha256", second.alias("second"), "n_bytes", "payload").groupBy("sha256").agg(F.first("payload").alias("payload"), F.min("n_bytes").alias("n_bytes"), F.min("second").alias("least"), F.max("second").alias("most"))
+    store = store.select("sha256", F.when(F.col("least") == F.col("most"), F.col("payload")).otherwise(F.raise_error(F.lit("two payloads have one digest")).cast("binary")).alias("payload"), "n_bytes", F.sha1("payload").alias("sha1"))
     store.write.mode("overwrite").parquet(f"{path}/payloads")
     light = pages.sparkSession.read.parquet(f"{path}/payloads").select("sha256", "n_bytes", "sha1")
     copied = rows.where(F.col("n_bytes") >= min_revisit).groupBy("sha256").agg(F.count("*").alias("n"), F.max("page_id").alias("kept")).where("n > 1").select("sha256", "kept")
