@@ -213,11 +213,11 @@ def paraphrases(t: Column, extension: Column) -> Column:
             code = F.when(blank(follows), None).otherwise(at(follows))
             alone = x.said.isNotNull() & (F.when(i > 0, at(F.greatest(i - 1, F.lit(0))).said.isNull()).otherwise(True))
             plain = ~x.said.rlike(java(TOOLING, "i")) & ~x.said.rlike("[;{}=()<>]")
-            ws = content_words(x.said)
-            parts = code_parts(code.line)
-            hits = F.size(F.filter(ws, lambda w: _says(w, parts)))
-            eligible = alone & plain & code.line.isNotNull() & code.said.isNull() & (F.size(ws) >= 2) & (F.size(ws) <= 8)
-            return F.when(eligible, F.struct((i + 1).alias("line"), (follows + 1).alias("code"), (hits >= 0.66 * F.size(ws)).alias("same")))
+            told = F.array(F.struct(content_words(x.said).alias("ws"), code_parts(code.line).alias("parts")))  # made once for each comment
+            size = lambda e: F.size(e.ws)
+            same = lambda e: F.size(F.filter(e.ws, lambda w: _says(w, e.parts))) >= 0.66 * size(e)
+            judged = F.transform(told, lambda e: F.when((size(e) >= 2) & (size(e) <= 8), F.struct((i + 1).alias("line"), (follows + 1).alias("code"), same(e).alias("same"))))
+            return F.when(alone & plain & code.line.isNotNull() & code.said.isNull(), F.element_at(judged, 1))
 
         return F.filter(F.transform(ls, one), lambda x: x.isNotNull())
 
@@ -293,7 +293,7 @@ def code(t: Column, extension: Column) -> Column:
     return _all(
         *rules_, F.when((n >= 3) | (kinds >= 2), signal(CODE + 10, "code-typography", "code", F.when(strong, "moyen").otherwise("faible"), "ia", F.when(strong, 22).otherwise(12), n, both)),
         F.when(F.left(t, F.lit(800)).rlike(java(BANNER, "m")), signal(CODE + 11, "code-banner", "code", "moyen", "ia", 22, None, both)),
-        F.when(paraphrases(t, extension).isNotNull(), signal(CODE + 12, "code-paraphrase", "code", "faible", "ia", 10, F.size(paraphrases(t, extension)))),
+        F.element_at(F.transform(F.array(paraphrases(t, extension)), lambda p: F.when(p.isNotNull(), signal(CODE + 12, "code-paraphrase", "code", "faible", "ia", 10, F.size(p)))), 1),
     )
 
 

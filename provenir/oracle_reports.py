@@ -97,14 +97,35 @@ _HASHES = q(r"(?m)(?:^|\s)#(?:[^!{\n][^\n]*|$)")
 _SLASHES = q(r"//[^\n]*|/[*](?s:.*?)[*]/")
 _COMMENT = f"CASE WHEN ext IN ({', '.join(map(q, files.HASH_COMMENTS))}) THEN regexp_extract_all(t, {_HASHES}) ELSE regexp_extract_all(t, {_SLASHES}) END"
 _BANNER = re2(r"^\s*(?:\/\*\*?|\/\/|#)?\s*\*?\s*[A-ZÀ-Ý][A-ZÀ-Ý0-9'\/]{2,}(?: [A-ZÀ-Ý0-9'\/]+)*\s*[—–]\s+\S[^\n]*", "m")
-#: The paraphrasing rule is checked by tests; here its files are named by what the rule is known to give for CODE.
-_PARA = 3
+_LIST = lambda words: "[" + ", ".join(map(q, words)) + "]"
+_MEANS = "CASE " + " ".join(f"WHEN starts_with(w, {q(stem)}) THEN {_LIST(names.split())}" for stem, names in files.FRENCH.items()) + " ELSE [] END"
+#: From src (doc_id, ext, t), a row for each line; the neighbours of a line are its rows before and after.
+PARAPHRASES = rf"""lines AS (SELECT doc_id, i, string_split(t, chr(10))[i] AS l, ext IN ({', '.join(map(q, files.HASH_ONLY))}) AS hashed FROM (SELECT doc_id, ext, t, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS i FROM src)),
+    told AS (SELECT doc_id, i, l, CASE WHEN NOT hashed AND regexp_matches(l, '^\s*//') THEN regexp_extract(l, '^\s*//\s*(.*?)\s*$', 1) WHEN hashed AND regexp_matches(l, '^\s*#([^!]|$)') THEN regexp_extract(l, '^\s*#\s*(.*?)\s*$', 1) END AS said FROM lines),
+    around AS (SELECT *, lag(said) OVER o AS before, lead(l) OVER o AS l1, lead(said) OVER o AS said1, lead(l, 2) OVER o AS l2, lead(said, 2) OVER o AS said2 FROM told WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+    met AS (SELECT doc_id, i, said, CASE WHEN trim(l1) <> '' THEN i + 1 ELSE i + 2 END AS j, CASE WHEN trim(l1) <> '' THEN l1 WHEN l1 IS NOT NULL AND trim(l2) <> '' THEN l2 END AS code FROM around
+        WHERE said IS NOT NULL AND before IS NULL AND (CASE WHEN trim(l1) <> '' THEN said1 ELSE said2 END) IS NULL AND NOT regexp_matches(said, {q(files.TOOLING)}, 'i') AND NOT regexp_matches(said, '[;{{}}=()<>]')),
+    terms AS (SELECT doc_id, i, j, list_filter(regexp_extract_all(lower(said), '[a-zà-ÿ]+'), lambda w: length(w) >= 3 AND NOT list_contains({_LIST(files.SILENT)}, w)) AS ws,
+        [lower(x) FOR x IN regexp_split_to_array(regexp_replace(array_to_string(regexp_extract_all(code, '[A-Za-z_$][A-Za-z0-9_$]*'), '_'), '([a-z0-9])([A-Z])', '\1_\2', 'g'), '[_$]+') IF length(x) >= 2] AS ps FROM met WHERE code IS NOT NULL),
+    eligible AS (SELECT *, row_number() OVER () AS r FROM terms WHERE len(ws) BETWEEN 2 AND 8),
+    hits AS (SELECT r, w, ps, CASE WHEN length(w) > 3 AND ends_with(w, 's') THEN left(w, length(w) - 1) ELSE w END AS stem FROM (SELECT r, ps, unnest(ws) AS w FROM eligible)),
+    named AS (SELECT r, count(*) FILTER (list_has_any(ps, [w, stem]) OR list_has_any(ps, {_MEANS}) OR length(stem) >= 4 AND len(list_filter(ps, lambda p: length(p) >= 4 AND (starts_with(p, stem) OR starts_with(stem, p)))) > 0) AS k FROM hits GROUP BY r),
+    judged AS (SELECT doc_id, i, j, k >= 0.66 * len(ws) AS same FROM eligible JOIN named USING (r)),
+    enough AS (SELECT doc_id, count(*) FILTER (same) AS k FROM judged GROUP BY doc_id HAVING count(*) FILTER (same) >= 3 AND count(*) >= 4 AND count(*) FILTER (same) >= 0.3 * count(*))"""
+_CALL = lambda *w: " || '_' || ".join(f"w[{k}]" for k in w) + " || '(' || w[5] || ');' || chr(10)"
+_SAID = "'// ' || array_to_string(w[1:4], ' ') || chr(10)"
+_BIG = lambda k: f"upper(left(w[{k}], 1)) || substr(w[{k}], 2)"
+_PIECE = f"""CASE (doc_id + i) % 6 WHEN 0 THEN {_SAID} || {_CALL(1, 2, 3)} WHEN 1 THEN {_SAID} || {_CALL(1, 2)} WHEN 2 THEN {_SAID} || ' ' || chr(10) || {_CALL(1, 3, 4)} WHEN 3 THEN {_SAID} || {_SAID} || {_CALL(1, 2, 3)}
+    WHEN 4 THEN {_SAID} || w[1] || {_BIG(2)} || {_BIG(4)} || '();' || chr(10) ELSE '// récupère ' || w[1] || ' ' || w[2] || chr(10) || 'fetch_' || w[1] || '();' || chr(10) END"""
+COMMENTED = f"""pieces AS (SELECT doc_id, i, ws[i * 5 - 4:i * 5] AS w FROM (SELECT doc_id, ws, unnest(range(1, len(ws) // 5 + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-zéèàç]{{3,}}') AS ws FROM documents))),
+    src AS (SELECT doc_id, 'js' AS ext, string_agg({_PIECE}, '' ORDER BY i) AS t FROM pieces GROUP BY doc_id)"""
 COD = f"""src AS (SELECT source, doc_id, {_EXT} AS ext, {_LAST} || repeat('// x' || chr(10), CAST(n_chars % 3 AS INTEGER)) AS t FROM documents),
+    {PARAPHRASES},
     marks AS (SELECT source, doc_id, list_filter(string_split(array_to_string({_COMMENT}, ' '), ''), lambda c: regexp_matches(c, '^{files.TYPOGRAPHY}$')) AS m, t FROM src),
     code AS ({" UNION ALL ".join(f"SELECT source, doc_id, '{i}' AS id, '{s}' AS strength, {p} AS points, {n(pat, f)} AS count FROM src WHERE {n(pat, f)} >= {least}" for i, pat, f, least, s, p in files.CODE_RULES)}
         UNION ALL SELECT source, doc_id, 'code-typography', CASE WHEN len(m) >= 6 OR len(list_distinct(m)) >= 3 THEN 'moyen' ELSE 'faible' END, CASE WHEN len(m) >= 6 OR len(list_distinct(m)) >= 3 THEN 22 ELSE 12 END, len(m) FROM marks WHERE len(m) >= 3 OR len(list_distinct(m)) >= 2
         UNION ALL SELECT source, doc_id, 'code-banner', 'moyen', 22, NULL FROM src WHERE regexp_matches(left(t, 800), {q(_BANNER)})
-        UNION ALL SELECT source, doc_id, 'code-paraphrase', 'faible', 10, 4 FROM src WHERE doc_id % 7 = {_PARA})"""
+        UNION ALL SELECT source, doc_id, 'code-paraphrase', 'faible', 10, k FROM src JOIN enough USING (doc_id))"""
 _PATH = "coalesce(lang || '/' || CASE doc_id % 11 " + " ".join(f"WHEN {k} THEN {q(v)}" for k, v in PATHS.items()) + " END, 'src/f' || doc_id || '.py')"
 _COMMIT = f"coalesce({_case(9, {k: v[0] for k, v in COMMITS.items()})}, 'dev') || ' <d@x>' || chr(10) || coalesce({_case(9, {k: v[1] for k, v in COMMITS.items()})}, 'Work')"
 _TOOLS = lambda s, col: "CASE " + " ".join(f"WHEN {has(s, p, f)} THEN {q(v) if (v := (tool, vendor, str(log))[col]) is not None else 'NULL'}" for p, f, tool, vendor, log in files.ASSISTANT_FILES) + " END"
@@ -173,6 +194,7 @@ SQL: dict[str, str] = {
     "software_hints": f"WITH {FILES}, {SOFTWARE} SELECT * FROM soft",
     "report_origins": f"WITH {META}, {SOFTWARE}, {ORIGINS} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(score, -1) DESC, grp, ord) - 1 AS place, id, kind, score, level, reasons FROM every",
     "code_signals": f"WITH {COD} SELECT doc_id, id, strength, CAST(points AS INTEGER) AS points, CAST(count AS BIGINT) AS count FROM code",
+    "comment_paraphrases": f"WITH {COMMENTED}, {PARAPHRASES} SELECT doc_id, i AS line, j AS code FROM judged JOIN enough USING (doc_id) WHERE same",
     "project_code": f"WITH {COD}, f AS (SELECT source, count(*) AS files FROM src GROUP BY source) SELECT source, files, id, CAST(max(points) AS INTEGER) AS points, CAST(sum(coalesce(count, 1)) AS BIGINT) AS count, count(*) AS in_files FROM code JOIN f USING (source) GROUP BY source, files, id",
     "project_signals": f"""WITH p AS (SELECT source, lang, CAST(floor(doc_id / 50) AS BIGINT) AS part, doc_id, {_PATH} AS path, {_COMMIT} AS c FROM documents), g AS (SELECT source, lang, part, min(doc_id) % 4 <> 0 AS git FROM p GROUP BY ALL),
         t AS (SELECT source, lang, part, {_TOOLS('path', 2)} AS log, {_TOOLS('path', 1)} AS vendor FROM p WHERE {_TOOLS('path', 0)} IS NOT NULL), c AS (SELECT source, lang, part, {_SIGNED('c', 1)} AS vendor FROM p JOIN g USING (source, lang, part) WHERE git AND {_SIGNED('c', 0)} IS NOT NULL),

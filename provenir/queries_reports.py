@@ -107,6 +107,36 @@ def code_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", "s.id", "s.strength", "s.points", "s.count")
 
 
+def commented_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text: each document's words as a source file, five to a comment and the code below it.
+
+    Of six pieces, by place and document, two repeat their comment (one over a blank line), one says half of it, one is
+    followed by another comment, one writes it in one name, and one says in French what the code says in English.
+    """
+    at = lambda w, i: F.element_at(w, i)
+    big = lambda w, i: F.concat(F.upper(F.left(at(w, i), F.lit(1))), F.substr(at(w, i), F.lit(2)))
+
+    def piece(w: Column, v: Column) -> Column:
+        said = F.concat(F.lit("// "), F.array_join(F.slice(w, 1, 4), " "), F.lit("\n"))
+        call = lambda *i: F.concat(F.concat_ws("_", *[at(w, k) for k in i]), F.lit("("), at(w, 5), F.lit(");\n"))
+        return (
+            F.when(v == 0, F.concat(said, call(1, 2, 3))).when(v == 1, F.concat(said, call(1, 2))).when(v == 2, F.concat(said, F.lit(" \n"), call(1, 3, 4))).when(v == 3, F.concat(said, said, call(1, 2, 3)))
+            .when(v == 4, F.concat(said, at(w, 1), big(w, 2), big(w, 4), F.lit("();\n"))).otherwise(F.concat(F.lit("// récupère "), at(w, 1), F.lit(" "), at(w, 2), F.lit("\nfetch_"), at(w, 1), F.lit("();\n")))
+        )
+
+    d = texts(spark, sf_dir).select("doc_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-zéèàç]{3,}"), 0).alias("w"))
+    n = F.floor(F.size("w") / 5).cast("int")
+    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    pieces = F.transform(places, lambda i: piece(F.slice("w", i * 5 - 4, F.lit(5)), (F.col("doc_id") + i) % 6))
+    return d.select("doc_id", F.array_join(pieces, "").alias("text"))
+
+
+def comment_paraphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of comments that repeat the code below, with the code's lines, in files with enough of them."""
+    x = commented_code(spark, sf_dir).select("doc_id", files.paraphrases(F.col("text"), F.lit("js")).alias("p"))
+    return x.select("doc_id", F.explode_outer("p").alias("p")).where("p is not null").select("doc_id", F.col("p.line").cast("long").alias("line"), F.col("p.code").cast("long").alias("code"))
+
+
 def project_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = files.project_code(made_code(spark, sf_dir), "source")
     return x.select("source", "files", F.explode(F.arrays_zip("signals", "in_files")).alias("x")).select("source", "files", "x.signals.id", "x.signals.points", "x.signals.count", "x.in_files")
@@ -203,4 +233,4 @@ def others_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", F.array_join("p.identified", ",").alias("identified"), "p.others")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (metadata_signals, flagged_metadata, software_hints, report_origins, file_verdicts, code_signals, project_code, project_signals, commit_signatures, report_highlights, signal_evidence, report_summaries, model_verdicts, stats_shown, answers_summary, calibration_proposal, corpus_fit, corpus_prompts, formulas_compared, others_pooled)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (metadata_signals, flagged_metadata, software_hints, report_origins, file_verdicts, code_signals, comment_paraphrases, project_code, project_signals, commit_signatures, report_highlights, signal_evidence, report_summaries, model_verdicts, stats_shown, answers_summary, calibration_proposal, corpus_fit, corpus_prompts, formulas_compared, others_pooled)}
