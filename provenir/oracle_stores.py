@@ -29,4 +29,5 @@ SQL: dict[str, str] = {
         u AS (SELECT doc_id, lang, n_chars + CASE WHEN doc_id % 5 = 0 THEN 1000 ELSE 0 END AS n_chars FROM a), d AS (SELECT * FROM u WHERE doc_id % 7 <> 0), r AS (SELECT * FROM d ORDER BY n_chars DESC, doc_id DESC LIMIT 100)
         {_VERSION(2, 'b')} UNION ALL {_VERSION(3, 'a')} UNION ALL {_VERSION(4, 'u')} UNION ALL {_VERSION(5, 'd')} UNION ALL {_VERSION(6, 'r')}""",
     "measured_once": f"SELECT DISTINCT ON (doc_id) doc_id AS id, CAST(len(regexp_extract_all(coalesce(text, ''), {WORD})) AS BIGINT) AS words, 'words' AS model FROM documents WHERE doc_id IS NOT NULL",
+    "history_streamed": 'SELECT event_id, epoch_us(t) AS "at" FROM (SELECT event_id, max(ts) AS t FROM events WHERE event_id IS NOT NULL AND ts IS NOT NULL GROUP BY event_id) ORDER BY t DESC, event_id DESC LIMIT 200',
 }

@@ -19,7 +19,7 @@ from .queries import read, texts
 from .sources import git
 from .sources.shared import shared_path
 from .sources.versioned import Table
-from .streaming import measure
+from .streaming import history, measure
 
 #: Commits of a made project.
 COMMITS = 40
@@ -130,17 +130,29 @@ def table_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every
 
 
+def _arriving(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files."""
+    found = f"{sf_dir}/{name}.parquet"
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)
+    folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    return spark.readStream.schema(spark.read.parquet(found).schema).parquet(found if folder else f"{sf_dir}/{name}*.parquet")
+
+
 def measured_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents measured as a stream, by two runs that know nothing of each other: each text once."""
     t = Table(spark, shared_path(spark, "measures"), "id long, words long, model string, batch long")
-    found = f"{sf_dir}/documents.parquet"
-    path = spark._jvm.org.apache.hadoop.fs.Path(found)
-    folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
-    stream = lambda: spark.readStream.schema(spark.read.parquet(found).schema).parquet(found if folder else f"{sf_dir}/documents*.parquet").select(F.col("doc_id").alias("id"), "text")
+    stream = lambda: _arriving(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     count = lambda x: x.select("id", F.size(text.words(F.coalesce("text", F.lit("")))).cast("long").alias("words"))
     for run in range(2):
         measure.measuring(stream(), count, t, "words", shared_path(spark, f"state-{run}")).awaitTermination()
     return t.read().select("id", "words", "model")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (git_history, git_signals, logit_topk, table_versions, measured_once)}
+def history_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest 200 events, kept by the state of a stream; a feature of the history."""
+    out = shared_path(spark, "history")
+    history.keeping(_arriving(spark, sf_dir, "events"), f"{out}/changes", f"{out}/state", "ts", "event_id").awaitTermination()
+    return history.newest(spark.read.parquet(f"{out}/changes")).select(F.col("key").alias("event_id"), "at")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (git_history, git_signals, logit_topk, table_versions, measured_once, history_streamed)}
