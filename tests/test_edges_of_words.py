@@ -9,7 +9,7 @@ from provenir.operators import detect
 
 KEY = 'token = "6d2ca8cc795e02fe1cd4d42fcf2a" and key = "1cc70516e0d3cc4" '
 TEXTS = [KEY + "mot " * 30, "En outre, il est là. De plus,ici. À retenir: cœur " * 9, "Furthermore, it is. Moreover,so we delve; sœur ur " * 9, "éce n'est pas seulement toi, 9ce n'est pas juste lui, " * 9, KEY + "the cat and the dog is of that " * 4, "x_u_y u2 ur7 lol lol " + "the cat is of that and " * 5, "fin cc cc mdr " + "les mots de la nuit et du jour " * 5, KEY + "lol tbh mdr jsp " + "the cat is of that and les mots de la nuit " * 5, None, ""]
-QUERIES = ("signals_long", "signals_by_category", "top_signals", "origin_shares", "others_pooled", "quote_mode", "verdict_score", "verdict_distribution", "report_summaries")
+QUERIES = ("signals_long", "signals_by_category", "top_signals", "origin_shares", "others_pooled", "quote_mode", "verdict_score", "verdict_distribution", "report_summaries", "style_counts")
 
 
 @pytest.fixture(scope="module")
